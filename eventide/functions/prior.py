@@ -10,13 +10,13 @@ from eventide.functions import vector as V
 def sticky_prior(counts: Column, prev: Column, alpha: float, lmda: float) -> Column:
     """Unnormalised prior over slots: counts, ``alpha`` at the first unused slot (if
     there is one), ``lmda`` on the previous slot (if there is one)."""
-    used = F.size(F.filter(counts, lambda c: c > 0))
-    return F.transform(
+    slots = lambda used: F.transform(
         counts,
         lambda c, i: c.cast("double")
         + F.when(i == used, F.lit(float(alpha))).otherwise(F.lit(0.0))
         + F.when(prev.isNotNull() & (i == prev), F.lit(float(lmda))).otherwise(F.lit(0.0)),
     )
+    return V.let(F.size(F.filter(counts, lambda c: c > 0)), slots)
 
 
 def vmf_score(s: Column, mu: Column, kappa: float) -> Column:

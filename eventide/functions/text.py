@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from eventide.functions.vector import let
+
 # The stop words that token sets leave out.
 STOP_WORDS = [
     "the", "a", "an", "is", "are", "was", "were", "be", "been", "being",
@@ -34,9 +36,12 @@ def entities(text: Column | str) -> Column:
     """Set of lower-cased title-case runs after the first word."""
     col = F.col(text) if isinstance(text, str) else text
     stripped = F.regexp_replace(col, f"^{BLANK}+|{BLANK}+$", "")
-    gap = F.instr(stripped, " ")
-    rest = F.when(gap > 0, F.substr(stripped, gap)).otherwise(F.lit(""))
-    runs = F.regexp_extract_all(rest, F.lit(TITLE_RUN), F.lit(0))
+
+    def after_first_word(t: Column) -> Column:
+        gap = F.instr(t, " ")
+        return F.when(gap > 0, F.substr(t, gap)).otherwise(F.lit(""))
+
+    runs = F.regexp_extract_all(let(stripped, after_first_word), F.lit(TITLE_RUN), F.lit(0))
     return F.array_distinct(F.transform(runs, F.lower))
 
 

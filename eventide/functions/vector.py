@@ -13,6 +13,15 @@ from pyspark.sql import Column, functions as F
 LOG_2PI = math.log(2.0 * math.pi)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is computed again for every element; binding it as a
+    lambda variable avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
@@ -31,8 +40,9 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; an all-zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return let(
+        v, lambda u: let(norm(u), lambda n: F.transform(u, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    )
 
 
 def add(a: Column, b: Column) -> Column:
@@ -57,8 +67,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column, eps: float = 1e-9) -> Column:
     """True cosine; 0 when either norm is below ``eps``."""
-    na, nb = norm(a), norm(b)
-    return F.when((na < eps) | (nb < eps), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    safe = lambda na, nb: F.when((na < eps) | (nb < eps), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    return let(norm(a), lambda na: let(norm(b), lambda nb: safe(na, nb)))
 
 
 def cosine_to_centroid(s: Column, mu: Column) -> Column:
@@ -106,13 +116,12 @@ def prediction_error(s: Column, mu: Column, var: Column) -> Column:
 
 
 def array_logsumexp(v: Column) -> Column:
-    m = F.array_max(v)
-    return m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    shifted = lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return let(F.array_max(v), shifted)
 
 
 def array_softmax(v: Column) -> Column:
-    z = array_logsumexp(v)
-    return F.transform(v, lambda x: F.exp(x - z))
+    return let(array_logsumexp(v), lambda z: F.transform(v, lambda x: F.exp(x - z)))
 
 
 def first_argmax(v: Column) -> Column:

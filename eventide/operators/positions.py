@@ -48,18 +48,27 @@ def dense_positions(df: DataFrame, order: list[str], bucket: Column) -> DataFram
     return ranked.drop("_bucket", "_offset")
 
 
-def with_halo(df: DataFrame, before: int, rows: int = BLOCK_ROWS) -> tuple[DataFrame, Column]:
-    """Rows with a block key, the last ``before`` rows of a block repeated in the next one.
+def with_halo(
+    df: DataFrame, before: int, rows: int = BLOCK_ROWS, after: int = 0
+) -> tuple[DataFrame, Column]:
+    """Rows with a block key; the last ``before`` rows of a block are repeated in the next
+    one and the first ``after`` rows in the previous one.
 
     Also returns the predicate that keeps the original rows once the windows are done.
     """
-    if before > rows:
+    if before > rows or after > rows:
         raise ValueError("the frame is longer than a block")
     own = block_of(rows)
-    blocks = F.when(F.col("pos") % rows >= rows - before, F.array(own, own + 1)).otherwise(
-        F.array(own)
+    place = F.col("pos") % rows
+    here = F.array(own)
+    late = F.when(place >= rows - before, F.array(own + 1)) if before else None
+    early = F.when((place < after) & (own > 0), F.array(own - 1)) if after else None
+    blocks = [b for b in (here, late, early) if b is not None]
+    none = F.array().cast("array<bigint>")
+    return (
+        df.withColumn(BLOCK, F.explode(F.concat(*[F.coalesce(b, none) for b in blocks]))),
+        F.col(BLOCK) == own,
     )
-    return df.withColumn(BLOCK, F.explode(blocks)), F.col(BLOCK) == own
 
 
 def halo_window() -> WindowSpec:

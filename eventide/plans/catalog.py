@@ -2,5 +2,6 @@
 
 from eventide.plans import (  # noqa: F401
     q_transitions,
+    q_segment,
 )
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401

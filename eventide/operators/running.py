@@ -24,14 +24,18 @@ def _running_sums(scenes: DataFrame, keys: list[str], rows: int) -> DataFrame:
     v = array_to_vector(V.as_double("scene"))
     square = lambda norm: F.transform(vector_to_array(norm), lambda x: x * x)
 
+    def window_sum(column, frame):
+        summed = Summarizer.metrics("sum").summary(F.col(column)).over(frame)
+        return vector_to_array(summed.getField("sum"))
+
     # The summariser rejects an empty frame, so the frame takes in the block itself, which is
     # then subtracted again.
     def carried(before, ordered):
         through = ordered.rowsBetween(Window.unboundedPreceding, 0)
         return {
             "_n": F.sum("_bn").over(through) - F.col("_bn"),
-            "_s1": V.subtract(vector_to_array(Summarizer.sum(F.col("_v1")).over(through)), F.col("_b1")),
-            "_s2": V.subtract(vector_to_array(Summarizer.sum(F.col("_v2")).over(through)), F.col("_b2")),
+            "_s1": V.subtract(window_sum("_v1", through), F.col("_b1")),
+            "_s2": V.subtract(window_sum("_v2", through), F.col("_b2")),
         }
 
     block_sum = vector_to_array(Summarizer.sum(v))

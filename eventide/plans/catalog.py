@@ -3,5 +3,6 @@
 from eventide.plans import (  # noqa: F401
     q_transitions,
     q_segment,
+    q_running,
 )
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401

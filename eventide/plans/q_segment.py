@@ -332,13 +332,13 @@ def _choose2(n: str) -> str:
 
 
 ARI_SQL = f""", cells as (select label as t, topic as p, count(*) as n from lab group by 1, 2),
-tot as (select sum({_choose2('n')}) as both, sum(n)::bigint as rows from cells),
+tot as (select sum({_choose2('n')}) as agree, sum(n)::bigint as rows from cells),
 ta as (select sum({_choose2('n')}) as a from (select sum(n) as n from cells group by t)),
 tb as (select sum({_choose2('n')}) as b from (select sum(n) as n from cells group by p))"""
 LABELLED = "lab as (select label, topic from walk join src using (seq_id, pos))"
 
 
-@query("adjusted_rand", _walk(LONG_SRC, [MIXED], f", {LABELLED} {ARI_SQL} select rows, round((both - a*b/({_choose2('rows')}))/((a+b)/2 - a*b/({_choose2('rows')})), 6) as ari from tot, ta, tb"))
+@query("adjusted_rand", _walk(LONG_SRC, [MIXED], f", {LABELLED} {ARI_SQL} select rows, round((agree - a*b/({_choose2('rows')}))/((a+b)/2 - a*b/({_choose2('rows')})), 6) as ari from tot, ta, tb"))
 def adjusted_rand(spark, sf):
     pairs = G.segment(tables.long_scenes(spark, sf), MIXED, keep=["label"])
     return round_doubles(metrics.adjusted_rand(pairs, "label", "topic"))

@@ -4,5 +4,6 @@ from eventide.plans import (  # noqa: F401
     q_transitions,
     q_segment,
     q_running,
+    q_responses,
 )
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401

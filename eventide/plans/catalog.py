@@ -5,5 +5,6 @@ from eventide.plans import (  # noqa: F401
     q_segment,
     q_running,
     q_responses,
+    q_events,
 )
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401

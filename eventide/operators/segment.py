@@ -234,6 +234,31 @@ class Bank:
                 setattr(self, name, wider(getattr(self, name)))
         self.members = {item: wider(held) for item, held in self.members.items()}
 
+    # -- saving and restoring ----------------------------------------------------------
+
+    def topic(self, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+        """Size, mean and squared deviations of a topic of the only sequence."""
+        m2 = self.m2[0, k] if self.m2 is not None else np.zeros(self.dim)
+        return self.counts[0, k], self.mu[0, k], m2
+
+    def restore(self, topics: Sequence[tuple[float, np.ndarray, np.ndarray]], prev: int, seen: float, mean) -> None:
+        """Set the state of the only sequence from its topics in id order."""
+        while self.counts.shape[1] < len(topics):
+            self._grow()
+        for k, (n, mu, m2) in enumerate(topics):
+            self.counts[0, k], self.mu[0, k] = n, mu
+            if self.sq is not None:
+                self.sq[0, k] = mu @ mu
+                continue
+            self.m2[0, k] = m2
+            s0, floor = self.sigma0_sq[0], self.sigma_min_sq[0]
+            var = np.full(self.dim, s0) if n < WARM_COUNT else np.maximum(m2 / n, floor)
+            inv = 1.0 / var
+            self.inv_var[0, k], self.scaled[0, k] = inv, inv * mu
+            self.const[0, k] = (inv * mu * mu + np.log(var)).sum() + self.dim * LOG_2PI
+        self.used[0], self.prev[0], self.seen[0] = len(topics), prev, seen
+        self.mean[0] = mean
+
     # -- moving one sequence between banks ------------------------------------------
 
     def take(self, sequence: int) -> dict:

@@ -6,5 +6,7 @@ from eventide.plans import (  # noqa: F401
     q_running,
     q_responses,
     q_events,
+    q_memory,
+    q_streaming,
 )
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401

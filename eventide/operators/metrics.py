@@ -154,6 +154,11 @@ def logsumexp(rows: DataFrame, value: str, *by: str) -> DataFrame:
     )
 
 
+def passes(f1: Column, baseline: Column, floor: float = 0.4) -> Column:
+    """The quality part of the gate."""
+    return (f1 > baseline) & (f1 > F.lit(float(floor)))
+
+
 def gate(metrics: DataFrame, method: str, baseline: str, floor: float = 0.4,
          overhead_ms: float | None = None, limit_ms: float = 200.0) -> DataFrame:
     """Gate per benchmark: beats the baseline, beats the floor, stays in the time limit.

@@ -24,7 +24,7 @@ BLOCK = "_block"
 
 
 def block_of(rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(F.col("pos") / rows)
+    return F.call_function("div", F.col("pos"), F.lit(rows))
 
 
 def dense_positions(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:

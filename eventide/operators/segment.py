@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -404,59 +405,85 @@ def with_truth(assigned: DataFrame, label: str = "label", flag: str | None = Non
 
 #: Configurations that run over one copy of the scenes; more are spread over several copies.
 CONFIGS_PER_COPY = 128
+#: Groups whose counts a task keeps before it emits them.
+OPEN_GROUPS = 256
 
 
 def grid_counts(
     scenes: DataFrame, configs: Sequence[Config], flag: str | None = None, partitions: int | None = None,
-    per_copy: int = CONFIGS_PER_COPY,
+    per_copy: int = CONFIGS_PER_COPY, by: tuple[str, ...] = (),
 ) -> DataFrame:
     """``cfg_id, tp, fp, fn`` for every configuration (``cfg_id`` = its place in the list).
 
     All configurations of a copy run while a scene is at hand, so vectors are shuffled once
     per ``per_copy`` configurations, not once per configuration. A task emits one row of
     counts per configuration, which is the map side of the final sum. Needs ``label`` per
-    scene: truth is a label change, or ``label == flag``.
+    scene: truth is a label change, or ``label == flag``. ``by`` names columns that are
+    constant within a sequence; counts are kept apart by them.
     """
     blocks = [list(range(i, min(i + per_copy, len(configs)))) for i in range(0, len(configs), per_copy)]
     sets = [c for c in ("tokens", "entities") if c in scenes.columns and any(x.scorer in SIGNALS for x in configs)]
-    rows = scenes.select("seq_id", "pos", "scene", "label", *sets)
+    rows = scenes.select("seq_id", "pos", "scene", "label", *by, *sets)
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
 
+    def emit(group: tuple, counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+        used = np.flatnonzero(counts[:, 3]).astype(np.int32)
+        out = [pa.array([group[i]] * len(used), schema.field(c).type) for i, c in enumerate(by)]
+        out += [pa.array(used), *(pa.array(counts[used, i]) for i in range(3))]
+        return pa.RecordBatch.from_arrays(out, names=[*by, "cfg_id", "tp", "fp", "fn"])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros((len(configs), 3), dtype=np.int64)
+        totals: dict[tuple, np.ndarray] = {}
         runners = [BatchRunner([configs[j] for j in ids]) for ids in blocks]
-        before = (None, None)
+        before, schema = (None, None), None
         for batch in batches:
+            schema = batch.schema
             keys = list(zip(batch.column("seq_id").to_pylist(), batch.column("copy").to_pylist()))
+            groups = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else None
             labels = batch.column("label").to_pylist()
             x, tok, ent = matrix(batch.column("scene")), _sets(batch, "tokens"), _sets(batch, "entities")
             # A partition is sorted by copy inside a sequence; runs of one copy go together.
-            copy = np.array([k[1] for k in keys])
+            copy = np.array([k[1] for k in keys], dtype=np.int64)
             gt, scored = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+            of_group: dict[tuple, list[int]] = {}
             for i, key in enumerate(keys):
                 scored[i] = key == before[0]
                 gt[i] = labels[i] == flag if flag is not None else labels[i] != before[1]
                 before = (key, labels[i])
+                of_group.setdefault(groups[i] if by else (), []).append(i)
+            pred = np.zeros((len(keys), len(configs)), dtype=bool)
             for b, ids in enumerate(blocks):
                 at = np.flatnonzero(copy == b)
-                if not len(at):
-                    continue
-                pred = runners[b].run([keys[i] for i in at], x[at], [tok[i] for i in at], [ent[i] for i in at])[1]
-                p, g = pred[scored[at]], gt[at][scored[at]][:, None]
-                counts[ids, 0] += (p & g).sum(axis=0)
-                counts[ids, 1] += (p & ~g).sum(axis=0)
-                counts[ids, 2] += (~p & g).sum(axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(configs), dtype=np.int32)), *(pa.array(counts[:, i]) for i in range(3))],
-            names=["cfg_id", "tp", "fp", "fn"],
-        )
-
+                if len(at):
+                    flags = runners[b].run(
+                        [keys[i] for i in at], x[at], [tok[i] for i in at], [ent[i] for i in at]
+                    )[1]
+                    pred[at[:, None], ids] = flags
+            for group, members in of_group.items():
+                counts = totals.setdefault(group, np.zeros((len(configs), 4), dtype=np.int64))
+                members = np.array(members)
+                for b, ids in enumerate(blocks):
+                    at = members[copy[members] == b]
+                    if not len(at):
+                        continue
+                    counts[ids, 3] = 1
+                    at = at[scored[at]]
+                    p, g = pred[at][:, ids], gt[at][:, None]
+                    counts[ids, 0] += (p & g).sum(axis=0)
+                    counts[ids, 1] += (p & ~g).sum(axis=0)
+                    counts[ids, 2] += (~p & g).sum(axis=0)
+                if len(totals) >= OPEN_GROUPS:
+                    yield from (emit(k, c, schema) for k, c in totals.items())
+                    totals = {}
+        yield from (emit(k, c, schema) for k, c in totals.items())
+
+    group_fields = field_types(scenes, list(by))
     partial = stream(
         in_order(copies, salt=("copy",), partitions=partitions),
         run,
-        "cfg_id int, tp bigint, fp bigint, fn bigint",
+        ", ".join(group_fields + ["cfg_id int, tp bigint, fp bigint, fn bigint"]),
     )
-    return partial.groupBy("cfg_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return partial.groupBy(*by, "cfg_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def grid_scores(scenes: DataFrame, configs: Sequence[Config], **kw) -> DataFrame:
@@ -522,12 +549,9 @@ def signal_grid() -> list[Config]:
 
 def config_table(spark, configs: Sequence[Config]) -> DataFrame:
     """The configurations as a table, to name the rows of a grid result."""
-    rows = [
-        (i, c.scorer, c.alpha, c.lmda, c.sigma0_sq, c.kappa, c.beta, c.new_score, c.b_cos, c.b_jac, c.b_ent)
-        for i, c in enumerate(configs)
-    ]
-    return spark.createDataFrame(
-        rows,
-        "cfg_id int, scorer string, alpha double, lmda double, sigma0_sq double, kappa double, "
-        "beta double, new_score double, b_cos double, b_jac double, b_ent double",
+    names = ("scorer", "alpha", "lmda", "sigma0_sq", "kappa", "beta", "new_score", "b_cos", "b_jac", "b_ent")
+    rows = pd.DataFrame(
+        {"cfg_id": np.arange(len(configs), dtype=np.int32)}
+        | {n: [getattr(c, n) for c in configs] for n in names}
     )
+    return spark.createDataFrame(rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventide.operators.metrics import with_f1
 from eventide.operators.transitions import pooled
@@ -22,38 +22,44 @@ def _cleared(score: Column, thetas: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, thetas)), lambda t: t <= score))
 
 
-def threshold_sweep(transitions: DataFrame, thetas: list[float], score: str = "score") -> DataFrame:
+def threshold_sweep(
+    transitions: DataFrame, thetas: list[float], score: str = "score", by: tuple[str, ...] = ()
+) -> DataFrame:
     """P, R and F1 of ``score < theta`` for every threshold, in one pass.
 
-    Transitions are counted by the first threshold above them, and a running total over the
-    (number of thresholds + 1) buckets gives every confusion table. The cost does not grow
-    with the number of thresholds and only counts are shuffled.
+    Transitions are counted by the first threshold above them, and running totals over the
+    (number of thresholds + 1) buckets give every confusion table. The cost does not grow
+    with the number of thresholds and only counts are shuffled. ``by`` gives one sweep per
+    group.
     """
     order = sorted(range(len(thetas)), key=lambda i: thetas[i])
     ascending = [thetas[i] for i in order]
-    spark = transitions.sparkSession
-    spine = spark.createDataFrame(
-        [(b, order[b] if b < len(order) else None, ascending[b] if b < len(order) else None)
-         for b in range(len(order) + 1)],
-        "bucket int, theta_id int, theta double",
-    )
-    counts = transitions.groupBy(_cleared(F.col(score), ascending).alias("bucket")).agg(
+    counts = transitions.groupBy(*by, _cleared(F.col(score), ascending).alias("bucket")).agg(
         F.count_if("gt").alias("pos"), F.count_if(~F.col("gt")).alias("neg")
     )
-    up_to = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    over_all = Window.orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    # At most one small struct per threshold and group.
+    packed = counts.groupBy(*by).agg(F.collect_list(F.struct("bucket", "pos", "neg")).alias("c"))
+    grid = F.array(
+        *[
+            F.struct(F.lit(b).alias("bucket"), F.lit(order[b]).alias("theta_id"), F.lit(t).alias("theta"))
+            for b, t in enumerate(ascending)
+        ]
     )
-    filled = spine.join(counts, "bucket", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    tables = filled.select(
-        "theta_id",
-        "theta",
-        F.sum(zero("pos")).over(up_to).alias("tp"),
-        F.sum(zero("neg")).over(up_to).alias("fp"),
-        (F.sum(zero("pos")).over(over_all) - F.sum(zero("pos")).over(up_to)).alias("fn"),
+    cells = packed.select(*by, "c", F.explode(grid).alias("g"))
+
+    def add_up(field: str, keep) -> Column:
+        kept = F.filter("c", lambda x: keep(x["bucket"]))
+        return F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, x: acc + x[field])
+
+    through = lambda bucket: bucket <= F.col("g.bucket")
+    beyond = lambda bucket: bucket > F.col("g.bucket")
+    return with_f1(
+        cells.select(
+            *by, "g.theta_id", "g.theta",
+            add_up("pos", through).alias("tp"), add_up("neg", through).alias("fp"),
+            add_up("pos", beyond).alias("fn"),
+        )
     )
-    return with_f1(tables.where(F.col("theta_id").isNotNull()))
 
 
 def first_best(rows: DataFrame, score: str, order: str, *by: str) -> DataFrame:

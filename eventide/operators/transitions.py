@@ -24,18 +24,19 @@ def flagged_shifts(turns: DataFrame, flag: str = "1") -> DataFrame:
 
 
 def scored_transitions(
-    turns: DataFrame, score: str, source: str, rows: int = BLOCK_ROWS
+    turns: DataFrame, score: str, source: str, rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``seq_id, pos, gt, score`` with score ``cosine``, ``jaccard`` or ``dot`` of neighbours.
 
     Truth and score come from one pass over the same windows, so nothing is joined.
     """
     lagged = with_lag(
-        turns.select("seq_id", "pos", "label", source), {"_label": "label", "_src": source}, rows
+        turns.select("seq_id", "pos", *keep, "label", source), {"_label": "label", "_src": source}, rows
     ).where(F.col("pos") > 0)
     return lagged.select(
         "seq_id",
         "pos",
+        *keep,
         (~F.col("label").eqNullSafe(F.col("_label"))).alias("gt"),
         _SCORES[score](F.col(source), F.col("_src")).alias("score"),
     )

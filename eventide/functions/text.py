@@ -63,10 +63,12 @@ def exchange(q: Column, a: Column) -> Column:
 
 def pair_up(flat: Column) -> Column:
     """``[q1, a1, q2, a2, ...]`` to an array of (q, a) structs; an odd tail is dropped."""
-    n = F.floor(F.size(flat) / 2).cast("int")
-    at = lambda i: F.struct(flat[2 * i].alias("q"), flat[2 * i + 1].alias("a"))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), at)
-    return F.when(n > 0, pairs).otherwise(F.filter(F.array(at(F.lit(0))), lambda _: F.lit(False)))
+    starts = F.filter(
+        F.transform(flat, lambda _, i: i), lambda i: (i % 2 == 0) & (i + 1 < F.size(flat))
+    )
+    return F.transform(
+        starts, lambda i: F.struct(F.get(flat, i).alias("q"), F.get(flat, i + 1).alias("a"))
+    )
 
 
 def context_text(current: Column, pairs: Column, k: int | str) -> Column:

@@ -223,6 +223,41 @@ def segment_report(spark, sf):
     return round_doubles(E.report(tables.long_scenes(spark, sf), COSINE_GRID, REGIMES))
 
 
+def _gates(spark, sf):
+    """Gate rows of two benchmarks: long and short sequences."""
+    rows = None
+    for name, scenes in (("long", tables.long_scenes(spark, sf)), ("short", tables.short_scenes(spark, sf))):
+        table = E.method_table(scenes, COSINE_GRID, {"mixed": MIXED}).withColumn("benchmark", F.lit(name))
+        rows = table if rows is None else rows.unionByName(table)
+    return metrics.gate(rows, "mixed", "cosine-threshold", overhead_ms=0.003)
+
+
+def _gate_sql(name: str, src: str, table: str) -> str:
+    tr = transitions_sql(table, "scene", "list_dot_product(v, pv)")
+    best = sweep_sql(SHORT if table == "short" else LONG, tr, COSINE_GRID)
+    return (
+        f"select '{name}' as benchmark, (select f1 from ({_walk(src, [MIXED], GRID_SQL + PLAIN_SCORES)})) as f1, "
+        f"(select max(f1) from ({best})) as baseline_f1"
+    )
+
+
+GATES_SQL = (
+    f"with g as ({_gate_sql('long', LONG_SRC, 'long')} union all {_gate_sql('short', SHORT_SRC, 'short')}), "
+    "v as (select *, f1 > baseline_f1 as beats_baseline, f1 > 0.4 as beats_floor, true as in_time, "
+    "f1 > baseline_f1 and f1 > 0.4 as passed from g)"
+)
+
+
+@query("gates", GATES_SQL + " select * from v")
+def gates(spark, sf):
+    return round_doubles(_gates(spark, sf))
+
+
+@query("combined_gate", GATES_SQL + " select bool_and(passed) as passed from v")
+def combined_gate(spark, sf):
+    return metrics.combined_gate(_gates(spark, sf), ["long", "short"])
+
+
 # --- context --------------------------------------------------------------------
 
 QUESTIONS = f"""{TURNS}, led as (select *, lead(label) over w as nr, lead(text) over w as nt from turns

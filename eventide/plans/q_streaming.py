@@ -35,7 +35,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _scene_stream(spark, sf_dir):
     return _stream(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 10).alias("seq_id"),
+        F.call_function("div", F.col("vec_id"), F.lit(10)).alias("seq_id"),
         (F.col("vec_id") % 10).cast("int").alias("pos"),
         F.col("embedding").alias("scene"),
     )

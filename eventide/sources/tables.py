@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_scenes(spark: SparkSession, sf_dir: str, length: int = 10) -> DataFrame:
     """Sequences of ``length`` consecutive vectors; labels change at most positions."""
     return table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / length).alias("seq_id"),
+        F.call_function("div", F.col("vec_id"), F.lit(length)).alias("seq_id"),
         (F.col("vec_id") % length).cast("int").alias("pos"),
         F.col("label"),
         F.col("embedding").alias("scene"),
@@ -32,7 +32,7 @@ def short_scenes(spark: SparkSession, sf_dir: str, length: int = 10) -> DataFram
 def long_scenes(spark: SparkSession, sf_dir: str, length: int = 100) -> DataFrame:
     """Sequences ordered by label, so that labels persist."""
     raw = table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / length).alias("seq_id"),
+        F.call_function("div", F.col("vec_id"), F.lit(length)).alias("seq_id"),
         F.col("label"),
         F.col("embedding").alias("scene"),
         F.col("vec_id"),

@@ -23,6 +23,15 @@ BLOCK_ROWS = 65_536
 BLOCK = "_block"
 
 
+def join_small(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Left equi-join in which NULL keys meet NULL keys, so that no row is lost."""
+    renamed = side.select(
+        *[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in side.columns]
+    )
+    condition = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return rows.join(renamed, condition, "left").drop(*[f"_key_{k}" for k in keys])
+
+
 def block_of(rows: int = BLOCK_ROWS) -> Column:
     return F.call_function("div", F.col("pos"), F.lit(rows))
 
@@ -42,7 +51,7 @@ def dense_positions(df: DataFrame, order: list[str], bucket: Column) -> DataFram
         "seq_id", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy("seq_id", "_bucket").orderBy(*order)
-    ranked = rows.join(offsets, ["seq_id", "_bucket"]).withColumn(
+    ranked = join_small(rows, offsets, ["seq_id", "_bucket"]).withColumn(
         "pos", (F.col("_offset") + F.row_number().over(inside) - 1).cast("int")
     )
     return ranked.drop("_bucket", "_offset")
@@ -107,6 +116,6 @@ def with_carry(
         *keys, BLOCK, *[c.alias(n) for n, c in carried(before, ordered).items()]
     )
     return (
-        rows_df.join(carry, [*keys, BLOCK], "left"),
+        join_small(rows_df, carry, [*keys, BLOCK]),
         Window.partitionBy(*keys, BLOCK).orderBy("pos"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventide.functions import hashed as H, vector as V
 from eventide.operators.positions import BLOCK_ROWS, with_lag
+from eventide.session import shuffle_partitions
 
 
 def press_bin(ms: Column, bin_s: float) -> Column:
@@ -197,7 +198,9 @@ def permutation_null(bins: DataFrame, n_permutations: int, digits: int = 2) -> D
         F.sum("value").alias("total"),
         F.stddev_pop("value").alias("s"),
     )
-    drawn = bins.select(
+    # Few rows become many, so they are spread before they are repeated.
+    spread = bins.repartition(shuffle_partitions(bins.sparkSession), "movie", "bin")
+    drawn = spread.select(
         "movie", "bin", "value", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("p")
     ).withColumn("h", F.md5(H.key(F.col("p"), F.col("movie"), F.col("bin"))))
     drawn = drawn.withColumn("prefix", F.substring("h", 1, digits))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import vector as V
 from eventide.operators import events as N, moments as M, responses as P
-from eventide.operators.positions import with_lag
+from eventide.operators.positions import with_carry, with_lag
 from eventide.operators.transitions import prediction_error_ratio
 from eventide.plans.q_transitions import LONG, SHORT
 from eventide.plans.registry import query, round_doubles
@@ -136,8 +136,6 @@ def event_tokens(spark, sf):
 
 def numbered_events(marked):
     """``token_id``: running number of changes ``_c``, block-wise."""
-    from eventide.operators.positions import with_carry
-
     joined, w = with_carry(
         marked,
         ["seq_id"],

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.operators import responses as P, transitions as T
-from eventide.operators.positions import with_lag
 from eventide.plans.q_transitions import LONG
 from eventide.plans.registry import query, round_doubles
 from eventide.sources import tables
@@ -13,7 +12,7 @@ from eventide.sources import tables
 HOUR = 3600
 DAYS = 30
 N_BINS = DAYS * 24
-PERMUTATIONS = 200
+PERMUTATIONS = 500
 T_QUANTILE = 1.9633  # 97.5 % of Student's t at 718 degrees of freedom
 
 
@@ -61,7 +60,7 @@ def subject_rpb(spark, sf):
     )
 
 
-#: Flag of a bin: did one fixed subject press in it? (Stands for a model's boundaries.)
+#: Flag of a bin: did one of a fixed group of subjects press in it? (Stands for a model's boundaries.)
 FLAGS = f"""{RATES}, bins as (select r.movie, r.bin, r.rate as value,
   exists (select 1 from presses p where p.movie = r.movie and p.bin = r.bin and p.subj % 7 = 0) as flag from rate r)"""
 

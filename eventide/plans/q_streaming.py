@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventide.operators.segment import FREQUENT_SHIFT
+from eventide.operators.positions import with_lag
 from eventide.plans.q_segment import ASSIGNED, MIXED, SHORT_SRC, _walk
 from eventide.plans.registry import query
 from eventide.session import ensure_checkpoint_dir
@@ -72,9 +72,7 @@ def stream_counts(spark, sf_dir):
 @query("boundary_counts", """with s as (select ts, event_type <> lag(event_type) over (partition by user_id order by ts, event_id) as b from events)
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, count(*) as n from s where b group by 1""")
 def boundary_counts(spark, sf_dir):
-    from eventide.operators.positions import with_lag
-
     lagged = with_lag(tables.event_turns(spark, sf_dir), {"_prev": "label"})
     shifts = lagged.where((F.col("pos") > 0) & (F.col("label") != F.col("_prev")))
-    counts = tumbling_counts(shifts.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
+    counts = tumbling_counts(shifts, "1 hour")
     return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")

@@ -277,3 +277,31 @@ def scene_slice(spark, sf):
     return round_doubles(
         s.select("seq_id", "pos", "label", V.norm(V.as_double("scene")).alias("norm"))
     )
+
+
+@query("turns_with_scenes", f"""with {TURNS}, {SHORT} select seq_id, pos, turns.label as role, short.label,
+  round(sqrt(list_dot_product(scene, scene)), 6) as norm from turns join short using (seq_id, pos)""")
+def turns_with_scenes(spark, sf):
+    """Text rows and their vectors meet by key, not by place in a list."""
+    turns = tables.dialogue_turns(spark, sf).select("seq_id", "pos", F.col("label").alias("role"))
+    joined = turns.join(tables.short_scenes(spark, sf), ["seq_id", "pos"])
+    norm = V.norm(V.as_double("scene")).alias("norm")
+    return round_doubles(joined.select("seq_id", "pos", "role", "label", norm))
+
+
+@query("joined_f1", f"""with {SHORT}, tr as ({COSINE_TR}), c as (select
+  sum((gt and score < 0.05)::int)::bigint as tp, sum((not gt and score < 0.05)::int)::bigint as fp,
+  sum((gt and not score < 0.05)::int)::bigint as fn from tr)
+select tp, fp, fn, {f1_columns('tp', 'fp', 'fn')} from c""")
+def joined_f1(spark, sf):
+    """Truth and predictions from separate tables."""
+    scenes = tables.short_scenes(spark, sf)
+    predicted = T.below(T.scored_transitions(scenes, "dot", "scene"), 0.05)
+    joined = T.label_shifts(scenes).join(predicted.select("seq_id", "pos", "pred"), ["seq_id", "pos"])
+    return round_doubles(metrics.f1_score(joined))
+
+
+@query("value_logsumexp", """with m as (select event_type, max(value) as m from events group by 1)
+select event_type, round(any_value(m) + ln(sum(exp(value - m))), 6) as logsumexp from events join m using (event_type) group by 1""")
+def value_logsumexp(spark, sf):
+    return round_doubles(metrics.logsumexp(tables.table(spark, sf, "events"), "value", "event_type"))

@@ -98,3 +98,15 @@ def test_surprise_and_boundary_probability_blocks(scenes):
         "seq_id", "pos", F.zip_with("log_like", "log_prior", lambda a, b: a + b).alias("log_post")
     )
     same(P.boundary_log_probability(joint, 3), P.boundary_log_probability(joint, 10_000))
+
+
+def test_missing_labels_and_times_are_kept(spark):
+    df = spark.createDataFrame(
+        [(1, i, "a" if i % 3 else None) for i in range(10)], "seq_id int, pos int, label string"
+    )
+    for rows in (2, 100):
+        got = {r["pos"]: r["c"] for r in R.running_counts(df, rows).collect()}
+        assert got == {i: sum(1 for j in range(i) if bool(j % 3) == bool(i % 3)) for i in range(10)}
+    timed = spark.createDataFrame([(1, None, 0), (1, 5, 1), (None, 1, 2), (None, None, 3)], "seq_id int, t int, id int")
+    placed = dense_positions(timed, ["t", "id"], F.col("t")).collect()
+    assert sorted((r["id"], r["pos"]) for r in placed) == [(0, 0), (1, 1), (2, 1), (3, 0)]

@@ -13,27 +13,21 @@ def con():
     return connect(SF)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name in catalog.ORACLES:
         assert compare(df, con, catalog.ORACLES[name]) == []
     else:
         assert df.count() > 0
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def test_no_query_plans_a_cross_join(spark):
-    for name, fn in catalog.QUERIES.items():
-        if name.startswith("stream"):
-            continue
-        text = plan(fn(spark, SF))
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-
-
 def test_scans_read_only_what_is_needed(spark):
     text = plan(catalog.QUERIES["shift_truth"](spark, SF))
     assert "embedding" not in text.split("ReadSchema")[1]

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package() -> None:
+    """Send the functions of this package to Python workers by value.
+
+    Workers then need no copy of the package. That also holds for the worker that a stateful
+    stream starts on the driver, which does not see ``--py-files``.
+    """
+    package = importlib.import_module("eventide")
+    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -22,6 +35,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
     )
     for name, value in conf.items():
         builder = builder.config(name, value)
+    ship_package()
     return builder.getOrCreate()
 
 

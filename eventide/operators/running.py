@@ -9,118 +9,183 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventide.functions import vector as V
-from eventide.operators.moments import topic_variance
 from eventide.operators.ordered import field_types, in_order, matrix, stream
-from eventide.operators.positions import BLOCK_ROWS, with_carry, with_halo, halo_window, with_lag
-
-_SUMS = ("sum", "normL2", "count")
-
-
-def _running_sums(scenes: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Adds ``n, s1, s2``: count, sum and sum of squares up to and including the row.
-
-    Vectors stay vectors: the summariser adds them in place along the window.
+from eventide.operators.positions import (
+    BLOCK, BLOCK_ROWS, block_of, halo_window, with_carry, with_halo, with_lag,
+)
+from eventide.operators.segment import WARM_COUNT
+
+def _running(
+    scenes: DataFrame, by_label: bool, finish, out: dict[str, str], rows: int, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Running count, sum and sum of squares, handed to ``finish`` a batch at a time.
+
+    ``finish(x, n, s1, s2, batch)`` gets the scenes and the totals up to and including each
+    row and returns one column per name in ``out``. Rows are ordered inside (sequence, label,
+    block). What earlier blocks added up to travels as one extra row in front of a block, so
+    it is not repeated on every row, and one-block sequences have none.
     """
+    label = ["label"] if by_label else []
+    keys = ["seq_id", *label]
     v = array_to_vector(V.as_double("scene"))
-    square = lambda norm: F.transform(vector_to_array(norm), lambda x: x * x)
+    blocked = scenes.withColumn(BLOCK, block_of(rows))
+    # Only sequences of several blocks carry anything, and those are few.
+    long = scenes.where(F.col("pos") >= rows).select("seq_id").distinct()
+    per_block = blocked.join(long, "seq_id", "left_semi").groupBy(*keys, BLOCK).agg(
+        F.count("*").alias("_n"), Summarizer.metrics("sum", "normL2").summary(v).alias("_s")
+    )
+    squares = array_to_vector(F.transform(vector_to_array("_s.normL2"), lambda x: x * x))
+    parts = per_block.select(*keys, BLOCK, "_n", F.col("_s.sum").alias("_v1"), squares.alias("_v2"))
+    through = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(BLOCK)
 
-    def window_sum(column, frame):
-        summed = Summarizer.metrics("sum").summary(F.col(column)).over(frame)
+    def so_far(column):
+        summed = Summarizer.metrics("sum").summary(F.col(column)).over(through)
         return vector_to_array(summed.getField("sum"))
 
-    # The summariser rejects an empty frame, so the frame takes in the block itself, which is
-    # then subtracted again.
-    def carried(before, ordered):
-        through = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        return {
-            "_n": F.sum("_bn").over(through) - F.col("_bn"),
-            "_s1": V.subtract(window_sum("_v1", through), F.col("_b1")),
-            "_s2": V.subtract(window_sum("_v2", through), F.col("_b2")),
-        }
-
-    block_sum = vector_to_array(Summarizer.sum(v))
-    block_sq = square(Summarizer.normL2(v))
-    joined, w = with_carry(
-        scenes,
-        keys,
-        {
-            "_bn": F.count("*"),
-            "_b1": block_sum,
-            "_b2": block_sq,
-            "_v1": array_to_vector(block_sum),
-            "_v2": array_to_vector(block_sq),
-        },
-        carried,
-        rows,
-    )
-    stats = Summarizer.metrics(*_SUMS).summary(v).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = joined.withColumn("_s", stats)
-    return summed.select(
-        *scenes.columns,
-        (F.col("_s.count") + F.col("_n")).alias("n"),
-        V.add(vector_to_array("_s.sum"), F.col("_s1")).alias("s1"),
-        V.add(square(F.col("_s.normL2")), F.col("_s2")).alias("s2"),
+    totals = parts.select(
+        *keys, F.lead(BLOCK).over(later).alias(BLOCK), F.sum("_n").over(through).cast("double").alias("_n"),
+        so_far("_v1").alias("_s1"), so_far("_v2").alias("_s2"),
+    ).where(F.col(BLOCK).isNotNull())
+    types = dict(blocked.dtypes)
+    none = lambda t: F.lit(None).cast(t)
+    extra = {"_n": "double", "_s1": "array<double>", "_s2": "array<double>"}
+    passed = list(dict.fromkeys(["seq_id", "pos", *(["label"] if "label" in scenes.columns else []), *keep]))
+    inputs = list(dict.fromkeys([*passed, "scene", BLOCK]))
+    body = blocked.select(*inputs, *[none(t).alias(c) for c, t in extra.items()])
+    heads = totals.select(
+        *[F.lit(-1).cast(types["pos"]).alias(c) if c == "pos" else F.col(c) if c in (*keys, BLOCK)
+          else none(types[c]).alias(c) for c in inputs],
+        *extra,
     )
+    names = [*passed, *out]
+
+    def run(batches):
+        last_key, carried = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.num_rows
+            n = batch.column("_n").to_numpy(zero_copy_only=False)
+            head = ~np.isnan(n)
+            real = np.flatnonzero(~head)
+            scene = batch.column("scene").drop_null()
+            x = matrix(scene) if len(scene) else None
+            d = x.shape[1] if x is not None else len(batch.column("_s1")[0])
+            v1, v2 = np.zeros((size, d)), np.zeros((size, d))
+            if x is not None:
+                v1[real], v2[real] = x, x * x
+            if head.any():
+                v1[head] = matrix(batch.column("_s1").drop_null())
+                v2[head] = matrix(batch.column("_s2").drop_null())
+            count = np.where(head, n, 1.0)
+            key = list(zip(*(batch.column(c).to_pylist() for c in (*keys, BLOCK))))
+            if carried is not None and key[0] == last_key:
+                count[0] += carried[0]
+                v1[0] += carried[1]
+                v2[0] += carried[2]
+            starts = np.array([i == 0 or key[i] != key[i - 1] for i in range(size)])
+            first = np.maximum.accumulate(np.where(starts, np.arange(size), 0))
+
+            def running(values):
+                total = np.cumsum(values, axis=0)
+                return total - (total[first] - values[first])
+
+            cn, c1, c2 = running(count), running(v1), running(v2)
+            last_key, carried = key[-1], (cn[-1], c1[-1].copy(), c2[-1].copy())
+            if not len(real):
+                continue
+            rows_only = batch.take(pa.array(real))
+            made = finish(x, cn[real], c1[real], c2[real], rows_only)
+            columns = [rows_only.column(c) for c in passed] + [made[c] for c in out]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = field_types(scenes, passed) + [f"{c} {t}" for c, t in out.items()]
+    return stream(in_order(body.unionByName(heads), salt=(*label, BLOCK)), run, ", ".join(fields))
+
+
+def _vectors(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+
+
+def _moments(n, s1, s2):
+    """Mean and squared deviations; zeros for an empty topic."""
+    some = np.maximum(n, 1.0)[:, None]
+    return s1 / some, np.maximum(s2 - s1 * s1 / some, 0.0)
+
+
+def _variance(n, m2, sigma0_sq, floor=1e-6):
+    warm = np.maximum(m2 / np.maximum(n, 1.0)[:, None], floor)
+    return np.where(n[:, None] < WARM_COUNT, sigma0_sq, warm)
 
 
 def running_mean(scenes: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``mean``: the mean of the sequence up to and including the scene."""
-    summed = _running_sums(scenes, ["seq_id"], rows)
-    return summed.select(*scenes.columns, V.scale(F.col("s1"), 1.0 / F.col("n")).alias("mean"))
+    """``mean``: the mean of the sequence up to and including the scene."""
+
+    def finish(x, n, s1, s2, batch):
+        return {"mean": _vectors(s1 / n[:, None])}
+
+    return _running(scenes, False, finish, {"mean": "array<double>"}, rows)
 
 
 def running_topic_state(scenes: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``n_before, mu_before, m2_before`` of the scene's own label, and ``n, s1, s2``."""
-    summed = _running_sums(scenes, ["seq_id", "label"], rows)
-    x = V.as_double("scene")
-    before = summed.withColumns(
-        {
-            "n_before": F.col("n") - 1,
-            "_p1": V.subtract(F.col("s1"), x),
-            "_p2": F.zip_with("s2", x, lambda a, b: a - b * b),
+    """``n_before, mu_before, m2_before``: the scene's own topic before the turn."""
+
+    def finish(x, n, s1, s2, batch):
+        mu, m2 = _moments(n - 1, s1 - x, s2 - x * x)
+        return {
+            "n_before": pa.array(np.rint(n - 1).astype(np.int64)),
+            "mu_before": _vectors(np.where(n[:, None] > 1, mu, 0.0)),
+            "m2_before": _vectors(np.where(n[:, None] > 1, m2, 0.0)),
         }
-    )
-    n = F.col("n_before")
-    mu = F.transform("_p1", lambda a: F.when(n > 0, a / n).otherwise(F.lit(0.0)))
-    m2 = F.zip_with(
-        "_p1", "_p2", lambda a, b: F.when(n > 0, F.greatest(b - a * a / n, F.lit(0.0))).otherwise(F.lit(0.0))
-    )
-    return before.withColumns({"mu_before": mu, "m2_before": m2}).drop("_p1", "_p2")
+
+    out = {"n_before": "bigint", "mu_before": "array<double>", "m2_before": "array<double>"}
+    return _running(scenes, True, finish, out, rows)
 
 
 def running_scores(scenes: DataFrame, sigma0_sq: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """``loglik`` and ``prediction_error`` of each scene under its own topic before the turn;
     a topic without scenes is a Gaussian at the origin."""
-    state = running_topic_state(scenes, rows)
-    var = topic_variance(F.col("n_before"), F.col("m2_before"), sigma0_sq)
-    scored = state.withColumns({"_var": var, "_x": V.as_double("scene")})
-    return scored.select(
-        "seq_id",
-        "pos",
-        "label",
-        "n_before",
-        V.diagonal_loglik(F.col("_x"), F.col("mu_before"), F.col("_var")).alias("loglik"),
-        V.prediction_error(F.col("_x"), F.col("mu_before"), F.col("_var")).alias("prediction_error"),
-    )
+
+    def finish(x, n, s1, s2, batch):
+        before = n - 1
+        mu, m2 = _moments(before, s1 - x, s2 - x * x)
+        mu = np.where(before[:, None] > 0.5, mu, 0.0)
+        var = _variance(before, m2, sigma0_sq)
+        error = ((x - mu) ** 2 / var).sum(axis=1)
+        return {
+            "n_before": pa.array(np.rint(before).astype(np.int64)),
+            "loglik": pa.array(-0.5 * (error + np.log(var).sum(axis=1) + x.shape[1] * V.LOG_2PI)),
+            "prediction_error": pa.array(error),
+        }
+
+    out = {"n_before": "bigint", "loglik": "double", "prediction_error": "double"}
+    return _running(scenes, True, finish, out, rows)
 
 
 def boundary_scores(scenes: DataFrame, sigma0_sq: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Error of each scene under the topic that was active at the previous turn."""
-    state = _running_sums(scenes, ["seq_id", "label"], rows)
-    lagged = with_lag(
-        state.select("seq_id", "pos", "scene", F.struct("n", "s1", "s2").alias("st")), {"_st": "st"}, rows
-    ).where(F.col("pos") > 0)
-    n = F.col("_st.n")
-    mu = F.transform("_st.s1", lambda a: a / n)
-    m2 = F.zip_with("_st.s1", "_st.s2", lambda a, b: F.greatest(b - a * a / n, F.lit(0.0)))
-    parts = lagged.select(
-        "seq_id", "pos", V.as_double("scene").alias("x"), n.alias("n"), mu.alias("mu"), m2.alias("m2")
-    )
-    var = topic_variance(F.col("n"), F.col("m2"), sigma0_sq)
-    return parts.withColumn("_var", var).select(
-        "seq_id", "pos", V.prediction_error(F.col("x"), F.col("mu"), F.col("_var")).alias("score")
+    """Error of each scene under the topic that was active at the previous turn.
+
+    The scene is moved to the previous row, where the state of that topic is at hand.
+    """
+    haloed, own = with_halo(scenes.select("seq_id", "pos", "label", "scene"), 0, rows, after=1)
+    ahead = haloed.select("*", F.lead("scene").over(halo_window()).alias("_next")).where(own).drop(BLOCK)
+
+    def finish(x, n, s1, s2, batch):
+        mu, m2 = _moments(n, s1, s2)
+        var = _variance(n, m2, sigma0_sq)
+        following = batch.column("_next")
+        known = np.flatnonzero(np.array(following.is_valid()))
+        error = np.zeros(len(x))
+        if len(known):
+            y = matrix(following.drop_null())
+            error[known] = ((y - mu[known]) ** 2 / var[known]).sum(axis=1)
+        return {"score": pa.array(error, mask=~np.array(following.is_valid()))}
+
+    scored = _running(ahead, True, finish, {"score": "double"}, rows, keep=("_next",))
+    return scored.where(F.col("_next").isNotNull()).select(
+        "seq_id", (F.col("pos") + 1).alias("pos"), "score"
     )
 
 

@@ -20,7 +20,7 @@ def scenes(spark):
 
 def close(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return a == pytest.approx(b, abs=1e-9)
+        return a == pytest.approx(b, rel=1e-8, abs=1e-9)
     if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
         return len(a) == len(b) and all(close(x, y) for x, y in zip(a, b))
     return a == b

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventide.functions import hashed as H, vector as V
 from eventide.operators import binding as B, memory as Y, metrics, moments as M
 from eventide.operators.dynamics import linear_dynamics
-from eventide.plans.q_transitions import LONG, SHORT
+from eventide.plans.q_transitions import SHORT
 from eventide.plans.registry import query, round_doubles
 from eventide.sources import tables
 

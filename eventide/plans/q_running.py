@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from eventide.functions import prior as P, text as X, vector as V
 from eventide.operators import moments as M, running as R
 from eventide.operators.positions import with_lag
-from eventide.operators.segment import Config, segment
 from eventide.plans.q_transitions import EVENT_TURNS, FEAT, LONG, SHORT
 from eventide.plans.registry import query, round_doubles
 from eventide.sources import tables

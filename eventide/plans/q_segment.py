@@ -10,7 +10,7 @@ from eventide.operators.context import contextualized, questions, unroll
 from eventide.operators.encode import encode
 from eventide.plans import evaluation as E
 from eventide.plans.q_transitions import (
-    COSINE_GRID, COSINE_TR, ENTITIES_SQL, FEAT, LONG, SHORT, TOKENS_SQL, TURNS, f1_columns, sweep_sql,
+    COSINE_GRID, FEAT, LONG, SHORT, TOKENS_SQL, TURNS, f1_columns, sweep_sql,
     transitions_sql,
 )
 from eventide.plans.recursion_sql import assignment_ctes

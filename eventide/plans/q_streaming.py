@@ -27,9 +27,8 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = tables.table(spark, sf_dir, name).schema
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
+        .option("maxFilesPerTrigger", 8)
+        .parquet(f"{sf_dir}/{name}.parquet")
     )
 
 

@@ -156,6 +156,47 @@ def test_plugged_model_restarts(spark):
     assert rows[2]["pe"] == pytest.approx(math.dist(x[1], x[2]))
 
 
+def test_plugged_recursion_against_loops(spark, sequences):
+    """The last-scene model, with every candidate, restart and error written out."""
+    x = sequences[0][0]
+    alfa, lmda, nu0, var0, d = 0.7, 3.0, 10.0, 0.06, 6
+    mode = nu0 * var0 / (nu0 + 2)
+    config = N.EventConfig(alfa=alfa, lmda=lmda, var_df0=nu0, var_scale0=var0, factory=N.LastSceneModel)
+    got = sorted(N.run_events(frame(spark, [sequences[0]]), config).collect(), key=lambda r: r["pos"])
+    counts, starts, errors, prev = [], [], [], None
+
+    def spread(k):
+        e = errors[k]
+        return (nu0 * var0 + len(e) * np.var(e, axis=0)) / (nu0 + len(e) + 2) if len(e) > 1 else np.full(d, mode)
+
+    for i, (s, r) in enumerate(zip(x, got)):
+        first = [density(s, np.mean(starts[k], axis=0), spread(k)) for k in range(len(counts))]
+        first.append(density(s, np.zeros(d), np.full(d, mode)))
+        prior = counts + [alfa]
+        score = [math.log(p) + l for p, l in zip(prior, first)]
+        opens = True
+        if prev is not None:
+            repeat = math.log(counts[prev] + lmda) + density(s, x[i - 1], spread(prev))
+            restart = score[prev]
+            score[prev] = max(restart, repeat)
+            opens = restart > repeat
+        k = int(np.argmax(score))
+        opens = opens or k != prev
+        assert (r["topic"], r["is_boundary"]) == (k, opens)
+        if k == len(counts):
+            counts.append(0)
+            starts.append([])
+            errors.append([])
+        counts[k] += 1
+        if opens:
+            if starts[k]:
+                errors[k].append(s - np.mean(starts[k], axis=0))
+            starts[k].append(s)
+        else:
+            errors[k].append(s - x[i - 1])
+        prev = k
+
+
 def test_pretraining_and_scoring(spark, sequences):
     df = frame(spark, sequences).withColumn("is_boundary", (F.col("pos") % 4) == 0).cache()
     model = {r["topic"]: r for r in M.pretrain(df).collect()}

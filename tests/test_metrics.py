@@ -103,18 +103,20 @@ def test_gates(spark):
 
 # --- time bins ---------------------------------------------------------------------
 
-def numpy_bins(ms, seconds, width):
-    edges = np.arange(width, seconds + width, width)
-    cumulative = np.array([np.sum(ms <= e * 1000) for e in edges])
-    return np.diff(np.concatenate([[0], cumulative]))
+def count_presses(ms, seconds, width):
+    """Presses per right-closed bin; those behind the last bin are lost."""
+    ends = 1000.0 * width * (1 + np.arange(math.ceil(seconds / width)))
+    place = np.searchsorted(ends, ms, side="left")
+    return np.bincount(place[place < len(ends)], minlength=len(ends))
 
 
-def numpy_rpb(flags, values):
+def expected_rpb(flags, values):
     one, zero = values[flags == 1], values[flags == 0]
-    if not len(one) or not len(zero) or values.std() == 0:
+    spread = np.sqrt(np.mean((values - values.mean()) ** 2))
+    if not one.size or not zero.size or not spread:
         return None
-    n1, n0 = len(one), len(zero)
-    return (one.mean() - zero.mean()) / values.std() * math.sqrt(n1 * n0 / (n1 + n0) ** 2)
+    share = one.size / (one.size + zero.size)
+    return (one.mean() - zero.mean()) / spread * math.sqrt(share * (1 - share))
 
 
 @pytest.fixture(scope="module")
@@ -134,16 +136,16 @@ def test_bins_rates_and_subjects(spark, presses):
         got[r["movie"], r["bin"]] = r["rate"]
     for m, sec in seconds.items():
         times = np.array(sorted({t for _, movie, t in rows if movie == m}))
-        group[m] = numpy_bins(times, sec, 1.0) / 6
+        group[m] = count_presses(times, sec, 1.0) / 6
         assert [got[m, b] for b in range(int(sec))] == pytest.approx(list(group[m]))
     assert len(got) == 22
     values = np.concatenate([group["A"], group["B"]])
     for r in P.subject_point_biserial(df, durations, 1.0).collect():
         mine = np.concatenate([
-            numpy_bins(np.array([t for s, movie, t in rows if s == r["subj"] and movie == m]), sec, 1.0)
+            count_presses(np.array([t for s, movie, t in rows if s == r["subj"] and movie == m]), sec, 1.0)
             for m, sec in seconds.items()
         ])
-        want = numpy_rpb(mine, values)
+        want = expected_rpb(mine, values)
         assert r["r_pb"] == (pytest.approx(want) if want is not None else None)
 
 
@@ -156,7 +158,7 @@ def test_permutations_move_flags_only(spark):
     assert [p for p, _ in r0] == list(range(30)) and [x for _, x in r0] == pytest.approx([x for _, x in r1])
     assert abs(np.mean([x for _, x in r0])) < 0.15
     values = np.array(sorted((v for _, _, v, _ in rows), reverse=True))
-    best = max(numpy_rpb(np.arange(40) < m, values) for m in range(1, 31))
+    best = max(expected_rpb(np.arange(40) < m, values) for m in range(1, 31))
     rates = df.select("movie", "bin", F.col("value").alias("rate"))
     assert P.best_attainable(rates, 30).first()["r_pb"] == pytest.approx(best)
 
@@ -164,8 +166,8 @@ def test_permutations_move_flags_only(spark):
 def test_boundary_bins(spark):
     flags = [i in (3, 7, 29) for i in range(30)]
     df = spark.createDataFrame([(1, i, f) for i, f in enumerate(flags)], "seq_id int, pos int, is_boundary boolean")
-    t = np.arange(1, 31) / 10.0
-    want = [bool(np.any(np.array(flags)[(t >= b) & (t < b + 1)])) for b in np.arange(0, t.max(), 1.0)]
+    # Frames 1..30 at ten per second: the last frame sits on the end of the last bin.
+    want = [any(flags[i] for i in range(29) if (i + 1) // 10 == b) for b in range(3)]
     got = sorted((r["bin"], r["boundary"]) for r in P.binned_boundaries(df, 10.0, 1.0).collect())
     assert got == list(enumerate(want))
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from eventide.operators import metrics
 from eventide.operators import segment as G
 from planted import blocks, frame, wandering
-from reference_rules import assign_all
+from plain_rules import assign_all
 
 CASES = [
     G.Config(alpha=a, lmda=l, sigma0_sq=s0, scorer=sc, kappa=3 / s0**0.5, beta=0.3, k_max=k,
@@ -116,7 +116,7 @@ def test_planted_clusters_are_recovered(spark):
     assert metrics.adjusted_rand(out, "label", "topic", "seq_id").agg({"ari": "min"}).first()[0] >= 0.9
 
 
-def test_sticky_topic_persists_under_noise(spark):
+def test_stickiness_keeps_noisy_scenes_together(spark):
     rng = np.random.default_rng(0)
     out = G.segment(frame(spark, [blocks(rng, [10], [0], d=8, noise=0.05, k=1)])).collect()
     assert {(r["topic"], r["is_boundary"]) for r in out} == {(0, False)}

@@ -24,11 +24,12 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files (hence the pattern)."""
     schema = tables.table(spark, sf_dir, name).schema
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", 8)
-        .parquet(f"{sf_dir}/{name}.parquet")
+        .parquet(f"{sf_dir}/{name}[.]parquet")
     )
 
 

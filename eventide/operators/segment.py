@@ -7,6 +7,7 @@ batch and all configurations advance together, one position at a time, as array
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -168,6 +169,8 @@ class Bank:
         Returns topic ids and change flags, one per (sequence, configuration).
         """
         n = len(x)
+        if n == 1 and len(self.configs) == 1 and self.scorer in GAUSS:
+            return self._assign_alone(x[0])
         rows = np.arange(n * len(self.configs))
         count = len(rows)
         self.seen[:n] += 1.0
@@ -192,6 +195,44 @@ class Bank:
         self.prev[:count] = topic
         return topic, changed
 
+    def _assign_alone(self, s: np.ndarray):
+        """The same step for one sequence and one Gaussian configuration, without index
+        arrays: a long sequence advances alone, so its time per scene counts."""
+        c, used, prev = self.configs[0], int(self.used[0]), int(self.prev[0])
+        self.seen[0] += 1.0
+        if self.scorer == "gauss-global":
+            self.mean[0] += (s - self.mean[0]) / self.seen[0]
+        topic = 0
+        if used:
+            quad = self.inv_var[0, :used] @ (s * s) - 2.0 * (self.scaled[0, :used] @ s) + self.const[0, :used]
+            known = np.log(self.counts[0, :used]) - 0.5 * quad
+            known[prev] = math.log(self.counts[0, prev] + c.lmda) - 0.5 * quad[prev]
+            topic = int(known.argmax())
+            if used < c.k_max:
+                off = s - self.mean[0] if self.scorer == "gauss-global" else s
+                squares = 0.0 if self.scorer == "gauss-self" else float(off @ off)
+                fresh = -0.5 * (squares / c.sigma0_sq + self.dim * (LOG_2PI + math.log(c.sigma0_sq)))
+                if math.log(c.alpha) + fresh > known[topic]:
+                    topic = used
+        if topic == used:
+            self.used[0] += 1
+            if used >= self.counts.shape[1]:
+                self._grow()
+        n = self.counts[0, topic] + 1.0
+        old = self.mu[0, topic].copy()
+        new = old + (s - old) / n
+        spread = self.m2[0, topic] + (s - old) * (s - new)
+        self.counts[0, topic], self.mu[0, topic], self.m2[0, topic] = n, new, spread
+        if n < WARM_COUNT:
+            inv, log_det = np.full(self.dim, 1.0 / c.sigma0_sq), self.dim * math.log(c.sigma0_sq)
+        else:
+            var = np.maximum(spread / n, c.sigma_min_sq)
+            inv, log_det = 1.0 / var, float(np.log(var).sum())
+        self.inv_var[0, topic], self.scaled[0, topic] = inv, inv * new
+        self.const[0, topic] = float((inv * new) @ new) + log_det + self.dim * LOG_2PI
+        self.prev[0] = topic
+        return np.array([topic]), np.array([prev >= 0 and topic != prev])
+
     def _learn(self, rows, topic, x, tokens, entities) -> None:
         self.used[rows] = np.maximum(self.used[rows], topic + 1)
         while int(topic.max()) >= self.counts.shape[1]:
@@ -341,12 +382,18 @@ class BatchRunner:
             bank = Bank(configs, dim, len(chunk), slots=min(slots, 16))
             if carried is not None and 0 in chunk:
                 bank.put(chunk.index(0), carried)
+            if len(chunk) == 1:
+                for row in range(*spans[chunk[0]]):
+                    topic, change = bank.assign(x[row : row + 1], tokens[row], entities[row])
+                    topics[row, ids], changed[row, ids] = topic, change
+                if len(spans) - 1 in chunk:
+                    final_state = bank.take(0)
+                continue
             lengths = np.array([spans[i][1] - spans[i][0] for i in chunk])
             firsts = np.array([spans[i][0] for i in chunk])
             for step in range(longest):
                 rows = firsts[: int((lengths > step).sum())] + step
-                tok, ent = (tokens[rows[0]], entities[rows[0]]) if lone else (frozenset(), frozenset())
-                topic, change = bank.assign(x[rows], tok, ent)
+                topic, change = bank.assign(x[rows])
                 topics[rows[:, None], ids] = topic.reshape(-1, each)
                 changed[rows[:, None], ids] = change.reshape(-1, each)
             if len(spans) - 1 in chunk:

@@ -68,7 +68,8 @@ def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     """Equi-join in which NULL meets NULL; the keys come from the left side."""
     other = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
+    joined = left.join(other, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, name: str, open_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:

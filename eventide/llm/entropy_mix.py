@@ -26,8 +26,10 @@ from .common import iterate, n_words, safe_join, table, written
 MOST = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
+#: Relative miss of a target at which Newton's steps end; whole copies are coarser than that.
+CLOSE = 1e-6
 NEWTON_ROUNDS = 40
-MENDING_ROUNDS = 8
+MENDING_ROUNDS = 5
 BUCKETS = 256
 
 
@@ -91,11 +93,11 @@ def _tilts(classes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
         middle = F.when(F.col("low2") == float("-inf"), F.col("high2") * 2 - 1).otherwise((F.col("low2") + F.col("high2")) / 2)
         return sums.select("*", low.alias("low2"), high.alias("high2")).select(
             "source", "target", "unit",
-            F.when(F.abs(gap) <= F.col("target") * 1e-9, F.col("tilt")).when(inside, newton).otherwise(middle).alias("tilt"),
+            F.when(F.abs(gap) <= F.col("target") * CLOSE, F.col("tilt")).when(inside, newton).otherwise(middle).alias("tilt"),
             F.col("low2").alias("low"), F.col("high2").alias("high"), (F.abs(gap) / F.col("target")).alias("miss"),
         )
 
-    return iterate(written(start, "mix-tilt"), step, NEWTON_ROUNDS, "mix-tilt", lambda s: s.where("miss > 1e-9"))
+    return iterate(written(start, "mix-tilt"), step, NEWTON_ROUNDS, "mix-tilt", lambda s: s.where(F.col("miss") > CLOSE))
 
 
 def _mended(classes: DataFrame, most: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import entropy_mix, outliers, packed_tokens, pu_quality
+from . import entropy_mix, outliers, packed_tokens, pu_quality, simhash
 
 ORACLES: dict[str, str] = {}
 
@@ -26,6 +26,7 @@ QUERIES = {
         "op4_robust_outliers": outliers.op4_robust_outliers,
         "op5_entropy_mix": entropy_mix.op5_entropy_mix,
         "op7_packed_tokens": packed_tokens.op7_packed_tokens,
+        "op8_simhash_components": simhash.op8_simhash_components,
         "op9_pu_quality": pu_quality.op9_pu_quality,
     }.items()
 }

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import entropy_mix, outliers, packed_tokens, pu_quality, simhash
+from . import decontaminate, entropy_mix, outliers, packed_tokens, pu_quality, simhash
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_benchmark_hits": decontaminate.ORACLE}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,6 +23,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op3_benchmark_hits": decontaminate.op3_benchmark_hits,
         "op4_robust_outliers": outliers.op4_robust_outliers,
         "op5_entropy_mix": entropy_mix.op5_entropy_mix,
         "op7_packed_tokens": packed_tokens.op7_packed_tokens,

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, entropy_mix, outliers, packed_tokens, pu_quality, simhash
+from . import decontaminate, entropy_mix, license_scan, outliers, packed_tokens, pu_quality, simhash, url_filter
 
-ORACLES: dict[str, str] = {"op3_benchmark_hits": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE,
+    "op3_benchmark_hits": decontaminate.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,9 +27,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op2_license_scan": license_scan.op2_license_scan,
         "op3_benchmark_hits": decontaminate.op3_benchmark_hits,
         "op4_robust_outliers": outliers.op4_robust_outliers,
         "op5_entropy_mix": entropy_mix.op5_entropy_mix,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_packed_tokens": packed_tokens.op7_packed_tokens,
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_pu_quality": pu_quality.op9_pu_quality,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, entropy_mix, license_scan, outliers, packed_tokens, pu_quality, simhash, suffix_tree_lm, url_filter
+from . import decontaminate, entropy_mix, license_scan, outliers, packed_tokens, pu_quality, simhash, suffix_dedup, suffix_tree_lm, url_filter
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.ORACLE,
@@ -27,6 +27,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op10_suffix_tree_lm": suffix_tree_lm.op10_suffix_tree_lm,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_benchmark_hits": decontaminate.op3_benchmark_hits,

@@ -88,10 +88,11 @@ def _oracle() -> str:
     rows = ", ".join(f"({k}, '{name}', {_pairs_of(text)!r})" for k, (name, text) in enumerate(NOTICES))
     return rf"""
 with notices(place, license, pairs) as (values {rows}),
+d as materialized (select row_number() over () as rid, doc_id, text from documents),
 lines as (
   select rid, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from (select rid, unnest(parts) as line, generate_subscripts(parts, 1) as line_no
-        from (select row_number() over () as rid, string_split(text, chr(10)) as parts from documents where text is not null))),
+        from (select rid, string_split(text, chr(10)) as parts from d where text is not null))),
 grams as (select distinct rid, line_no, w[i] || ' ' || w[i + 1] as pair from (select rid, line_no, w, unnest(range(1, len(w))) as i from lines)),
 sizes as (select rid, line_no, count(*) as a from grams group by all),
 commons as (
@@ -101,7 +102,7 @@ scored as (select rid, place, license, line_no, 2.0::double * c / (a + b) as dic
 good as (select rid, line_no, max(dice) as dice, arg_max(license, (dice, -place)) as license, max((dice, -place)) as rank from scored where dice >= {LEAST_DICE} group by rid, line_no),
 best as (select rid, max(dice) as dice, arg_max(license, rank) as license, count(*) as n from good group by rid)
 select doc_id, license, coalesce(dice, 0.0::double) as dice, coalesce(n, 0) as n_license_lines
-from (select row_number() over () as rid, doc_id from documents) d left join best using (rid)
+from d left join best using (rid)
 """
 
 

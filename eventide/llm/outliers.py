@@ -5,6 +5,7 @@ estimator looks for the half of the documents whose covariance has the smallest
 median deviations, each concentration step takes mean and covariance of the documents that are nearest by the last
 estimate, which never raises the determinant. Documents of a group are rejected by their Mahalanobis distance to it.
 
+The groups' estimates are written tables: joins broadcast them while they are small, and shuffle and split hot groups otherwise.
 A step is one aggregation over a narrow table of vectors: moments and approximate quantiles, both combined before
 the shuffle, so a source with a third of all rows costs its tasks no more than the others. The covariance is inverted by
 its Cholesky factor, written out as column expressions.
@@ -142,20 +143,20 @@ def robust_distances(vectors: DataFrame, x: list[str], half: float = HALF, steps
     moments = [F.count("*").alias("__n"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(x)]]
     moments += [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"__p{i}{j}") for i in range(d) for j in range(i + 1)]
     middles = vectors.groupBy("__group").agg(*[F.percentile_approx(c, 0.5).alias(f"__m{i}") for i, c in enumerate(x)])
-    off = safe_join(vectors, middles, ["__group"], "inner")
+    off = safe_join(vectors, written(middles, "mcd-middles"), ["__group"], "inner")
     spreads = off.groupBy("__group").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"__m{i}")), 0.5).alias(f"__w{i}") for i, c in enumerate(x)])
-    first = safe_join(off, spreads, ["__group"], "inner")
+    first = safe_join(off, written(spreads, "mcd-spreads"), ["__group"], "inner")
     scaled = [(F.col(c) - F.col(f"__m{i}")) * (F.col(c) - F.col(f"__m{i}")) / (F.col(f"__w{i}") * F.col(f"__w{i}") * 2.2 + RIDGE) for i, c in enumerate(x)]
     rows = first.select(*vectors.columns, sum(scaled, F.lit(0.0)).alias("__d2"))
     for _ in range(steps):
         rows = written(rows, "mcd-distances")
         near = rows.groupBy("__group").agg(F.percentile_approx("__d2", half).alias("__limit"))
-        kept = safe_join(rows, near, ["__group"], "inner").where("__d2 <= __limit")
+        kept = safe_join(rows, written(near, "mcd-limits"), ["__group"], "inner").where("__d2 <= __limit")
         factors = written(_factor(kept.groupBy("__group").agg(*moments), x), "mcd-factors")
         rows = _squared(vectors, factors, x)
     rows = written(rows, "mcd-distances")
     scale = rows.groupBy("__group").agg(F.greatest(F.percentile_approx("__d2", 0.5), F.lit(CHI_MEDIANS[d - 1] / 10)).alias("__median"))
-    return safe_join(rows, scale, ["__group"], "inner").withColumn("__d2", F.col("__d2") / F.col("__median") * CHI_MEDIANS[d - 1]).drop("__median")
+    return safe_join(rows, written(scale, "mcd-scales"), ["__group"], "inner").withColumn("__d2", F.col("__d2") / F.col("__median") * CHI_MEDIANS[d - 1]).drop("__median")
 
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
@@ -166,7 +167,7 @@ def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     sizes = rows.where(~F.col("base_failed")).groupBy("__group").agg(F.count("*").alias("__size")).where(F.col("__size") >= LEAST_GROUP).drop("__size")
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     # Rows of a group with equal statistics have one vector, so the distances need no row identity.
-    passed = safe_join(rows.where(~F.col("base_failed")), sizes, ["__group"], "inner")
+    passed = safe_join(rows.where(~F.col("base_failed")), written(sizes, "mcd-sizes"), ["__group"], "inner")
     vectors = written(passed.select("__group", "doc_id", *keys[1:], *[v.alias(n) for v, n in zip(vector(), x)]), "mcd-vectors")
     far = robust_distances(vectors, x).select("__group", *keys, F.col("__d2").alias("distance2")).dropDuplicates(["__group", *keys])
     out = safe_join(rows, far, ["__group", *keys])

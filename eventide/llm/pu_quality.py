@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk.
 
-Trusted positives are the documents marked good in the training fold; every document without such a mark is unlabelled,
-and so are the marked ones outside the fold. With the class prior ``p`` and the logistic loss, the risk is
+Trusted positives are the documents marked good in the training fold. The unlabelled sample is all documents, whatever their
+marks: it has to show the mixture of good and bad text as it is. With the class prior ``p`` and the logistic loss, the risk is
 ``p E+[l(z)] + max(0, E_u[l(-z)] - p E+[l(-z)])``: unlabelled text counts as bad, less the share of it that is good. The
 clamp keeps the second part from going below zero; while it would, steps lower only that part, as the published rule has it.
 
@@ -11,7 +11,7 @@ whose size depends only on the number of statistics. The class prior is the shar
 
 Inputs of a score are statistics of the text alone. Defined cases: a null or empty text has the statistics of no words and
 gets a score like any other. Rows with a null id belong to the training fold and have no label. Of several labels of one id the highest counts.
-Without positives or without unlabelled text all documents score the prior, and 1 if there are no labels at all.
+Without positives all documents score the prior, and 1 if there are no labels at all.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import safe_join, table, written
 
 ACCEPT = 0.7
-STEPS = 14
+STEPS = 16
+#: Weight of the squared weights, and what is added to it per document's share, so that few documents fit fewer details.
 RIDGE = 1e-4
+RIDGE_ROWS = 5.0
 #: Statistics of a text; the model also takes their squares.
 N_STATS = 16
 #: Bytes counted by kind: capitals, small letters, digits, blanks, line ends, stops, marks of exclamation, bars, other signs, non-ASCII.
@@ -99,47 +101,55 @@ def _totals(df: DataFrame, part) -> list[np.ndarray]:
 
 
 def _loss_parts(weights: np.ndarray, centre: np.ndarray, spread: np.ndarray):
-    """Loss, gradient and curvature sums, apart for positives (both signs) and unlabelled text (as bad)."""
+    """Loss, gradient and curvature sums, apart for positives (both signs) and all text (as bad)."""
 
     def part(features: np.ndarray, positive: np.ndarray) -> list[np.ndarray]:
         x = expanded(features, centre, spread)
         z = x @ weights
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        good, other = x[positive], x[~positive]
+        good, as_bad = x[positive], np.logaddexp(0, z)
         bend = (p * (1 - p))[:, None] * x
         return [
-            np.array([positive.sum(), (~positive).sum(), np.logaddexp(0, -z[positive]).sum(), np.logaddexp(0, z[positive]).sum(), np.logaddexp(0, z[~positive]).sum()]),
-            good.T @ (p[positive] - 1), good.T @ p[positive], other.T @ p[~positive], good.T @ bend[positive], other.T @ bend[~positive],
+            np.array([positive.sum(), len(x), np.logaddexp(0, -z[positive]).sum(), as_bad[positive].sum(), as_bad.sum()]),
+            good.T @ (p[positive] - 1), good.T @ p[positive], x.T @ p, good.T @ bend[positive], x.T @ bend,
         ]
 
     return part
 
 
 def fit(rows: DataFrame, prior: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Weights, centres and spreads from ``rows`` (``features``, ``positive``), or None without positives or unlabelled rows."""
+    """Weights, centres and spreads from ``rows`` (``features``, ``positive``), or None without positives."""
     moments = _totals(rows, lambda x, good: [np.array([len(x), good.sum()]), x.sum(0), (x * x).sum(0)])
-    if not moments or moments[0][1] == 0 or moments[0][0] == moments[0][1]:
+    if not moments or moments[0][1] == 0:
         return None
     centre = moments[1] / moments[0][0]
     spread = np.sqrt(np.maximum(moments[2] / moments[0][0] - centre**2, 0)) + 0.05
     d = 2 * N_STATS + 1
-    ridge = RIDGE * np.eye(d)
-    weights = np.zeros(d)
+    ridge = (RIDGE + RIDGE_ROWS / moments[0][0]) * np.append(np.ones(d - 1), 1e-3)
+    weights, best, least, shrink = np.zeros(d), np.zeros(d), np.inf, 1.0
+    step = np.zeros(d)
     for _ in range(steps):
-        sizes, up_good, down_good, down_other, bend_good, bend_other = _totals(rows, _loss_parts(weights, centre, spread))
-        bend_good, bend_other = bend_good.reshape(d, d), bend_other.reshape(d, d)
-        n_good, n_other = sizes[:2]
-        below = sizes[4] / n_other - prior * sizes[3] / n_good < 0
-        rest = down_other / n_other - prior * down_good / n_good
-        gradient = -rest if below else prior * up_good / n_good + rest
+        sizes, up_good, down_good, down_all, bend_good, bend_all = _totals(rows, _loss_parts(weights, centre, spread))
+        n_good, n_all = sizes[:2]
+        rest = sizes[4] / n_all - prior * sizes[3] / n_good
+        risk = prior * sizes[2] / n_good + max(0.0, rest) + (ridge * weights**2).sum() / 2
+        if risk > least + 1e-9:
+            shrink /= 2
+            weights = best + shrink * step
+            continue
+        best, least, shrink = weights, risk, 1.0
+        below = rest < 0
+        rest_gradient = down_all / n_all - prior * down_good / n_good
+        gradient = -rest_gradient if below else prior * up_good / n_good + rest_gradient + ridge * weights
         # Without the clamp the curvature of the positives cancels, since l(z) - l(-z) is linear.
-        curvature = bend_other / n_other + 0.05 * bend_good / n_good
-        step = np.linalg.solve(curvature + ridge, gradient + RIDGE * weights * (not below))
+        curvature = bend_all.reshape(d, d) / n_all + 0.02 * bend_good.reshape(d, d) / n_good + np.diag(ridge) + 1e-9 * np.eye(d)
+        step = -np.linalg.solve(curvature, gradient)
         length = np.sqrt(step @ step)
-        weights = weights - step * min(1.0, 3.0 / max(length, 1e-12)) * (0.1 if below else 1.0)
+        step *= min(1.0, 5.0 / max(length, 1e-12)) * (0.1 if below else 1.0)
+        weights = best + step
         if length < 1e-3:
             break
-    return weights, centre, spread
+    return best, centre, spread
 
 
 def fold(key: Column, modulus: int) -> Column:

@@ -75,13 +75,43 @@ def _pair_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _top(score: np.ndarray, names: list[str], k: int):
-    """Per row the best ``k`` as (score, name), best first, plus maximum and scaled sum."""
-    peak = score.max(axis=1)
-    mass = np.exp(score - peak[:, None]).sum(axis=1)
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    best = [[{"score": float(score[i, j]), "name": names[j]} for j in row] for i, row in enumerate(order)]
-    return best, peak, mass
+#: Queries and symbols whose scores are held at a time: 8 million numbers.
+TILE = (1024, 8192)
+
+
+def _nearest(x: np.ndarray, table: np.ndarray, names: list[str], k: int, gamma: float, metric: str):
+    """Per row the best ``k`` as (score, name), best first, plus maximum and scaled sum.
+
+    Walks tiles of the score matrix with a running top k and softmax sum; ``names`` ascend, and on ties
+    the first name wins.
+    """
+    best, peaks, masses = [], np.empty(len(x)), np.empty(len(x))
+    for top in range(0, len(x), TILE[0]):
+        rows = x[top : top + TILE[0]]
+        n = len(rows)
+        peak, mass = np.full(n, -np.inf), np.zeros(n)
+        row, col, val = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for left in range(0, len(table), TILE[1]):
+            score = -gamma * _pair_distances(rows, table[left : left + TILE[1]], metric)
+            higher = np.maximum(peak, score.max(axis=1))
+            mass = mass * np.exp(peak - higher) + np.exp(score - higher[:, None]).sum(axis=1)
+            peak = higher
+            if score.shape[1] > k:
+                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                r, c = np.nonzero(score >= least[:, None])
+            else:
+                r, c = np.nonzero(np.ones(score.shape, bool))
+            row, col, val = np.append(row, r), np.append(col, c + left), np.append(val, score[r, c])
+            order = np.lexsort((col, -val, row))
+            row, col, val = row[order], col[order], val[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, val = row[place < k], col[place < k], val[place < k]
+        ends = np.searchsorted(row, np.arange(n + 1))
+        best += [
+            [{"score": float(v), "name": names[j]} for v, j in zip(val[a:b], col[a:b])] for a, b in zip(ends[:-1], ends[1:])
+        ]
+        peaks[top : top + n], masses[top : top + n] = peak, mass
+    return best, peaks, masses
 
 
 _PARTIAL = "best array<struct<score:double,name:string>>, peak double, mass double"
@@ -97,10 +127,15 @@ def cleanup(
     Adds ``rank`` (from 1), ``name`` and ``prob``. ``vocabulary`` is ``name, vec``. A small
     vocabulary travels to the tasks as one matrix. A large one is cut into blocks: each
     (query block, vocabulary block) pair is a group of bounded size that yields its own top k
-    and its part of the softmax sum, and those merge exactly; pairs are never emitted.
+    and its part of the softmax sum, and those merge exactly; pairs are never emitted, and a task
+    holds one tile of scores at a time. Queries count as different if a key or the vector
+    differs; equal ones are looked up once and returned as often as they came, whatever the route.
     """
     keys = [c for c in queries.columns if c != vec]
-    fields = field_types(queries, keys)
+    given = queries.groupBy(*keys, vec).agg(F.count("*").alias("_copies"))
+    given = given.withColumn("_id", F.xxhash64(*keys, vec))
+    inner = [*keys, "_copies", "_id"]
+    fields = field_types(given, inner)
     if blocks is None:
         d = F.size("vec")
         size = vocabulary.agg(F.count("*").alias("n"), F.max(d).alias("d")).first()
@@ -115,16 +150,16 @@ def cleanup(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                score = -gamma * _pair_distances(matrix(batch.column(vec)), table, metric)
-                best, peak, mass = _top(score, names, k)
-                out = [batch.column(c) for c in keys]
+                best, peak, mass = _nearest(matrix(batch.column(vec)), table, names, k, gamma, metric)
+                out = [batch.column(c) for c in inner]
                 out += [pa.array(best, _BEST_TYPE), pa.array(peak), pa.array(mass)]
-                yield pa.RecordBatch.from_arrays(out, names=keys + ["best", "peak", "mass"])
+                yield pa.RecordBatch.from_arrays(out, names=inner + ["best", "peak", "mass"])
 
-        merged = queries.select(*keys, vec).mapInArrow(run, ", ".join(fields + [_PARTIAL]))
+        merged = given.select(*inner, vec).mapInArrow(run, ", ".join(fields + [_PARTIAL]))
     else:
-        merged = _merge_parts(_block_parts(queries, vocabulary, keys, fields, k, gamma, metric, vec, blocks), keys, k)
-    ranked = merged.select(*keys, "peak", "mass", F.posexplode("best").alias("_i", "_b"))
+        merged = _merge_parts(_block_parts(given, vocabulary, inner, fields, k, gamma, metric, vec, blocks), inner, k)
+    each = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    ranked = each.select(*keys, "peak", "mass", F.posexplode("best").alias("_i", "_b"))
     prob = F.exp(F.col("_b.score") - F.col("peak")) / F.col("mass")
     return ranked.select(*keys, (F.col("_i") + 1).alias("rank"), F.col("_b.name").alias("name"), prob.alias("prob"))
 
@@ -132,7 +167,7 @@ def cleanup(
 def _block_parts(queries, vocabulary, keys, fields, k, gamma, metric, vec, blocks):
     """Partial results per (query, vocabulary block)."""
     nq, nv = blocks
-    q = queries.withColumn("_q", F.pmod(F.xxhash64(*keys), F.lit(nq))).withColumn(
+    q = queries.withColumn("_q", F.pmod(F.col("_id"), F.lit(nq))).withColumn(
         "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint")))
     )
     v = vocabulary.select("name", F.col("vec").alias("_vec")).withColumn(
@@ -150,7 +185,7 @@ def _block_parts(queries, vocabulary, keys, fields, k, gamma, metric, vec, block
         order = np.argsort(np.array(right.column("name").to_pylist()), kind="stable")
         names = [right.column("name")[int(i)].as_py() for i in order]
         table = matrix(right.column("_vec").combine_chunks())[order]
-        best, peak, mass = _top(-gamma * _pair_distances(x, table, metric), names, k)
+        best, peak, mass = _nearest(x, table, names, k, gamma, metric)
         columns = [left.column(c) for c in keys] + [pa.array(best, _BEST_TYPE), pa.array(peak), pa.array(mass)]
         return pa.Table.from_arrays(columns, schema=out_schema)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventide.functions import hashed as H, vector as V
+from eventide.operators.positions import join_small
 
 
 def corrupt(scenes: DataFrame, tau: float, label_precision: float, b: int, seed: str = "0") -> DataFrame:
@@ -124,8 +125,8 @@ def relative_distance(rebuilt: DataFrame, scenes: DataFrame, *by: str) -> DataFr
     Positive values mean that a reconstruction is drawn to the scene and not to the event's
     average. ``rebuilt`` has ``<by>, seq_id, pos, mean``; ``scenes`` has a label.
     """
-    truth = scenes.select("seq_id", "pos", "label", V.as_double("scene").alias("scene")).join(
-        centroids(scenes, "label"), "label"
+    truth = join_small(
+        scenes.select("seq_id", "pos", "label", V.as_double("scene").alias("scene")), centroids(scenes, "label"), ["label"]
     )
     joined = rebuilt.join(truth, ["seq_id", "pos"])
     to_truth = V.euclidean(F.col("mean"), F.col("scene"))

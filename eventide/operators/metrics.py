@@ -143,15 +143,22 @@ def purity(pairs: DataFrame, true: str, pred: str, *by: str) -> DataFrame:
 
 
 def logsumexp(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Log-sum-exp of a long-form column in one aggregation pass after the maximum.
+    """Log-sum-exp of a long-form column; the rows are read once.
 
-    The maximum is taken per group first, so exp never overflows.
+    Values are counted by their whole part, and a whole part's sum is scaled by it, so exp never
+    overflows. These few sums per group are then put on the scale of the largest. NULL groups are groups; NULL values are
+    left out; minus infinity adds nothing.
     """
-    tops = rows.groupBy(*by).agg(F.max(value).alias("_m"))
-    joined = rows.join(tops, list(by))
-    return joined.groupBy(*by).agg(
-        (F.first("_m") + F.log(F.sum(F.exp(F.col(value) - F.col("_m"))))).alias("logsumexp")
+    whole = F.when(F.col(value) > float("-inf"), F.floor(value))
+    sums = rows.where(F.col(value).isNotNull()).withColumn("_k", whole).groupBy(*by, "_k").agg(
+        F.sum(F.exp(F.col(value) - F.col("_k"))).alias("_s")
     )
+    packed = sums.groupBy(*by).agg(F.max("_k").alias("_m"), F.collect_list(F.struct("_k", "_s")).alias("_c"))
+    mass = F.aggregate(
+        F.filter("_c", lambda c: c["_k"].isNotNull()), F.lit(0.0),
+        lambda acc, c: acc + c["_s"] * F.exp((c["_k"] - F.col("_m")).cast("double")),
+    )
+    return packed.select(*by, F.when(F.col("_m").isNull(), F.lit(float("-inf"))).otherwise(F.col("_m") + F.log(mass)).alias("logsumexp"))
 
 
 def passes(f1: Column, baseline: Column, floor: float = 0.4) -> Column:
@@ -160,21 +167,24 @@ def passes(f1: Column, baseline: Column, floor: float = 0.4) -> Column:
 
 
 def gate(metrics: DataFrame, method: str, baseline: str, floor: float = 0.4,
-         overhead_ms: float | None = None, limit_ms: float = 200.0) -> DataFrame:
+         time: str | None = None, limit_ms: float = 200.0) -> DataFrame:
     """Gate per benchmark: beats the baseline, beats the floor, stays in the time limit.
 
-    ``metrics`` has ``benchmark, method, f1``. A missing method or time gives NULL.
+    ``metrics`` has ``benchmark, method, f1`` and, under the name ``time``, the measured milliseconds
+    per turn. A missing method or time gives NULL.
     """
     f1_of = lambda m: F.max(F.when(F.col("method") == m, F.col("f1")))
+    taken = F.max(F.when(F.col("method") == method, F.col(time))) if time else F.lit(None).cast("double")
     wide = metrics.groupBy("benchmark").agg(
-        f1_of(method).alias("f1"), f1_of(baseline).alias("baseline_f1")
+        f1_of(method).alias("f1"), f1_of(baseline).alias("baseline_f1"), taken.alias("_ms")
     )
-    in_time = F.lit(overhead_ms) <= F.lit(limit_ms) if overhead_ms is not None else F.lit(None).cast("boolean")
+    in_time = F.col("_ms") <= F.lit(limit_ms)
     return (
         wide.withColumn("beats_baseline", F.col("f1") > F.col("baseline_f1"))
         .withColumn("beats_floor", F.col("f1") > F.lit(float(floor)))
         .withColumn("in_time", in_time)
         .withColumn("passed", F.col("beats_baseline") & F.col("beats_floor") & F.col("in_time"))
+        .drop("_ms")
     )
 
 
@@ -199,3 +209,27 @@ def pearson(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Pearson correlation of two array columns, element against element."""
     cells = pairs.select(*by, F.explode(F.arrays_zip(V.as_double(F.col(a)).alias("x"), V.as_double(F.col(b)).alias("y"))).alias("c"))
     return cells.groupBy(*by).agg(F.corr("c.x", "c.y").alias("r"))
+
+
+def v_measure(pairs: DataFrame, true: str, pred: str, *by: str) -> DataFrame:
+    """Homogeneity, completeness and their harmonic mean from the contingency counts.
+
+    All three sums of ``n log n`` come from one pass with grouping sets over the counts. A side without
+    entropy counts as fully explained.
+    """
+    # NULL labels are labels: they travel as structs, which are never NULL themselves.
+    cells = contingency(pairs, true, pred, *by).select(*by, F.struct("t").alias("t"), F.struct("p").alias("p"), "n")
+    sets = [[*by, "t", "p"], [*by, "t"], [*by, "p"], list(by)]
+    margins = cells.groupingSets([[F.col(c) for c in s] for s in sets], *by, "t", "p").agg(
+        F.sum("n").cast("double").alias("n"), F.grouping("t").alias("gt"), F.grouping("p").alias("gp")
+    )
+    plogp = lambda gt, gp: F.sum(F.when((F.col("gt") == gt) & (F.col("gp") == gp), F.col("n") * F.log("n")))
+    sums = margins.groupBy(*by).agg(
+        plogp(0, 0).alias("_b"), plogp(0, 1).alias("_t"), plogp(1, 0).alias("_p"),
+        F.max(F.when((F.col("gt") == 1) & (F.col("gp") == 1), F.col("n"))).alias("_n"),
+    )
+    whole = F.col("_n") * F.log("_n")
+    explained = lambda own, other: F.when(whole - F.col(own) < 1e-9, F.lit(1.0)).otherwise(1.0 - (F.col(other) - F.col("_b")) / (whole - F.col(own)))
+    scored = sums.select(*by, F.col("_n").cast("bigint").alias("rows"), explained("_t", "_p").alias("homogeneity"), explained("_p", "_t").alias("completeness"))
+    h, c = F.col("homogeneity"), F.col("completeness")
+    return scored.withColumn("v_measure", _ratio(2.0 * h * c, h + c))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventide.functions import vector as V
 from eventide.functions.vector import LOG_2PI
 from eventide.operators.ordered import field_types, matrix
+from eventide.operators.positions import join_small
 from eventide.operators.segment import WARM_COUNT
 from eventide.session import bounded_rows
 
@@ -30,19 +31,22 @@ def topic_moments(scenes: DataFrame, *by: str) -> DataFrame:
 
 
 def merge_moments(parts: DataFrame, *by: str) -> DataFrame:
-    """Pairwise-exact merge of partial ``n, mu, m2`` rows (several models or runs)."""
+    """Merge of partial ``n, mu, m2`` rows (several models or runs) by Chan's formula.
+
+    Deviations are taken from the merged mean, so a common offset of the vectors costs no digits.
+    """
     cells = parts.select(
         *by, "n", F.posexplode(F.arrays_zip("mu", "m2")).alias("dim", "c")
     ).select(*by, "n", "dim", F.col("c.mu").alias("mu"), F.col("c.m2").alias("m2"))
-    sums = cells.groupBy(*by, "dim").agg(
+    means = cells.groupBy(*by, "dim").agg((F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("_mean"))
+    off = F.col("mu") - F.col("_mean")
+    sums = join_small(cells, means, [*by, "dim"]).groupBy(*by, "dim").agg(
         F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("mu")).alias("s1"),
-        F.sum(F.col("m2") + F.col("n") * F.col("mu") * F.col("mu")).alias("s2"),
-    )
-    mean = F.col("s1") / F.col("n")
-    dims = sums.select(
-        *by, "n", F.struct("dim", mean.alias("mu"), (F.col("s2") - F.col("s1") * mean).alias("m2")).alias("c")
+        # The offsets also mend the rounding of the mean.
+        (F.first("_mean") + F.sum(F.col("n") * off) / F.sum("n")).alias("mu"),
+        F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"),
     )
+    dims = sums.select(*by, "n", F.struct("dim", "mu", "m2").alias("c"))
     rows = dims.groupBy(*by).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("c")).alias("c"))
     return rows.select(
         *by, "n", F.col("c.mu").alias("mu"), F.transform("c.m2", lambda x: F.greatest(x, F.lit(0.0))).alias("m2")

@@ -52,7 +52,7 @@ def dense_positions(df: DataFrame, order: list[str], bucket: Column) -> DataFram
     )
     inside = Window.partitionBy("seq_id", "_bucket").orderBy(*order)
     ranked = join_small(rows, offsets, ["seq_id", "_bucket"]).withColumn(
-        "pos", (F.col("_offset") + F.row_number().over(inside) - 1).cast("int")
+        "pos", F.col("_offset") + F.row_number().over(inside) - 1
     )
     return ranked.drop("_bucket", "_offset")
 
@@ -65,8 +65,8 @@ def with_halo(
 
     Also returns the predicate that keeps the original rows once the windows are done.
     """
-    if before > rows or after > rows:
-        raise ValueError("the frame is longer than a block")
+    # A frame reaches at most one block on either side, so blocks are at least as long.
+    rows = max(rows, before, after)
     own = block_of(rows)
     place = F.col("pos") % rows
     here = F.array(own)

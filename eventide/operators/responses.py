@@ -225,6 +225,11 @@ def permutation_null(bins: DataFrame, n_permutations: int, digits: int = 2) -> D
         .select("movie", "p", F.col("value").alias("v"))
     )
     marked = whole.unionByName(part).groupBy("movie", "p").agg(F.sum("v").alias("sum1")).join(stats, "movie")
+    # A movie without flagged bins has no marked bins, and its correlations are NULL.
+    every = stats.select("movie", "n1").where(F.col("n1") == 0).select(
+        "movie", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("p")
+    )
+    marked = marked.unionByName(every.join(stats, "movie"), allowMissingColumns=True)
     n0 = F.col("n") - F.col("n1")
     r = _r_pb(
         F.col("sum1") / F.col("n1"), (F.col("total") - F.col("sum1")) / n0, F.col("s"), F.col("n1"), n0
@@ -232,8 +237,8 @@ def permutation_null(bins: DataFrame, n_permutations: int, digits: int = 2) -> D
     return marked.select("movie", "p", r.alias("r_pb"))
 
 
-def best_attainable(rates: DataFrame, most: int) -> DataFrame:
-    """Highest correlation that flags on the top-m bins can reach, over m = 1..``most``.
+def best_attainable(rates: DataFrame, most: int | None = None) -> DataFrame:
+    """Highest correlation that flags on the top-m bins can reach, over m = 1..``most`` (all by default).
 
     The window runs over the bins of a movie, whose number is fixed by its duration.
     """
@@ -246,7 +251,7 @@ def best_attainable(rates: DataFrame, most: int) -> DataFrame:
         F.count("*").over(whole).alias("n"),
         F.sum("rate").over(whole).alias("total"),
         F.stddev_pop("rate").over(whole).alias("s"),
-    ).where((F.col("m") <= most) & (F.col("m") < F.col("n")))
+    ).where((F.col("m") < F.col("n")) & (F.col("m") <= most if most is not None else F.lit(True)))
     n0 = F.col("n") - F.col("m")
     r = _r_pb(F.col("top") / F.col("m"), (F.col("total") - F.col("top")) / n0, F.col("s"), F.col("m"), n0)
     return run.groupBy("movie").agg(F.max(r).alias("r_pb"))

@@ -20,10 +20,13 @@ def _running(
 ) -> DataFrame:
     """Running count, sum and sum of squares, handed to ``finish`` a batch at a time.
 
-    ``finish(x, n, s1, s2, batch)`` gets the scenes and the totals up to and including each
-    row and returns one column per name in ``out``. Rows are ordered inside (sequence, label,
-    block). What earlier blocks added up to travels as one extra row in front of a block, so
-    it is not repeated on every row, and one-block sequences have none.
+    ``finish(x, n, s1, s2, base, batch)`` gets the scenes and the totals up to and including
+    each row and returns one column per name in ``out``. Sums are taken of ``x - base``, where
+    ``base`` is a scene (or block mean) of the same group, so that a large common offset cancels
+    before anything is squared. Rows are ordered inside (sequence, label, block), and each such group is
+    summed on its own: no group's values enter another's. What earlier blocks added up to travels
+    as one extra row in front of a block, so it is not repeated on every row, and
+    one-block sequences have none.
     """
     label = ["label"] if by_label else []
     keys = ["seq_id", *label]
@@ -32,10 +35,20 @@ def _running(
     # Only sequences of several blocks carry anything, and those are few.
     long = scenes.where(F.col("pos") >= rows).select("seq_id").distinct()
     per_block = blocked.join(long, "seq_id", "left_semi").groupBy(*keys, BLOCK).agg(
-        F.count("*").alias("_n"), Summarizer.metrics("sum", "normL2").summary(v).alias("_s")
+        F.count("*").alias("_n"), Summarizer.metrics("mean", "variance").summary(v).alias("_s")
+    ).select(
+        *keys, BLOCK, "_n", vector_to_array("_s.mean").alias("_mu"),
+        F.transform(vector_to_array("_s.variance"), lambda x: x * (F.col("_n") - 1)).alias("_m2"),
+    )
+    first_mean = F.first("_mu").over(Window.partitionBy(*keys).orderBy(BLOCK))
+    based = per_block.withColumn("_base", first_mean).withColumn(
+        "_off", F.zip_with("_mu", "_base", lambda a, b: a - b)
+    )
+    parts = based.select(
+        *keys, BLOCK, "_n", "_base",
+        array_to_vector(F.transform("_off", lambda x: x * F.col("_n"))).alias("_v1"),
+        array_to_vector(F.zip_with("_m2", "_off", lambda q, x: q + x * x * F.col("_n"))).alias("_v2"),
     )
-    squares = array_to_vector(F.transform(vector_to_array("_s.normL2"), lambda x: x * x))
-    parts = per_block.select(*keys, BLOCK, "_n", F.col("_s.sum").alias("_v1"), squares.alias("_v2"))
     through = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy(*keys).orderBy(BLOCK)
 
@@ -45,11 +58,11 @@ def _running(
 
     totals = parts.select(
         *keys, F.lead(BLOCK).over(later).alias(BLOCK), F.sum("_n").over(through).cast("double").alias("_n"),
-        so_far("_v1").alias("_s1"), so_far("_v2").alias("_s2"),
+        so_far("_v1").alias("_s1"), so_far("_v2").alias("_s2"), "_base",
     ).where(F.col(BLOCK).isNotNull())
     types = dict(blocked.dtypes)
     none = lambda t: F.lit(None).cast(t)
-    extra = {"_n": "double", "_s1": "array<double>", "_s2": "array<double>"}
+    extra = {"_n": "double", "_s1": "array<double>", "_s2": "array<double>", "_base": "array<double>"}
     passed = list(dict.fromkeys(["seq_id", "pos", *(["label"] if "label" in scenes.columns else []), *keep]))
     inputs = list(dict.fromkeys([*passed, "scene", BLOCK]))
     body = blocked.select(*inputs, *[none(t).alias(c) for c, t in extra.items()])
@@ -72,31 +85,34 @@ def _running(
             scene = batch.column("scene").drop_null()
             x = matrix(scene) if len(scene) else None
             d = x.shape[1] if x is not None else len(batch.column("_s1")[0])
-            v1, v2 = np.zeros((size, d)), np.zeros((size, d))
+            c1, c2, base = np.zeros((size, d)), np.zeros((size, d)), np.zeros((size, d))
+            scenes_at = np.zeros((size, d))
             if x is not None:
-                v1[real], v2[real] = x, x * x
+                scenes_at[real] = x
             if head.any():
-                v1[head] = matrix(batch.column("_s1").drop_null())
-                v2[head] = matrix(batch.column("_s2").drop_null())
-            count = np.where(head, n, 1.0)
+                c1[head] = matrix(batch.column("_s1").drop_null())
+                c2[head] = matrix(batch.column("_s2").drop_null())
+                base[head] = matrix(batch.column("_base").drop_null())
+            cn = np.where(head, n, 1.0)
             key = list(zip(*(batch.column(c).to_pylist() for c in (*keys, BLOCK))))
-            if carried is not None and key[0] == last_key:
-                count[0] += carried[0]
-                v1[0] += carried[1]
-                v2[0] += carried[2]
-            starts = np.array([i == 0 or key[i] != key[i - 1] for i in range(size)])
-            first = np.maximum.accumulate(np.where(starts, np.arange(size), 0))
-
-            def running(values):
-                total = np.cumsum(values, axis=0)
-                return total - (total[first] - values[first])
-
-            cn, c1, c2 = running(count), running(v1), running(v2)
-            last_key, carried = key[-1], (cn[-1], c1[-1].copy(), c2[-1].copy())
+            starts = [i for i in range(size) if i == 0 or key[i] != key[i - 1]]
+            for a, b in zip(starts, starts[1:] + [size]):
+                goes_on = a == 0 and carried is not None and key[0] == last_key
+                body = a + 1 if head[a] else a
+                base[a:b] = carried[3] if goes_on else base[a] if head[a] else scenes_at[a]
+                off = scenes_at[body:b] - base[body:b]
+                c1[body:b], c2[body:b] = off, off * off
+                if goes_on:
+                    cn[a] += carried[0]
+                    c1[a] += carried[1]
+                    c2[a] += carried[2]
+                for values in (cn, c1, c2):
+                    np.cumsum(values[a:b], axis=0, out=values[a:b])
+            last_key, carried = key[-1], (cn[-1], c1[-1].copy(), c2[-1].copy(), base[-1].copy())
             if not len(real):
                 continue
             rows_only = batch.take(pa.array(real))
-            made = finish(x, cn[real], c1[real], c2[real], rows_only)
+            made = finish(x, cn[real], c1[real], c2[real], base[real], rows_only)
             columns = [rows_only.column(c) for c in passed] + [made[c] for c in out]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -109,10 +125,10 @@ def _vectors(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
-def _moments(n, s1, s2):
-    """Mean and squared deviations; zeros for an empty topic."""
+def _moments(n, s1, s2, base):
+    """Mean and squared deviations from sums of ``x - base``; callers mask empty topics."""
     some = np.maximum(n, 1.0)[:, None]
-    return s1 / some, np.maximum(s2 - s1 * s1 / some, 0.0)
+    return base + s1 / some, np.maximum(s2 - s1 * s1 / some, 0.0)
 
 
 def _variance(n, m2, sigma0_sq, floor=1e-6):
@@ -123,8 +139,8 @@ def _variance(n, m2, sigma0_sq, floor=1e-6):
 def running_mean(scenes: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """``mean``: the mean of the sequence up to and including the scene."""
 
-    def finish(x, n, s1, s2, batch):
-        return {"mean": _vectors(s1 / n[:, None])}
+    def finish(x, n, s1, s2, base, batch):
+        return {"mean": _vectors(base + s1 / n[:, None])}
 
     return _running(scenes, False, finish, {"mean": "array<double>"}, rows)
 
@@ -132,8 +148,9 @@ def running_mean(scenes: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 def running_topic_state(scenes: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """``n_before, mu_before, m2_before``: the scene's own topic before the turn."""
 
-    def finish(x, n, s1, s2, batch):
-        mu, m2 = _moments(n - 1, s1 - x, s2 - x * x)
+    def finish(x, n, s1, s2, base, batch):
+        off = x - base
+        mu, m2 = _moments(n - 1, s1 - off, s2 - off * off, base)
         return {
             "n_before": pa.array(np.rint(n - 1).astype(np.int64)),
             "mu_before": _vectors(np.where(n[:, None] > 1, mu, 0.0)),
@@ -148,9 +165,10 @@ def running_scores(scenes: DataFrame, sigma0_sq: float, rows: int = BLOCK_ROWS)
     """``loglik`` and ``prediction_error`` of each scene under its own topic before the turn;
     a topic without scenes is a Gaussian at the origin."""
 
-    def finish(x, n, s1, s2, batch):
+    def finish(x, n, s1, s2, base, batch):
         before = n - 1
-        mu, m2 = _moments(before, s1 - x, s2 - x * x)
+        off = x - base
+        mu, m2 = _moments(before, s1 - off, s2 - off * off, base)
         mu = np.where(before[:, None] > 0.5, mu, 0.0)
         var = _variance(before, m2, sigma0_sq)
         error = ((x - mu) ** 2 / var).sum(axis=1)
@@ -172,8 +190,8 @@ def boundary_scores(scenes: DataFrame, sigma0_sq: float, rows: int = BLOCK_ROWS)
     haloed, own = with_halo(scenes.select("seq_id", "pos", "label", "scene"), 0, rows, after=1)
     ahead = haloed.select("*", F.lead("scene").over(halo_window()).alias("_next")).where(own).drop(BLOCK)
 
-    def finish(x, n, s1, s2, batch):
-        mu, m2 = _moments(n, s1, s2)
+    def finish(x, n, s1, s2, base, batch):
+        mu, m2 = _moments(n, s1, s2, base)
         var = _variance(n, m2, sigma0_sq)
         following = batch.column("_next")
         known = np.flatnonzero(np.array(following.is_valid()))

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventide.operators.metrics import with_f1
-from eventide.operators.transitions import pooled
 
 
 def arange(start: float, stop: float, step: float) -> list[float]:
@@ -16,10 +15,12 @@ def arange(start: float, stop: float, step: float) -> list[float]:
 
 
 def _cleared(score: Column, thetas: list[float]) -> Column:
-    """How many of the ascending thresholds the score reaches (``theta <= score``)."""
-    if len(thetas) <= 64:
-        return pooled([(score >= F.lit(t)).cast("int") for t in thetas])
-    return F.size(F.filter(F.array(*map(F.lit, thetas)), lambda t: t <= score))
+    """How many of the ascending thresholds the score reaches (``theta <= score``).
+
+    NULL for a NULL score: such a transition is neither predicted nor missed at any threshold.
+    """
+    reached = F.filter(F.array(*map(F.lit, thetas)), lambda t: t <= score)
+    return F.when(score.isNotNull(), F.size(reached))
 
 
 def threshold_sweep(
@@ -30,7 +31,7 @@ def threshold_sweep(
     Transitions are counted by the first threshold above them, and running totals over the
     (number of thresholds + 1) buckets give every confusion table. The cost does not grow
     with the number of thresholds and only counts are shuffled. ``by`` gives one sweep per
-    group.
+    group. A NULL score counts in none of tp, fp and fn.
     """
     order = sorted(range(len(thetas)), key=lambda i: thetas[i])
     ascending = [thetas[i] for i in order]

@@ -7,6 +7,7 @@ from eventide.plans import (  # noqa: F401
     q_responses,
     q_events,
     q_memory,
+    q_retrieval,
     q_streaming,
 )
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -67,9 +67,9 @@ def _roles(spark):
 
 def _parts(spark, sf):
     scenes = tables.short_scenes(spark, sf)
-    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("pos") % 3 + 1)
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("pos") % 3 + 1).cast("int"))
     return scenes.select(
-        "seq_id", "pos", F.floor(F.col("pos") / 3).cast("int").alias("sentence"), role.alias("role"),
+        "seq_id", "pos", F.floor(F.col("pos") / 3).cast("bigint").alias("sentence"), role.alias("role"),
         F.col("vec_id").cast("string").alias("filler"), V.as_double("scene").alias("scene"),
     )
 

@@ -97,11 +97,11 @@ def permutation_null(spark, sf):
 @query("best_attainable", f"""with {RATES}, w as (select movie, row_number() over o as m, sum(rate) over o as top, count(*) over p as n,
   sum(rate) over p as total, stddev_pop(rate) over p as s from rate
   window o as (partition by movie order by rate desc, bin rows between unbounded preceding and current row), p as (partition by movie)),
-r as (select movie, {r_pb_sql('top/m', '(total-top)/(n-m)', 's', 'm', '(n-m)')} from w where m <= 250 and m < n)
+r as (select movie, {r_pb_sql('top/m', '(total-top)/(n-m)', 's', 'm', '(n-m)')} from w where m < n)
 select movie, max(r_pb) as r_pb from r group by 1""")
 def best_attainable(spark, sf):
     rates = P.group_rate(tables.presses(spark, sf), durations(spark, sf), HOUR)
-    return round_doubles(P.best_attainable(rates, 250))
+    return round_doubles(P.best_attainable(rates))
 
 
 @query("top_bins", f"with {RATES} select movie, bin, round(rate, 6) as rate from rate order by rate desc, movie, bin limit 10")

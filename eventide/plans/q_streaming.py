@@ -13,7 +13,7 @@ from eventide.plans.registry import query
 from eventide.session import ensure_checkpoint_dir
 from eventide.sources import tables
 from eventide.streaming.segment import append_turns, segment_stream
-from eventide.streaming.windows import tumbling_counts
+from eventide.streaming.windows import append_counts, latest_counts, tumbling_counts
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -36,7 +36,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _scene_stream(spark, sf_dir):
     return _stream(spark, sf_dir, "embeddings").select(
         F.call_function("div", F.col("vec_id"), F.lit(10)).alias("seq_id"),
-        (F.col("vec_id") % 10).cast("int").alias("pos"),
+        (F.col("vec_id") % 10).cast("bigint").alias("pos"),
         F.col("embedding").alias("scene"),
     )
 
@@ -52,21 +52,14 @@ def stream_segment(spark, sf_dir):
     return _run(spark, segment_stream(_scene_stream(spark, sf_dir), MIXED)).drop("late")
 
 
-@query("stream_counts", """select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events
- where date_trunc('day', ts) < (select date_trunc('day', max(ts)) from events) group by 1, 2""")
+@query("stream_counts", """select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events group by 1, 2""")
 def stream_counts(spark, sf_dir):
-    """Windows that the watermark closed; the last day stays open."""
+    """Counts of all rows, in whatever order and number of files they come."""
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = tumbling_counts(events, "1 day", "event_type", lateness="1 hour")
     folder = _folder(spark, "counts")
-    (
-        counts.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-        .option("path", f"{folder}/table").outputMode("append").trigger(availableNow=True).start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{folder}/table").select(
-        "event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n"
-    )
+    append_counts(tumbling_counts(events, "1 day", "event_type"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    latest = latest_counts(spark, f"{folder}/table", "event_type")
+    return latest.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
 @query("boundary_counts", """with s as (select ts, event_type <> lag(event_type) over (partition by user_id order by ts, event_id) as b from events)

@@ -17,18 +17,18 @@ OVERLAP_GRID = sweep.arange(0.0, 0.6, 0.02)
 # --- shared SQL fragments ---------------------------------------------------
 
 SHORT = """
-short as (select vec_id // 10 as seq_id, (vec_id % 10)::int as pos, label, vec_id,
+short as (select vec_id // 10 as seq_id, (vec_id % 10)::bigint as pos, label, vec_id,
                  embedding::double[] as scene from embeddings)"""
 LONG = """
 long as (select vec_id // 100 as seq_id, label, vec_id, embedding::double[] as scene,
-                (row_number() over (partition by vec_id // 100 order by label, vec_id) - 1)::int as pos
+                (row_number() over (partition by vec_id // 100 order by label, vec_id) - 1)::bigint as pos
          from embeddings)"""
 EVENT_TURNS = """
 event_turns as (select user_id as seq_id, event_type as label, ts, event_id,
-                (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos
+                (row_number() over (partition by user_id order by ts, event_id) - 1)::bigint as pos
          from events)"""
 TURNS = """
-turns as (select conv_id as seq_id, turn::int as pos, role as label, text from conversations)"""
+turns as (select conv_id as seq_id, turn::bigint as pos, role as label, text from conversations)"""
 
 STOP_LIST = ",".join(f"'{w}'" for w in X.STOP_WORDS)
 TOKENS_SQL = (
@@ -101,7 +101,7 @@ def event_shift_truth(spark, sf):
     return T.label_shifts(tables.event_turns(spark, sf))
 
 
-@query("flagged_truth", """select conv_id as seq_id, turn::int as pos, role = 'user' as gt
+@query("flagged_truth", """select conv_id as seq_id, turn::bigint as pos, role = 'user' as gt
 from conversations where turn > 0""")
 def flagged_truth(spark, sf):
     return T.flagged_shifts(tables.dialogue_turns(spark, sf), flag="user")
@@ -263,7 +263,7 @@ def first_sequences_query(spark, sf):
     return first_sequences(tables.dialogue_turns(spark, sf), 25).select("seq_id", "pos", "label")
 
 
-@query("user_turns", "select conv_id as seq_id, turn::int as pos, length(text)::int as chars "
+@query("user_turns", "select conv_id as seq_id, turn::bigint as pos, length(text)::int as chars "
        "from conversations where role = 'user'")
 def user_turns_query(spark, sf):
     t = user_turns(tables.dialogue_turns(spark, sf), "label")

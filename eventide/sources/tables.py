@@ -22,7 +22,7 @@ def short_scenes(spark: SparkSession, sf_dir: str, length: int = 10) -> DataFram
     """Sequences of ``length`` consecutive vectors; labels change at most positions."""
     return table(spark, sf_dir, "embeddings").select(
         F.call_function("div", F.col("vec_id"), F.lit(length)).alias("seq_id"),
-        (F.col("vec_id") % length).cast("int").alias("pos"),
+        (F.col("vec_id") % length).cast("bigint").alias("pos"),
         F.col("label"),
         F.col("embedding").alias("scene"),
         F.col("vec_id"),
@@ -43,7 +43,7 @@ def long_scenes(spark: SparkSession, sf_dir: str, length: int = 100) -> DataFram
 def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("seq_id"),
-        F.col("turn").cast("int").alias("pos"),
+        F.col("turn").cast("bigint").alias("pos"),
         F.col("role").alias("label"),
         F.col("text"),
     )

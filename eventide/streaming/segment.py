@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from eventide.operators.segment import GAUSS, VMF, Bank, Config
 
 STREAMABLE = GAUSS + VMF + ("centroid", "ema")
-OUTPUT = "seq_id {key}, pos int, topic int, is_boundary boolean, late bigint"
+OUTPUT = "seq_id {key}, pos bigint, topic int, is_boundary boolean, late bigint"
 
 
 class TopicProcessor(StatefulProcessor):

@@ -90,12 +90,12 @@ def test_logsumexp_does_not_overflow(spark):
 def test_gates(spark):
     rows = [("a", "ours", 0.5), ("a", "base", 0.45), ("b", "ours", 0.5), ("b", "base", 0.6), ("c", "base", 0.1)]
     df = spark.createDataFrame(rows, "benchmark string, method string, f1 double")
-    g = M.gate(df, "ours", "base", overhead_ms=1.0).cache()
+    g = M.gate(df.withColumn("ms", F.lit(1.0)), "ours", "base", time="ms").cache()
     assert {r["benchmark"]: r["passed"] for r in g.collect()} == {"a": True, "b": False, "c": None}
     assert M.combined_gate(g, ["a", "b"]).first()["passed"] is False
     assert M.combined_gate(g, ["a", "missing"]).first()["passed"] is None
     assert M.combined_gate(g, ["b", "missing"]).first()["passed"] is False
-    late = M.gate(df, "ours", "base", overhead_ms=201.0)
+    late = M.gate(df.withColumn("ms", F.lit(201.0)), "ours", "base", time="ms")
     assert {r["benchmark"]: r["passed"] for r in late.collect()}["a"] is False
     unknown = M.gate(df, "ours", "base")
     assert {r["benchmark"]: r["passed"] for r in unknown.collect()}["a"] is None

@@ -13,7 +13,7 @@ from eventide.functions.vector import LOG_2PI
 from eventide.operators.ordered import field_types, matrix
 from eventide.operators.positions import join_small
 from eventide.operators.segment import WARM_COUNT
-from eventide.session import bounded_rows
+from eventide.session import bounded_rows, shuffle_partitions
 
 
 def topic_moments(scenes: DataFrame, *by: str) -> DataFrame:
@@ -101,7 +101,7 @@ def pretrain(scenes: DataFrame, *by: str) -> DataFrame:
     )
 
 
-#: Topics of one fitted model that may be shipped to every task.
+#: Topics of a fitted model that are shipped to every task; larger models are cut into blocks.
 MAX_MODEL_TOPICS = 4096
 
 
@@ -111,30 +111,73 @@ def score_scenes(
 ) -> DataFrame:
     """Best topic of each scene under a fitted model, with its score and log evidence.
 
-    The model (``topic, n, mu, m2``) has one row per topic and is checked to be small; it goes
-    to the tasks once, and a batch of scenes is scored against all topics as one matrix
-    product. The prior is the topic size; the lowest topic id wins ties.
+    The model (``topic, n, mu, m2``) has one row per topic. Up to ``max_topics`` go to the tasks
+    once; a batch of scenes is scored against all of them as one matrix product. A larger model is cut into blocks of
+    topics, each scene meets every block, and best topics and evidence merge exactly. The prior is the topic size; the
+    lowest topic id wins ties.
     """
-    rows = sorted(bounded_rows(model.select("topic", "n", "mu", "m2"), max_topics, "topic model"))
+    names = ["seq_id", "pos", *keep]
+    fields = field_types(scenes, names) + ["topic int", "log_score double", "log_evidence double"]
+    size = model.limit(max_topics + 1).count()
+    if size <= max_topics:
+        table = _model_table(sorted(bounded_rows(model.select("topic", "n", "mu", "m2"), max_topics, "topic model")), sigma0_sq, floor)
+
+        def run(batches):
+            for batch in batches:
+                out = [batch.column(c) for c in names] + _scored(matrix(batch.column("scene")), table)
+                yield pa.RecordBatch.from_arrays(out, names=names + ["topic", "log_score", "log_evidence"])
+
+        return scenes.select(*names, "scene").mapInArrow(run, ", ".join(fields))
+    blocks = model.count() // max_topics + 1
+    part = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
+    salts = shuffle_partitions(scenes.sparkSession)
+    salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    left = scenes.select(*names, "scene", F.pmod(F.xxhash64("seq_id", "pos"), F.lit(salts)).alias("_q"), F.explode(part).alias("_v"))
+    right = model.select("topic", "n", "mu", "m2", F.pmod(F.xxhash64("topic"), F.lit(blocks)).alias("_v")).withColumn("_q", F.explode(salt))
+
+    def meet(own: pa.Table, topics: pa.Table) -> pa.Table:
+        keyed = [own.schema.field(c) for c in names]
+        schema = pa.schema(keyed + [("topic", pa.int32()), ("log_score", pa.float64()), ("log_evidence", pa.float64())])
+        if not own.num_rows or not topics.num_rows:
+            return schema.empty_table()
+        rows = sorted(topics.select(["topic", "n", "mu", "m2"]).to_pylist(), key=lambda r: r["topic"])
+        table = _model_table(rows, sigma0_sq, floor)
+        parts = []
+        for batch in own.to_batches(max_chunksize=2048):
+            columns = [batch.column(c) for c in names] + _scored(matrix(batch.column("scene")), table)
+            parts.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(parts, schema)
+
+    met = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(meet, ", ".join(fields))
+    merged = met.groupBy(*names).agg(
+        F.max_by("topic", F.struct(F.col("log_score"), -F.col("topic"))).alias("topic"), F.max("log_score").alias("log_score"),
+        F.max("log_evidence").alias("_m"), F.collect_list("log_evidence").alias("_e"),
+    )
+    mass = F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + F.exp(e - F.col("_m")))
+    return merged.select(*names, "topic", "log_score", (F.col("_m") + F.log(mass)).alias("log_evidence"))
+
+
+def _model_table(rows: list, sigma0_sq: float, floor: float) -> tuple[np.ndarray, ...]:
+    """Topics, log sizes, centre, and the terms of the Gaussian scores about that centre."""
     topics = np.array([r["topic"] for r in rows], dtype=np.int32)
     n = np.array([r["n"] for r in rows], dtype=np.float64)
     mu = np.array([r["mu"] for r in rows])
     var = np.maximum(np.array([r["m2"] for r in rows]) / n[:, None], floor)
     var[n < WARM_COUNT] = sigma0_sq
+    centre = mu.mean(axis=0)
+    mu = mu - centre
     inv = 1.0 / var
-    const = (mu * mu * inv + np.log(var)).sum(axis=1) + mu.shape[1] * LOG_2PI
-    names = ["seq_id", "pos", *keep]
-    fields = field_types(scenes, names) + ["topic int", "log_score double", "log_evidence double"]
-
-    def run(batches):
-        for batch in batches:
-            x = matrix(batch.column("scene"))
-            score = -0.5 * ((x * x) @ inv.T - 2.0 * x @ (mu * inv).T + const) + np.log(n)
-            best = score.argmax(axis=1)
-            top = score[np.arange(len(x)), best]
-            evidence = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
-            out = [batch.column(c) for c in names]
-            out += [pa.array(topics[best], pa.int32()), pa.array(top), pa.array(evidence)]
-            yield pa.RecordBatch.from_arrays(out, names=names + ["topic", "log_score", "log_evidence"])
-
-    return scenes.select(*names, "scene").mapInArrow(run, ", ".join(fields))
+    return topics, np.log(n), centre, inv, mu * inv, (mu * mu * inv + np.log(var)).sum(axis=1) + mu.shape[1] * LOG_2PI
+
+
+def _scored(x: np.ndarray, table: tuple[np.ndarray, ...]) -> list[pa.Array]:
+    """Best topic, its score and the evidence. Squares are taken about the topics' centre, so an offset costs no digits."""
+    topics, log_n, centre, inv, weighted, const = table
+    if not len(x):
+        return [pa.array([], pa.int32()), pa.array([], pa.float64()), pa.array([], pa.float64())]
+    x = x - centre
+    score = -0.5 * ((x * x) @ inv.T - 2.0 * x @ weighted.T + const) + log_n
+    best = score.argmax(axis=1)
+    top = score[np.arange(len(x)), best]
+    evidence = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+    return [pa.array(topics[best], pa.int32()), pa.array(top), pa.array(evidence)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from eventide.functions import vector as V
 from eventide.operators.ordered import field_types, in_order, matrix, stream
 from eventide.operators.positions import (
-    BLOCK, BLOCK_ROWS, block_of, halo_window, with_carry, with_halo, with_lag,
+    BLOCK, BLOCK_ROWS, block_of, halo_window, join_small, with_carry, with_halo, with_lag,
 )
 from eventide.operators.segment import WARM_COUNT
 
@@ -281,6 +281,31 @@ def accumulated_tokens(turns: DataFrame, tokens: str = "tokens", rows: int = BLO
     return known.select(*turns.columns, both.alias("known"))
 
 
+def known_token_counts(turns: DataFrame, tokens: str = "tokens", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``n_known`` (tokens of earlier turns with the same label) and ``overlap`` (Jaccard of the turn's tokens with them).
+
+    A token counts as known after its first position under the label, so no set of tokens is ever carried: the work
+    is linear in the number of tokens. A side without tokens gives 0.
+    """
+    keys = ["seq_id", "label", "token"]
+    each = turns.select("seq_id", "pos", "label", F.explode(tokens).alias("token")).distinct()
+    firsts = each.groupBy(*keys).agg(F.min("pos").alias("_first"))
+    per_turn = join_small(each, firsts, keys).groupBy("seq_id", "pos").agg(
+        F.count("*").alias("_own"), F.count_if(F.col("_first") < F.col("pos")).alias("_hits")
+    )
+    counted = join_small(turns, per_turn, ["seq_id", "pos"]).fillna(0, ["_own", "_hits"])
+    fresh = F.col("_own") - F.col("_hits")
+    joined, w = with_carry(
+        counted, ["seq_id", "label"], {"_fresh": F.sum(fresh)},
+        lambda before, _: {"_earlier": F.coalesce(F.sum("_fresh").over(before), F.lit(0))}, rows,
+    )
+    inside = F.coalesce(F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = joined.withColumn("n_known", F.col("_earlier") + inside)
+    either = F.col("_own") + F.col("n_known") - F.col("_hits")
+    overlap = F.when((F.col("_own") > 0) & (F.col("n_known") > 0), F.col("_hits") / either).otherwise(F.lit(0.0))
+    return known.select(*turns.columns, F.col("n_known").cast("int").alias("n_known"), overlap.alias("overlap"))
+
+
 def moving_anchor(scenes: DataFrame, beta: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cosine of each scene with the exponential moving anchor of its label before the turn.
 

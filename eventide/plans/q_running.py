@@ -193,10 +193,7 @@ select seq_id, pos, coalesce(len(list_distinct(seen)), 0)::int as n_known,
 from k""")
 def known_tokens(spark, sf):
     turns = tables.dialogue_turns(spark, sf).withColumn("tokens", X.tokens("text"))
-    rows = R.accumulated_tokens(turns)
-    return round_doubles(
-        rows.select("seq_id", "pos", F.size("known").alias("n_known"), X.jaccard(F.col("tokens"), F.col("known")).alias("overlap"))
-    )
+    return round_doubles(R.known_token_counts(turns).select("seq_id", "pos", "n_known", "overlap"))
 
 
 # Every per-pair vector function, on neighbouring scenes.

@@ -132,3 +132,31 @@ def test_retrieval_over_blocks(spark):
     small = R._top(rows, 4, F.col("cosine"), "pos", rows_per_block=3).select("seq_id", "pos", "rank").collect()
     large = R._top(rows, 4, F.col("cosine"), "pos").select("seq_id", "pos", "rank").collect()
     assert sorted(small) == sorted(large) and len(small) == 8
+
+
+@pytest.mark.parametrize("rows", [3, 65_536])
+def test_known_token_counts_match_the_sets(spark, rows):
+    draw = np.random.default_rng(6)
+    turns = [(s, p, draw.choice(["a", "b", None]), [f"t{v}" for v in set(draw.integers(0, 9, draw.integers(0, 4)))]) for s in (1, 2) for p in range(20)]
+    df = spark.createDataFrame([(s, p, None if k is None else str(k), t) for s, p, k, t in turns], "seq_id bigint, pos bigint, label string, tokens array<string>")
+    got = {(r.seq_id, r.pos): (r.n_known, r.overlap) for r in U.known_token_counts(df, rows=rows).collect()}
+    seen = {}
+    for s, p, k, t in turns:
+        known = seen.setdefault((s, k), set())
+        want = (len(known), len(known & set(t)) / len(known | set(t)) if known and t else 0.0)
+        assert got[s, p] == pytest.approx(want)
+        known |= set(t)
+
+
+def test_a_large_topic_model_scores_in_blocks(spark):
+    draw = np.random.default_rng(7)
+    scenes = scenes_of(spark, {1: draw.normal(size=(30, 3)) + 1e6})
+    model = spark.createDataFrame(
+        [(k, int(draw.integers(1, 9)), (draw.normal(size=3) + 1e6).tolist(), draw.uniform(1, 4, 3).tolist()) for k in range(11)],
+        "topic int, n bigint, mu array<double>, m2 array<double>",
+    )
+    rows = lambda df: {(r.seq_id, r.pos): (r.topic, r.log_score, r.log_evidence) for r in df.collect()}
+    whole, blocks = rows(O.score_scenes(scenes, model, 0.5)), rows(O.score_scenes(scenes, model, 0.5, max_topics=3))
+    assert whole.keys() == blocks.keys() and len(whole) == 30
+    for key, (topic, score, evidence) in whole.items():
+        assert blocks[key][0] == topic and blocks[key][1:] == pytest.approx((score, evidence), rel=1e-9)

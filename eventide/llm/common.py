@@ -72,6 +72,13 @@ def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
 
 
+def slices(batches, rows: int = 1000):
+    """The record batches in parts of at most ``rows`` rows, so that what is derived from a part stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, name: str, open_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Repeat ``step`` until ``open_rows`` of the state is empty, at most ``rounds`` times; each state is written."""
     for _ in range(rounds):

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path, table
+from .common import new_path, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -38,11 +38,13 @@ END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 #: Bytes of text that are encoded together, and distinct pieces that a task keeps encoded.
-BATCH_BYTES = 16 << 20
-KEPT_PIECES = 800_000
+BATCH_BYTES = 8 << 20
+KEPT_PIECES = 600_000
+#: Parts joined to one text for the tokenizer (and such texts in one call), and texts whose ids are put together at a time.
+RUN = 50
+GATHERED = 400
 #: A space between two characters that aren't white space.
 SEAM = re.compile(r"(?<=\S)(?= \S)")
-EDGE = re.compile(r"^\s|\s$|^$")
 #: Cuts a piece finer at places that no token crosses; only for texts of ASCII and Latin letters, digits and signs.
 PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u024f]*")
@@ -55,12 +57,15 @@ class Store:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
         self.edged = np.zeros(0, bool)
 
-    def add(self, pieces: list[str], lists: list[list[int]], edged: list[bool]) -> None:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    def add(self, pieces: list[str], lists: list[bytes], edged: list[bool]) -> None:
+        """``lists`` holds the ids as four bytes each."""
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(lists), np.int32)])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.edged = np.concatenate([self.edged, np.array(edged, bool)])
 
@@ -75,10 +80,9 @@ class PieceEncoder:
     def __init__(self, path: str):
         self.path = path
         self.tokenizer = None
-        self.store = None
 
     def __getstate__(self):
-        return {"path": self.path, "tokenizer": None, "store": None}
+        return {"path": self.path, "tokenizer": None}
 
     def _ready(self) -> None:
         if self.tokenizer is None:
@@ -86,25 +90,50 @@ class PieceEncoder:
 
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.encode_special_tokens = True
-        if self.store is None or len(self.store.place) > KEPT_PIECES:
+            (self.line_break,) = self._ids("\n")
+            self.store: Store = Store()
+            self.parts: dict[str, bytes] = {}
+        if len(self.store.place) > KEPT_PIECES:
             self.store = Store()
+        if len(self.parts) > KEPT_PIECES:
+            self.parts = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode_parts(self, parts: list[str], alone: list[str]) -> None:
+        """Remember the ids of new parts, and of pieces that are not cut into parts. Parts without white space inside go line by line through one call:
+        a line break between them is a token of its own and joins with neither side."""
+        plain = [q for q in parts if not q[-1].isspace()]
+        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+        for k in range(0, len(runs), RUN):
+            some = runs[k : k + RUN]
+            for own, coded in zip(some, self.tokenizer.encode_batch_fast(["\n".join(r) for r in some], add_special_tokens=False)):
+                ids = np.array(coded.ids, np.int32)
+                cuts = (np.flatnonzero(ids == self.line_break) * 4).tolist()
+                if len(cuts) == len(own) - 1:
+                    raw = ids.tobytes()
+                    self.parts.update(zip(own, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
+        self.parts.update((q, np.array(self._ids(q), np.int32).tobytes()) for q in chain(parts, alone) if q not in self.parts)
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in the store; new ones are encoded part by part."""
         place = self.store.place
-        new = [p for p in dict.fromkeys(pieces) if p not in place]
+        new = list(dict.fromkeys([p for p in pieces if p not in place]))
         if new:
-            plain = PLAIN.fullmatch
-            parts = [PARTS.findall(p) if plain(p) else [p] for p in new]
-            own = list(dict.fromkeys(chain.from_iterable(parts)))
-            ids = {q: e.ids for q, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False))}
-            lists = [ids[q[0]] if len(q) == 1 else [i for one in q for i in ids[one]] for q in parts]
+            plain, known = PLAIN.fullmatch, self.parts
+            cut = [PARTS.findall(p) if plain(p) else (p,) for p in new]
+            self._encode_parts(
+                list(dict.fromkeys([q for own in cut if type(own) is list for q in own if q not in known])),
+                [own[0] for own in cut if type(own) is tuple and own[0] not in known],
+            )
+            lists = [known[own[0]] if len(own) == 1 else b"".join([known[q] for q in own]) for own in cut]
             # A key has one space more than its piece, so that the space that was cut at isn't an edge.
-            self.store.add(new, lists, [EDGE.search(p[1:]) is not None for p in new])
+            self.store.add(new, lists, [len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in new])
         return np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
 
-    def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each text followed by ``end``, and the number of ids per text.
+    def __call__(self, texts: list[str], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts in a row, each text followed by ``end``, and the number of ids per text, until all are done.
 
         Texts are cut at every space. A piece that is empty or has white space at an edge shows a space that is no
         seam; its text is cut again, by the exact rule.
@@ -113,25 +142,31 @@ class PieceEncoder:
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         counts = np.diff(cut.offsets.to_numpy())
         coded = pc.dictionary_encode(cut.flatten())
-        bare, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        places = self._places([" " + p for p in bare])
+        bare, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        del cut, coded
+        places = self._places([" " + p for p in bare]).astype(np.int32)
         firsts = np.cumsum(counts) - counts
-        unsafe = self.store.edged[places]
-        plain = np.add.reduceat(unsafe[codes], firsts) == 0
+        plain = np.add.reduceat(self.store.edged[places][codes], firsts, dtype=np.int32) == 0
         heads = [[bare[codes[f]]] if ok else SEAM.split(text) for text, f, ok in zip(texts, firsts, plain)]
         head_places = self._places(list(chain.from_iterable(heads)))
         # The first piece of a text has no space before it; a text that was cut again has only pieces of its own.
         head_counts = np.fromiter(map(len, heads), np.int64, len(heads))
         keep = np.repeat(plain, counts)
         keep[firsts] = False
-        at = np.repeat((np.cumsum(keep) - keep)[firsts], head_counts)
+        at = np.repeat((np.cumsum(keep, dtype=np.int32) - keep)[firsts], head_counts)
         chosen = np.insert(places[codes[keep]], at, head_places)
-        return _gathered(chosen, self.store.flat, self.store.lengths, np.where(plain, counts - 1, 0) + head_counts, end)
+        per_text = np.where(plain, counts - 1, 0) + head_counts
+        begin = np.cumsum(per_text) - per_text
+        for k in range(0, len(texts), GATHERED):
+            own = per_text[k : k + GATHERED]
+            part = chosen[begin[k] : begin[k] + own.sum()]
+            yield _gathered(part, self.store.flat, self.store.starts, self.store.lengths, own, end)
 
 
-def _gathered(codes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(
+    codes: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, end: int
+) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the pieces ``codes`` in a row, with ``end`` after each text."""
-    starts = np.cumsum(lengths) - lengths
     per_piece = lengths[codes]
     ends = np.cumsum(per_piece)
     total = int(ends[-1]) if len(ends) else 0
@@ -144,15 +179,16 @@ def _gathered(codes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, per_text
 def _encoder(shared, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2500):
             texts = batch.column("text").to_pylist()
             for first, last in _slices(texts):
-                ids, sizes = encoder([t or "" for t in texts[first:last]], end)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(ids))],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                for ids, sizes in encoder([t or "" for t in texts[first:last]], end):
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(first, len(sizes)), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(ids))],
+                        names=["doc_id", "n_tokens", "ids"],
+                    )
+                    first += len(sizes)
 
     return encode
 

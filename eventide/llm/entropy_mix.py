@@ -8,7 +8,8 @@ the histogram (source, size, number of documents), which partial aggregation bui
 
 Rates become whole copies: per size class, by rounding running totals from the longest documents down, so that the
 error of a source stays below its longest document, then by adding or taking back single copies where that brings the
-source nearer to its target. Inside a class the copies go round-robin by a hash of the document's id, so reruns agree.
+source nearer to its target. Inside a class the copies go round-robin by a hash of the document's id. Tilts are rounded to ten digits, so that the
+order in which tasks add up numbers doesn't show; reruns agree.
 
 Defined cases: a null or empty text has size 0 and takes nothing. A null source is a source of its own. Repeated rows
 count as often as they occur. An empty table gives an empty result.
@@ -138,7 +139,7 @@ def mixed(docs: DataFrame, size: Column, targets=capped_targets, most: int = MOS
         F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size") / F.col("unit")))
     )
     rated = safe_join(
-        safe_join(classes.where("size > 0"), sources.select("source", "target", "source_size"), ["source"]), tilts.select("source", "tilt", "unit"), ["source"]
+        safe_join(classes.where("size > 0"), sources.select("source", "target", "source_size"), ["source"]), tilts.select("source", F.round("tilt", 10).alias("tilt"), "unit"), ["source"]
     ).withColumn("rate", rate)
     down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     running = F.sum(F.col("n") * F.col("rate")).over(down)

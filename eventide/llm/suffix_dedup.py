@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import slices, table, written
 from .suffix_groups import FIRST, MARK, repeats, suffix_order
 
 WIDTH = 100
@@ -37,8 +37,8 @@ ANCHOR = 36
 #: Starts that share an anchor: every string holds this many anchors' places.
 SPAN = WIDTH - ANCHOR + 1
 #: Bytes of text scanned together, and bytes of segments sorted together.
-SCAN_BYTES = 8 << 20
-SORT_BYTES = 4 << 20
+SCAN_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 #: A place in one number: 24 bits of the text's hash, 31 bits of the start, 1 bit for periodic bytes, 7 bits for the further starts.
 TEXT_BITS, PERIODIC = 24, 128
@@ -134,7 +134,7 @@ def _start(place: np.ndarray) -> np.ndarray:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Texts with ids and codes, about ``SCAN_BYTES`` at a time."""
     texts, ids, codes, size = [], [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         keys = batch.column("key").to_pylist()
         for text, key, code in zip(batch.column("text").to_pylist(), keys, batch.column("code").to_pylist()):
             texts.append((text or "").encode("utf-8", "surrogatepass"))
@@ -236,10 +236,10 @@ SEGMENT_SCHEMA = "anchor long, key long, place long, bytes binary"
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the places that are asked of each document."""
-    for batch in batches:
+    for batch in slices(batches, 500):
         asked = batch.column("asked")
         sizes = np.diff(asked.offsets.to_numpy())
-        flat = asked.flatten()
+        flat = asked.flatten()  # of the slice alone
         place, anchor = flat.field("place").to_numpy(), flat.field("anchor").to_numpy()
         key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)
         start = _start(place)
@@ -301,7 +301,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the removed bytes out of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text, places in zip(batch.column("text").to_pylist(), batch.column("removed")):
             raw = (text or "").encode("utf-8", "surrogatepass")

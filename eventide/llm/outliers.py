@@ -30,7 +30,7 @@ HALF = 0.75
 STEPS = 6
 #: Squared distances count in units of their median in the group, which is set to the median of a
 #: chi-square law with as many degrees as there are statistics; beyond this value a document is an outlier.
-CUT = 100.0
+CUT = 220.0
 #: Variance added to each statistic, so that one that is constant in a group doesn't make the covariance singular.
 RIDGE = 0.02
 BLANK_LINE = r"[\x20\x09-\x0D]*"

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import lower_ascii, table, words, written
+from .common import lower_ascii, slices, table, words, written
 from .pu_quality import fold
 
 DEPTH = 3
@@ -166,7 +166,7 @@ def _numberer(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             hashes, sizes = _flat(batch, "hashes")
             ids = places(known, hashes)
             rare = ids < 0
@@ -193,7 +193,7 @@ def _pair_counter(shared, p_min: float, gamma: float):
         tree = shared.value
         size = tree.levels[-1]["counts"]
         enough = np.minimum(gamma * size, p_min * tree.total)
-        for batch in batches:
+        for batch in slices(batches, 4000):
             batch = batch.filter(pa.array(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)))
             ids, sizes = _flat(batch, "ids")
             context = tree.contexts(ids.astype(np.int64), _firsts(sizes, len(ids)))[-1]
@@ -209,7 +209,7 @@ def _pair_counter(shared, p_min: float, gamma: float):
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes = _flat(batch, "ids")
             ids = ids.astype(np.int64)
             starts = np.cumsum(sizes) - sizes

@@ -39,7 +39,7 @@ ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 #: Bytes of text that are encoded together, and distinct pieces that a task keeps encoded.
 BATCH_BYTES = 8 << 20
-KEPT_PIECES = 600_000
+KEPT_PIECES = 500_000
 #: Parts joined to one text for the tokenizer (and such texts in one call), and texts whose ids are put together at a time.
 RUN = 50
 GATHERED = 400
@@ -189,6 +189,7 @@ def _encoder(shared, end: int):
                         names=["doc_id", "n_tokens", "ids"],
                     )
                     first += len(sizes)
+                pa.default_memory_pool().release_unused()
 
     return encode
 

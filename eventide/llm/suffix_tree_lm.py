@@ -1,18 +1,20 @@
 """Language model scoring with a probabilistic suffix tree.
 
-The tree holds contexts of one to ``DEPTH`` words. A context becomes a candidate if it makes up at least ``P_MIN`` of the
-training tokens; under it, next words with a share of at least ``GAMMA`` are counted, and kept if their probability differs from the one under
-the longest retained shorter suffix by ``RATIO``. A context is retained if coding its occurrences with its own
+The tree holds contexts of one to ``DEPTH`` words. A context becomes a candidate if it occurs at least ``LEAST`` times in the
+training tokens, so the tree grows with the corpus; under it, next words with a share of at least ``GAMMA`` that occur twice are kept if their
+probability differs from the one under the longest retained shorter suffix by ``RATIO``. A context is retained if coding its occurrences with its own
 distribution rather than its parent's saves more than the cost of its parameters (a divergence test weighted by its
 count). Kept next words get their discounted share; all others share what is left in proportion to the parent, so every
 state's distribution sums to one. A token is scored by the longest suffix of the words before it that is a state. The root is the
 add-one unigram model that is also the base score.
 
-At scale: words are 64-bit hashes. The counts of all words form a shuffled table. A word that makes up ``P_MIN * GAMMA`` of
-the tokens is *common*; there are at most ``1 / (P_MIN * GAMMA)`` of these, and as many kept pairs per depth, whatever the
-size of the corpus. So common words and the tree are broadcast with a proven bound. Tokens of other words can't be hot, by
-definition, and meet their counts in a shuffled join. Texts are read twice; the depths and the scoring read a
-written table of word numbers.
+At scale: words are 64-bit hashes, runs of words hashes of these. The log probability of a token is a sum over the runs that end in it: that of the
+root, what each retained context before it adds for the words that it doesn't keep, and by how much a kept pair differs from
+this. So the model is one table of values by run, a text's score the sum of the values of its runs, and both the learning and the
+scoring join with this table by shuffles. Runs that make up ``HOT`` of the tokens would be hot keys; there are at most ``(DEPTH + 1) / HOT`` of these,
+whatever the size of the corpus, and only they are broadcast. Runs are counted level by level, and only under frequent contexts. A bitmap
+of ``1 << SLOT_BITS`` bits holds back runs that surely have no entry; the joins decide about all others, so a full bitmap costs time but changes no result. Texts
+are read once; all else reads a written table of hashes.
 
 Defined cases: a null or empty text is the end token alone. Rows with a null id are training rows. Repeated rows count as often as they
 occur. Without training tokens every token has probability 1 / (0 + 1 * (0 + 1)) = 1.
@@ -30,14 +32,18 @@ from .common import lower_ascii, slices, table, words, written
 from .pu_quality import fold
 
 DEPTH = 3
-#: Least share of the training tokens that a context makes up.
-P_MIN = 4e-4
+#: Least number of occurrences of a context in the training tokens.
+LEAST = 20
 #: Least share of a context's occurrences that a kept next word makes up.
 GAMMA = 4e-3
 #: Factor by which a kept probability differs from the parent's.
 RATIO = 1.05
 #: Counts taken from every kept next word for those that are not kept.
 DISCOUNT = 0.5
+#: Share of the training tokens from which a run's values are broadcast.
+HOT = 1.6e-6
+#: Size of the bitmaps that hold back runs without an entry.
+SLOT_BITS = 27
 #: Stands for the end of a text; no word holds a space.
 END = " "
 
@@ -51,7 +57,7 @@ def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class SuffixTree:
-    """States and their distributions; words are numbers from 0, unknown or uncommon ones are negative."""
+    """The definition in memory, which tests hold the tables against: states and their distributions; words are numbers from 0, unknown ones are negative."""
 
     def __init__(self, root: np.ndarray, common: np.ndarray, total: int):
         self.root = root  # log10 probabilities of the common words
@@ -161,112 +167,174 @@ def _firsts(sizes: np.ndarray, total: int) -> np.ndarray:
     return first
 
 
-def _numberer(shared):
-    """Number the common words of each text and list the hashes of the others."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in slices(batches):
-            hashes, sizes = _flat(batch, "hashes")
-            ids = places(known, hashes)
-            rare = ids < 0
-            rare_sizes = np.add.reduceat(rare, np.cumsum(sizes) - sizes, dtype=np.int64) if len(sizes) else sizes
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("rid"), batch.column("doc_id"), batch.column("held_out"),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]).astype(np.int32)), pa.array(hashes[rare])),
-                ],
-                names=["rid", "doc_id", "held_out", "ids", "rare"],
-            )
 
-    return run
+def _runs(hashes: np.ndarray, first: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length from 1 the key of the run that ends at each token, and whether the run lies inside the token's text."""
+    word = hashes.view(np.uint64)
+    keys, inside = [word], [np.ones(len(word), bool)]
+    for k in range(2, longest + 1):
+        before, whole = np.zeros_like(word), np.zeros(len(word), bool)
+        before[1:], whole[1:] = keys[-1][:-1], inside[-1][:-1] & ~first[1:]
+        key = (before ^ (before >> np.uint64(29))) * _MIX + word * np.uint64(2 * k + 1)
+        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        keys.append(key ^ (key >> np.uint64(32)))
+        inside.append(whole)
+    return [(key.view(np.int64), whole) for key, whole in zip(keys, inside)]
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([keys[:1], keys[:-1]])
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the column ``key``; its size is fixed."""
+    bits = keys.select(F.expr(f"shiftright(key & {(1 << SLOT_BITS) - 1}L, 6)").alias("place"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    found = bits.groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _perhaps(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys may be among those of the bitmap."""
+    return (bitmap[(keys & ((1 << SLOT_BITS) - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
 
 
-def _pair_counter(shared, p_min: float, gamma: float):
-    """Counts of (candidate of the deepest level, next word) in the training texts of a partition.
+def _parts(length: int) -> list[str]:
+    """What the probability of a run's last word under the run's shorter suffixes is the sum of: the word, contexts and pairs."""
+    return ["word", *[f"{kind}{k}" for k in range(1, length - 1) for kind in ("back", "pair")]]
 
-    A next word that is too rare to reach its share under the context, or to make a longer context, is left out.
-    """
+
+def _run_counter(shared, length: int):
+    """Counts of runs in the training texts of a partition, with the keys of the context and of the parts. Runs whose context is surely rare are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        size = tree.levels[-1]["counts"]
-        enough = np.minimum(gamma * size, p_min * tree.total)
-        for batch in slices(batches, 4000):
+        bitmap = shared.value if shared else None
+        for batch in slices(batches, 2000):
             batch = batch.filter(pa.array(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)))
-            ids, sizes = _flat(batch, "ids")
-            context = tree.contexts(ids.astype(np.int64), _firsts(sizes, len(ids)))[-1]
-            use = np.flatnonzero((context >= 0) & (ids >= 0))
-            context, word = context[use], ids[use].astype(np.int64)
-            use = tree.common[word] >= enough[context]
-            pair, n = np.unique(context[use] * tree.width + word[use], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            hashes, sizes = _flat(batch, "hashes")
+            runs = _runs(hashes, _firsts(sizes, len(hashes)), length)
+            key, inside = runs[-1]
+            if length == 1:
+                own, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["key", "n"])
+                continue
+            context = _before(runs[-2][0])
+            use = np.flatnonzero(inside & _perhaps(bitmap, context))
+            own, at, n = np.unique(key[use], return_index=True, return_counts=True)
+            at = use[at]
+            parts = [runs[0][0]]
+            for k in range(1, length - 1):
+                parts += [_before(runs[k - 1][0]), runs[k][0]]
+            columns = [own, n.astype(np.int64), context[at], *[x[at] for x in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "n", "context", *_parts(length)])
 
     return run
 
 
-def _scorer(shared):
+def _counted(hashed: DataFrame, shared, length: int) -> DataFrame:
+    others = ["context", *_parts(length)] if length > 1 else []
+    rows = hashed.select("held_out", "hashes").mapInArrow(_run_counter(shared, length), ", ".join(f"{c} long" for c in ["key", "n", *others]))
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in others])
+
+
+def _learned(runs: DataFrame, contexts: DataFrame, values: DataFrame, length: int, total: int, gamma: float) -> DataFrame:
+    """Values (``key, n, kind, value``) of the retained contexts of ``length - 1`` words and of their kept pairs. A run may have a row of each kind."""
+    known = contexts.select(F.col("key").alias("context"), F.col("n").alias("size"))
+    pairs = runs.join(known.hint("shuffle_hash"), "context").where(F.col("n") >= F.greatest(F.col("size") * gamma, F.lit(2.0)))
+    pairs = written(pairs, "lm-pairs")
+    # The parts of each pair are looked up together.
+    asked = pairs.select("key", F.explode(F.array(*[F.struct(F.col(c).alias("part"), F.lit(c[:4]).alias("kind")) for c in _parts(length)])).alias("x"))
+    met = asked.select(F.col("key").alias("pair"), "x.*").join(values.select(F.col("key").alias("part"), "kind", "value").hint("shuffle_hash"), ["part", "kind"])
+    lower = met.groupBy("pair").agg(F.sum("value").alias("lower"))
+    fitted = pairs.join(lower, F.col("key") == F.col("pair")).withColumn("own", F.log10((F.col("n") - DISCOUNT) / F.col("size")))
+    fitted = written(fitted.where(F.abs(F.col("own") - F.col("lower")) >= float(np.log10(RATIO))).select("key", "n", "context", "size", "own", "lower"), "lm-fitted")
+    # A context has at most 1 / gamma pairs here.
+    sums = fitted.groupBy("context").agg(
+        F.first("size").alias("size"), F.sum(F.pow(F.lit(10.0), "own")).alias("mass"), F.sum(F.pow(F.lit(10.0), "lower")).alias("lower_mass"),
+        F.sum("n").alias("kept"), F.sum(F.col("n") * (F.col("own") - F.col("lower"))).alias("gain"), F.count("*").alias("pairs"),
+    )
+    left = [F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mass", "lower_mass")]
+    sums = sums.where((F.col("mass") < 1 - 1e-9) & (F.col("lower_mass") < 1 - 1e-9)).withColumn("back", F.log10(left[0] / left[1]))
+    gain = F.col("gain") + (F.col("size") - F.col("kept")) * F.col("back")
+    states = written(sums.where(gain > F.col("pairs") * (float(np.log10(max(total, 10))) / 2)).select("context", "size", "back"), "lm-states")
+    kept = fitted.drop("size").join(states.hint("shuffle_hash"), "context").select("key", "n", F.lit("pair").alias("kind"), (F.col("own") - F.col("lower") - F.col("back")).alias("value"))
+    return states.select(F.col("context").alias("key"), F.col("size").alias("n"), F.lit("back").alias("kind"), F.col("back").alias("value")).union(kept)
+
+
+def _scorer(shared, longest: int):
+    """Sums of the values of each text's hot runs, and the keys of its other runs that may have a value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        hot, is_word, base, more, bitmap = shared.value
         for batch in slices(batches):
-            ids, sizes = _flat(batch, "ids")
-            ids = ids.astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            logs = tree.score(ids, _firsts(sizes, len(ids)))
-            root = np.where(ids >= 0, tree.root[np.maximum(ids, 0)] if tree.width else 0.0, 0.0)
-            # Every text has its end token, so no slice is empty.
-            sums = [np.add.reduceat(v, starts) if len(starts) else np.zeros(0) for v in (root, logs, (ids < 0).astype(float))]
+            hashes, sizes = _flat(batch, "hashes")
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            sums, known, asked = np.zeros((2, len(sizes))), np.zeros(len(sizes), np.int64), []
+            for k, (key, inside) in enumerate(_runs(hashes, _firsts(sizes, len(hashes)), longest)):
+                use = np.flatnonzero(inside & _perhaps(bitmap, key)) if k else np.arange(len(key))
+                at = places(hot, key[use])
+                cold, use, at = use[at < 0], use[at >= 0], at[at >= 0]
+                asked.append((owner[cold], key[cold]))
+                if len(at):
+                    sums[0] += np.bincount(owner[use], base[at], len(sizes))
+                    sums[1] += np.bincount(owner[use], more[at], len(sizes))
+                    known += np.bincount(owner[use], is_word[at], len(sizes)).astype(np.int64)
+            text, key = (np.concatenate(x) for x in zip(*asked))
+            by = np.argsort(text, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
-                names=["rid", "doc_id", "held_out", "n_tokens", "n_rare", "base", "tree"],
+                [batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), *[pa.array(x) for x in (sizes.astype(np.int64), known, *sums)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[by]))],
+                names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "more", "asked"],
             )
 
     return run
 
 
-def scored(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, gamma: float = GAMMA, modulus: int = 7, held: int = 2) -> DataFrame:
+def _hot_values(values: DataFrame, least: float) -> tuple[np.ndarray, ...]:
+    """Keys of the hot runs in order, whether they are words, their values at the root, and the sums of their other values."""
+    rows = values.where(F.col("n") >= least).select("key", (F.col("kind") == "word").alias("word"), "value").toArrow()
+    key, word, value = (rows.column(c).to_numpy() for c in ("key", "word", "value"))
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, *[np.bincount(at, x, len(keys)) for x in (word.astype(float), np.where(word, value, 0.0), np.where(word, 0.0, value))]
+
+
+def scored(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gamma: float = GAMMA, modulus: int = 7, held: int = 2, hot: float = HOT) -> DataFrame:
     """Every document's fold, token counts, base score and score; ``docs`` has ``doc_id`` and ``text``."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
+    context = docs.sparkSession.sparkContext
     tokens = F.array_append(words(lower_ascii(F.col("text"))), F.lit(END))
     held_out = F.coalesce(fold(F.col("doc_id"), modulus) == held, F.lit(False))
-    training = docs.where(~held_out).select(F.explode(tokens).alias("word")).select(F.xxhash64("word").alias("hash"))
-    counts = written(training.groupBy("hash").agg(F.count("*").alias("c")), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
+    hashed = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out.alias("held_out"), hashes.alias("hashes")), "lm-hashes")
+    counts = written(_counted(hashed, None, 1), "lm-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = float(total + distinct + 1)
-    # At most 1 / (p_min * gamma) words reach this share.
-    common_least = max(p_min * gamma * total, 1)
-    common = counts.where(F.col("c") >= common_least).orderBy("hash").toPandas()
-    hashes, own = common["hash"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
-    tree = SuffixTree(np.log10((own + 1) / size), own, total)
-    hashed = docs.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", held_out.alias("held_out"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("hashes")
-    )
-    numbered = written(
-        hashed.mapInArrow(_numberer(context.broadcast(hashes)), "rid long, doc_id long, held_out boolean, ids array<int>, rare array<long>"), "lm-numbers"
-    )
-    tree.first_candidates(p_min)
-    for k in range(depth):
-        if not len(tree.levels[-1]["keys"]):
+    values = counts.select("key", "n", F.lit("word").alias("kind"), F.log10((F.col("n") + 1) / size).alias("value"))
+    runs = counts
+    for length in range(2, depth + 2):
+        contexts = runs.where(F.col("n") >= max(least, 2)).select("key", "n")
+        if contexts.isEmpty():
             break
-        counted = numbered.select("held_out", "ids").mapInArrow(_pair_counter(context.broadcast(tree), p_min, gamma), "pair long, n long")
-        found = counted.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= max(p_min * gamma * total, 2)).orderBy("pair").toPandas()
-        pairs, n = found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        tree.learn(pairs, n, gamma)
-        if k + 1 < depth:
-            tree.next_candidates(pairs, n, p_min)
-    sums = numbered.select("rid", "doc_id", "held_out", "ids").mapInArrow(
-        _scorer(context.broadcast(tree)), "rid long, doc_id long, held_out boolean, n_tokens long, n_rare long, base double, tree double"
+        shared = context.broadcast(_bitmap(contexts))
+        runs = written(_counted(hashed, shared, length).where(F.col("n") >= 2), "lm-runs")
+        values = values.union(written(_learned(runs, contexts, values, length, total, gamma), "lm-values"))
+    hot_least = max(hot * total, 1)
+    shared = context.broadcast((*_hot_values(values, hot_least), _bitmap(values.where(F.col("kind") != "word"))))
+    columns = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, more double, asked array<long>"
+    sums = written(hashed.mapInArrow(_scorer(shared, depth + 1), columns), "lm-sums")
+    asked = sums.select("rid", F.explode("asked").alias("key"))
+    met = asked.join(values.where(F.col("n") < hot_least).select("key", (F.col("kind") == "word").alias("word"), "value").hint("shuffle_hash"), "key")
+    rest = met.groupBy("rid").agg(
+        F.count_if("word").alias("rest_known"), F.sum(F.when(F.col("word"), F.col("value")).otherwise(0.0)).alias("rest_base"), F.sum(F.when(F.col("word"), 0.0).otherwise(F.col("value"))).alias("rest_more")
     )
-    rare = numbered.select("rid", F.explode("rare").alias("hash"))
-    met = rare.join(counts.where(F.col("c") < common_least).hint("shuffle_hash"), "hash")
-    rest = met.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_log"), F.count("*").alias("n_rare_known"))
-    out = sums.join(rest, "rid", "left")
-    root = F.coalesce("rare_log", F.lit(0.0)) - F.col("n_rare") * float(np.log10(size))
+    out = sums.drop("asked").join(rest, "rid", "left").na.fill(0, ["rest_known", "rest_base", "rest_more"])
+    n_known = F.col("known") + F.col("rest_known")
+    base = F.col("base") + F.col("rest_base") - (F.col("n_tokens") - n_known) * float(np.log10(size))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("n_rare") + F.coalesce("n_rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + root).alias("base_score"), (F.col("tree") + root).alias("score"),
+        "doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("more") + F.col("rest_more")).alias("score"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,7 @@ from eventide.plans.q_segment import ASSIGNED, MIXED, SHORT_SRC, _walk
 from eventide.plans.registry import query
 from eventide.session import ensure_checkpoint_dir
 from eventide.sources import tables
-from eventide.streaming.segment import append_turns, segment_stream
+from eventide.streaming.segment import append_turns, passed_rows, segment_stream, unfinished
 from eventide.streaming.windows import append_counts, latest_counts, tumbling_counts
 
 
@@ -41,15 +42,25 @@ def _scene_stream(spark, sf_dir):
     )
 
 
-def _run(spark, assigned, buckets=4):
+def _run(spark, assigned, config, buckets=4):
+    """All assigned rows. Late, repeated and unplaced rows go to the table ``passed`` beside them, and a warning names it."""
     folder = _folder(spark, "turns")
-    append_turns(assigned, f"{folder}/table", f"{folder}/checkpoint", buckets).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").drop("bucket")
+    checkpoint = f"{folder}/checkpoint"
+    append_turns(assigned, f"{folder}/table", checkpoint, buckets).awaitTermination()
+    columns = ["seq_id", "pos", "topic", "is_boundary"]
+    schema = assigned.select(*columns, "late").schema
+    turns = spark.read.schema(schema).parquet(f"{folder}/table").select(columns)
+    passed_rows(spark, checkpoint).write.parquet(f"{folder}/passed")
+    n = spark.read.parquet(f"{folder}/passed").count()
+    if n:
+        warnings.warn(f"{n} late, repeated or unplaced rows are in {folder}/passed", stacklevel=2)
+    unfinished(spark, checkpoint, config).write.parquet(f"{folder}/unfinished")
+    return turns.union(spark.read.schema(turns.schema).parquet(f"{folder}/unfinished"))
 
 
 @query("stream_segment", _walk(SHORT_SRC, [MIXED], ASSIGNED + " "))
 def stream_segment(spark, sf_dir):
-    return _run(spark, segment_stream(_scene_stream(spark, sf_dir), MIXED)).drop("late")
+    return _run(spark, segment_stream(_scene_stream(spark, sf_dir), MIXED), MIXED)
 
 
 @query("stream_counts", """select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events group by 1, 2""")

@@ -1,8 +1,9 @@
 """Topic assignment as a stateful stream: the state of a sequence lives across micro-batches.
 
 Any split of the input into micro-batches gives the assignments of the batch operator. Rows
-that arrive before their predecessors wait in state; rows whose position was already passed
-are counted as late and dropped.
+that arrive before their predecessors wait in state; at the end of the input ``unfinished`` assigns those
+whose predecessors never came, in order, as the batch operator does. Rows whose position was already passed or is null have no
+place; they are counted, left out, and kept in state for ``passed_rows``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from eventide.operators.segment import GAUSS, VMF, Bank, Config
 
 STREAMABLE = GAUSS + VMF + ("centroid", "ema")
+#: Grouping by a null mixes groups up in Python, so a sequence is keyed by its id, or any value, and whether the id is null.
+KEY = ("__id", "__none")
 OUTPUT = "seq_id {key}, pos bigint, topic int, is_boundary boolean, late bigint"
 
 
@@ -36,6 +39,7 @@ class TopicProcessor(StatefulProcessor):
         )
         self.topics = handle.getMapState("topics", "topic int", "n double, mu array<double>, m2 array<double>")
         self.waiting = handle.getMapState("waiting", "pos bigint", "scene array<double>")
+        self.passed = handle.getListState("passed", "pos bigint, scene array<double>")
 
     def _bank(self, dim: int):
         bank = Bank([self.config], dim)
@@ -51,9 +55,9 @@ class TopicProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bank, next_pos, late, early, touched = None, 0, 0, {}, set()
-        dim, loaded = 0, False
+        dim, loaded, passed = 0, False, []
         for chunk in rows:
-            chunk = chunk.sort_values("pos", kind="stable")
+            chunk = chunk.sort_values("pos", kind="stable", na_position="last")
             scenes = [np.asarray(s, dtype=float) for s in chunk["scene"]]
             if bank is None:
                 dim = len(scenes[0])
@@ -67,13 +71,14 @@ class TopicProcessor(StatefulProcessor):
             def take(s, at):
                 topic, changed = bank.assign(s[None, :])
                 touched.add(int(topic[0]))
-                out.append((key[0], at, int(topic[0]), bool(changed[0])))
+                out.append((None if key[1] else key[0], at, int(topic[0]), bool(changed[0])))
 
             for pos, s in zip(chunk["pos"].tolist(), scenes):
-                if pos < next_pos or pos in early:
+                if pd.isna(pos) or pos < next_pos or pos in early:
                     late += 1
+                    passed.append((None if pd.isna(pos) else int(pos), s.tolist()))
                 elif pos > next_pos:
-                    early[pos] = s
+                    early[int(pos)] = s
                 else:
                     take(s, next_pos)
                     next_pos += 1
@@ -89,6 +94,8 @@ class TopicProcessor(StatefulProcessor):
             self.waiting.removeKey((pos,))
         for pos in set(early) - waited:
             self.waiting.updateValue((pos,), (early[pos].tolist(),))
+        if passed:
+            self.passed.appendList(passed)
         for k in touched:
             n, mu, m2 = bank.topic(k)
             self.topics.updateValue((k,), (float(n), mu.tolist(), m2.tolist()))
@@ -114,15 +121,52 @@ def segment_stream(scenes: DataFrame, config: Config = Config()) -> DataFrame:
     if config.scorer not in STREAMABLE:
         raise ValueError(f"scorer {config.scorer!r} has no stream form; use one of {STREAMABLE}")
     use_state_store(scenes.sparkSession)
-    schema = OUTPUT.format(key=dict(scenes.dtypes)["seq_id"])
+    kind = dict(scenes.dtypes)["seq_id"]
     rows = scenes.select(
-        "seq_id", F.col("pos").cast("bigint").alias("pos"), F.col("scene").cast("array<double>").alias("scene")
+        F.coalesce("seq_id", F.lit(0).cast(kind)).alias(KEY[0]), F.isnull("seq_id").alias(KEY[1]), F.col("pos").cast("bigint").alias("pos"), F.col("scene").cast("array<double>").alias("scene")
     )
-    return rows.groupBy("seq_id").transformWithStateInPandas(
-        TopicProcessor(config), schema, "Append", "None"
+    return rows.groupBy(*KEY).transformWithStateInPandas(
+        TopicProcessor(config), OUTPUT.format(key=kind), "Append", "None"
     )
 
 
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
+def _finisher(config: Config):
+    def finish(key, state: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            head, bank = state.iloc[0], Bank([config], len(rows["scene"].iloc[0]))
+            known = state.set_index("topic")
+            topics = [(known.at[k, "n"], np.asarray(known.at[k, "mu"], dtype=float), np.asarray(known.at[k, "m2"], dtype=float)) for k in range(int(head["used"]))]
+            bank.restore(topics, int(head["prev"]), float(head["seen"]), np.asarray(head["mean"], dtype=float))
+            rows = rows.sort_values("pos")
+            for pos, scene in zip(rows["pos"].tolist(), rows["scene"]):
+                topic, changed = bank.assign(np.asarray(scene, dtype=float)[None, :])
+                out.append((None if key[1] else key[0], pos, int(topic[0]), bool(changed[0])))
+        return pd.DataFrame(out, columns=["seq_id", "pos", "topic", "is_boundary"])
+
+    return finish
+
+
+def unfinished(spark: SparkSession, checkpoint: str, config: Config = Config()) -> DataFrame:
+    """``seq_id, pos, topic, is_boundary`` of the rows that still wait when the input has ended and the stream has stopped."""
+    waiting = _state(spark, checkpoint, "waiting").select("key.*", "user_map_key.pos", "user_map_value.scene")
+    head = _state(spark, checkpoint, "head").select("key.*", "value.*").join(waiting.select(*KEY), [*KEY], "left_semi")
+    topics = _state(spark, checkpoint, "topics").select("key.*", "user_map_key.topic", "user_map_value.*")
+    state = head.drop("late", "next_pos").join(topics, [*KEY], "left")
+    schema = OUTPUT.format(key=dict(waiting.dtypes)[KEY[0]]).removesuffix(", late bigint")
+    return state.groupBy(*KEY).cogroup(waiting.groupBy(*KEY)).applyInPandas(_finisher(config), schema)
+
+
+def passed_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``seq_id, pos, scene`` of the rows that came late, again, or without a position."""
+    rows = _state(spark, checkpoint, "passed").select("key.*", "list_element.*")
+    return rows.select(F.when(~F.col(KEY[1]), F.col(KEY[0])).alias("seq_id"), "pos", "scene")
+
+
 def append_turns(assigned: DataFrame, path: str, checkpoint: str, buckets: int = 256, **trigger) -> StreamingQuery:
     """Append turns with their topic to the long-term table, in folders by sequence bucket."""
     bucket = F.pmod(F.xxhash64("seq_id"), F.lit(buckets))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, entropy_mix, lexical_search, license_scan, outliers, packed_tokens, pu_quality, simhash, suffix_dedup, suffix_tree_lm, url_filter
+from . import collocations, decontaminate, entropy_mix, lexical_search, license_scan, outliers, packed_tokens, pu_quality, simhash, suffix_dedup, suffix_tree_lm, url_filter
 
 ORACLES: dict[str, str] = {
+    "op11_collocations": collocations.ORACLE,
     "op12_lexical_search": lexical_search.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op3_benchmark_hits": decontaminate.ORACLE,
@@ -30,6 +31,7 @@ QUERIES = {
     for name, query in {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op10_suffix_tree_lm": suffix_tree_lm.op10_suffix_tree_lm,
+        "op11_collocations": collocations.op11_collocations,
         "op12_lexical_search": lexical_search.op12_lexical_search,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_benchmark_hits": decontaminate.op3_benchmark_hits,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import collocations, decontaminate, entropy_mix, lexical_search, license_scan, outliers, packed_tokens, pu_quality, simhash, suffix_dedup, suffix_tree_lm, url_filter
+from . import collocations, decontaminate, entropy_mix, lexical_search, license_scan, outliers, packed_tokens, pu_quality, simhash, suffix_dedup, suffix_tree_lm, url_filter, weak_toxicity
 
 ORACLES: dict[str, str] = {
     "op11_collocations": collocations.ORACLE,
@@ -33,6 +33,7 @@ QUERIES = {
         "op10_suffix_tree_lm": suffix_tree_lm.op10_suffix_tree_lm,
         "op11_collocations": collocations.op11_collocations,
         "op12_lexical_search": lexical_search.op12_lexical_search,
+        "op13_weak_toxicity": weak_toxicity.op13_weak_toxicity,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_benchmark_hits": decontaminate.op3_benchmark_hits,
         "op4_robust_outliers": outliers.op4_robust_outliers,

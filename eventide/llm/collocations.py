@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.positions import dense_positions
 from .byte_words import byte_rule, coded_words, text_slices
-from .common import table, written
+from .common import Sent, table, written
 from .phrase_trie import PhraseTrie
 
 RULE = byte_rule(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -196,7 +196,7 @@ def _tries(phrases: DataFrame, limit: int) -> Iterator:
         rows = phrases.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).select("id", "ids").toArrow()
         if rows.num_rows:
             codes = rows.column("ids").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-            shared = spark.sparkContext.broadcast(PhraseTrie(codes, rows.column("id").to_numpy()))
+            shared = Sent(spark, PhraseTrie(codes, rows.column("id").to_numpy()))
             yield shared
             shared.unpersist()
 

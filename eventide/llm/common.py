@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word ends at the space and the control characters from tab to carriage return.
@@ -47,6 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Sent:
+    """A broadcast object whose class travels with it, so that workers need no copy of the package. Its size must be bounded by a parameter."""
+
+    def __init__(self, spark: SparkSession, thing):
+        self._raw = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self):
+        return pickle.loads(self._raw.value)
+
+    def unpersist(self) -> None:
+        self._raw.unpersist()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -162,6 +162,16 @@ class PostingsList:
         self.bound = impact(most, shrink(np.asarray(least_n, np.int64)))
         self.top = int(self.bound.max())
 
+    def blocks(self, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First block and the one behind the last that may hold documents of each range."""
+        return np.maximum(np.searchsorted(self.first, lows, "right") - 1, 0), np.searchsorted(self.first, highs, "left")
+
+    def most(self, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """The largest block bound in each range, 0 where no block reaches it."""
+        a, b = self.blocks(lows, highs)
+        some = np.maximum.reduceat(np.append(self.bound, 0), np.column_stack([a, b]).ravel())[::2]
+        return np.where(a < b, some, 0)
+
     def postings(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and frequencies of some blocks, ascending; only these are decompressed."""
         if len(blocks) and blocks[-1] - blocks[0] + 1 == len(blocks):
@@ -190,16 +200,21 @@ def block_max_max_score(lists: list[tuple[int, PostingsList]], m: np.ndarray, id
     lists = sorted(((w, p) for w, p in lists if w > 0), key=lambda x: x[0] * x[1].top)
     best, scores, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
     below = np.cumsum([0] + [w * p.top for w, p in lists])
-    for low in range(0, len(m), RANGE):
-        high = min(low + RANGE, len(m))
+    lows = np.arange(0, len(m), RANGE)
+    highs = np.minimum(lows + RANGE, len(m))
+    # The ranges that promise most come first, so that the floor rises early; ranges below it are not read.
+    promise = sum((w * p.most(lows, highs) for w, p in lists), np.zeros(len(lows), np.int64))
+    for k in np.argsort(-promise, kind="stable"):
+        low, high = int(lows[k]), int(highs[k])
+        if promise[k] < floor:
+            break
         # Lists before this place can't lift a document to the floor, even all together.
         essential = int(np.searchsorted(below[1:], floor, "left"))
         if essential == len(lists):
             break
         total = np.zeros(high - low, np.int64)
         for w, p in lists[essential:]:
-            a = max(int(np.searchsorted(p.first, low, "right")) - 1, 0)
-            b = int(np.searchsorted(p.first, high, "left"))
+            a, b = p.blocks(low, high)
             if a < b:
                 doc, tf = p.postings(np.arange(a, b))
                 inside = slice(*np.searchsorted(doc, [low, high]))

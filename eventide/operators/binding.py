@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from eventide.functions import hashed as H, vector as V
+from eventide.operators import near
 from eventide.operators.ordered import field_types, matrix
 from eventide.session import bounded_rows
 
@@ -209,28 +210,12 @@ def _merge_parts(parts, keys, k):
     return sums.select(*keys, F.slice(F.array_sort("_best", order), 1, k).alias("best"), "peak", mass.alias("mass"))
 
 
-#: Symbols of a dictionary whose full distance matrix may be asked for.
-MAX_MATRIX_SYMBOLS = 1024
+def distance_matrix(vocabulary: DataFrame, metric: str = "cosine", within: float | None = None, tile: int = near.TILE) -> DataFrame:
+    """``a, b, distance`` of the symbols (``name``, ``vec``) with ``a < b``: all pairs, or those at most ``within`` apart.
 
-
-def distance_matrix(vocabulary: DataFrame, metric: str = "cosine", max_symbols: int = MAX_MATRIX_SYMBOLS) -> DataFrame:
-    """Distances between the symbols of a small dictionary (``a < b``).
-
-    The number of symbols is checked, as the result grows with its square; use
-    :func:`cleanup` for the nearest symbols of a large table.
+    Symbols meet tile by tile, whatever their number. Without ``within`` the result itself grows with the square of the dictionary; with it only cells that the
+    triangle inequality leaves open meet, and the result holds near pairs alone. Names must differ.
     """
-    rows = sorted(bounded_rows(vocabulary.select("name", "vec"), max_symbols, "vocabulary"))
-    names, table = [r["name"] for r in rows], np.array([r["vec"] for r in rows], dtype=float)
-
-    def run(batches):
-        for batch in batches:
-            x, own = matrix(batch.column("vec")), batch.column("name").to_pylist()
-            d = _pair_distances(x, table, metric) if len(own) else np.zeros((0, 0))
-            cells = [(a, names[j], d[i, j]) for i, a in enumerate(own) for j in range(len(names)) if a < names[j]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.string()),
-                 pa.array([c[2] for c in cells], pa.float64())],
-                names=["a", "b", "distance"],
-            )
-
-    return vocabulary.select("name", V.as_double("vec").alias("vec")).mapInArrow(run, "a string, b string, distance double")
+    everything = 2.0 if metric == "cosine" else float("inf")
+    points = vocabulary.select(F.col("name").alias("id"), "vec")
+    return near.near_pairs(points, everything if within is None else within, metric, tile=tile)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventide.functions import hashed as H, vector as V
-from eventide.operators.positions import join_small
+from eventide.operators.positions import join_small, meet
 
 
 def corrupt(scenes: DataFrame, tau: float, label_precision: float, b: int, seed: str = "0") -> DataFrame:
@@ -36,10 +36,7 @@ def match_slots(traces: DataFrame, slots: DataFrame, b: int) -> DataFrame:
     must be NULL or equal to the label of the slot that is being filled.
     """
     near = traces.withColumn("pos", F.explode(F.sequence(F.col("t") - b, F.col("t") + b)))
-    joined = near.join(
-        slots.select("seq_id", "pos", F.col("scene").alias("_scene"), F.col("label").alias("_label")),
-        ["seq_id", "pos"],
-    )
+    joined = meet(near, slots.select("seq_id", "pos", F.col("scene").alias("_scene"), F.col("label").alias("_label")), ["seq_id", "pos"])
     return joined.where(F.col("e").isNull() | (F.col("e") == F.col("_label")))
 
 
@@ -88,12 +85,12 @@ def recall(samples: DataFrame, traces: DataFrame, n_samples: int) -> DataFrame:
     mine = traces.select("seq_id", "trace_id", F.xxhash64("x").alias("h"), "x")
     # Equal traces of a sample count once, so the join cannot multiply.
     found = (
-        mine.join(held.dropDuplicates(["sample_id", "seq_id", "h", "_x"]), ["seq_id", "h"])
+        meet(mine, held.dropDuplicates(["sample_id", "seq_id", "h", "_x"]), ["seq_id", "h"])
         .where(F.col("x") == F.col("_x"))
         .groupBy("seq_id", "trace_id")
         .agg(F.count_distinct("sample_id").alias("hits"))
     )
-    joined = traces.select("seq_id", "trace_id").join(found, ["seq_id", "trace_id"], "left")
+    joined = join_small(traces.select("seq_id", "trace_id"), found, ["seq_id", "trace_id"])
     return joined.select(
         "seq_id", "trace_id", (F.coalesce("hits", F.lit(0)) / F.lit(float(n_samples))).alias("recall")
     )
@@ -128,7 +125,7 @@ def relative_distance(rebuilt: DataFrame, scenes: DataFrame, *by: str) -> DataFr
     truth = join_small(
         scenes.select("seq_id", "pos", "label", V.as_double("scene").alias("scene")), centroids(scenes, "label"), ["label"]
     )
-    joined = rebuilt.join(truth, ["seq_id", "pos"])
+    joined = meet(rebuilt, truth, ["seq_id", "pos"])
     to_truth = V.euclidean(F.col("mean"), F.col("scene"))
     to_centroid = V.euclidean(F.col("mean"), F.col("centroid"))
     return joined.groupBy(*by).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventide.functions import vector as V
+from eventide.operators.positions import meet
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -117,7 +118,7 @@ def adjusted_rand(pairs: DataFrame, true: str, pred: str, *by: str) -> DataFrame
     )
     parts = [both, margin("t", "a"), margin("p", "b")]
     if keys:
-        joined = parts[0].join(parts[1], keys).join(parts[2], keys)
+        joined = meet(meet(parts[0], parts[1], keys), parts[2], keys)
     else:
         # One-row tables: read the margins as scalar subqueries.
         joined = both.select(

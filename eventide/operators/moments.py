@@ -103,6 +103,8 @@ def pretrain(scenes: DataFrame, *by: str) -> DataFrame:
 
 #: Topics of a fitted model that are shipped to every task; larger models are cut into blocks.
 MAX_MODEL_TOPICS = 4096
+#: Scenes that meet a block of topics in one group, about.
+MEETING_ROWS = 32_768
 
 
 def score_scenes(
@@ -128,15 +130,19 @@ def score_scenes(
                 yield pa.RecordBatch.from_arrays(out, names=names + ["topic", "log_score", "log_evidence"])
 
         return scenes.select(*names, "scene").mapInArrow(run, ", ".join(fields))
+    # Equal rows are scored once and returned as often as they came, as on the other route.
+    given = scenes.groupBy(*names, "scene").agg(F.count("*").alias("_copies")).withColumn("_id", F.xxhash64(*names, "scene"))
+    keyed_by = [*names, "_copies", "_id"]
+    fields = field_types(given, keyed_by) + fields[len(names):]
     blocks = model.count() // max_topics + 1
     part = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    salts = shuffle_partitions(scenes.sparkSession)
+    salts = max(shuffle_partitions(scenes.sparkSession), scenes.count() // MEETING_ROWS + 1)
     salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    left = scenes.select(*names, "scene", F.pmod(F.xxhash64("seq_id", "pos"), F.lit(salts)).alias("_q"), F.explode(part).alias("_v"))
+    left = given.select(*keyed_by, "scene", F.pmod("_id", F.lit(salts)).alias("_q"), F.explode(part).alias("_v"))
     right = model.select("topic", "n", "mu", "m2", F.pmod(F.xxhash64("topic"), F.lit(blocks)).alias("_v")).withColumn("_q", F.explode(salt))
 
     def meet(own: pa.Table, topics: pa.Table) -> pa.Table:
-        keyed = [own.schema.field(c) for c in names]
+        keyed = [own.schema.field(c) for c in keyed_by]
         schema = pa.schema(keyed + [("topic", pa.int32()), ("log_score", pa.float64()), ("log_evidence", pa.float64())])
         if not own.num_rows or not topics.num_rows:
             return schema.empty_table()
@@ -144,17 +150,19 @@ def score_scenes(
         table = _model_table(rows, sigma0_sq, floor)
         parts = []
         for batch in own.to_batches(max_chunksize=2048):
-            columns = [batch.column(c) for c in names] + _scored(matrix(batch.column("scene")), table)
+            columns = [batch.column(c) for c in keyed_by] + _scored(matrix(batch.column("scene")), table)
             parts.append(pa.RecordBatch.from_arrays(columns, schema=schema))
         return pa.Table.from_batches(parts, schema)
 
     met = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(meet, ", ".join(fields))
-    merged = met.groupBy(*names).agg(
+    merged = met.groupBy(*keyed_by).agg(
         F.max_by("topic", F.struct(F.col("log_score"), -F.col("topic"))).alias("topic"), F.max("log_score").alias("log_score"),
         F.max("log_evidence").alias("_m"), F.collect_list("log_evidence").alias("_e"),
     )
     mass = F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + F.exp(e - F.col("_m")))
-    return merged.select(*names, "topic", "log_score", (F.col("_m") + F.log(mass)).alias("log_evidence"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    best = merged.select(*names, "topic", "log_score", (F.col("_m") + F.log(mass)).alias("log_evidence"), copies.alias("_copy"))
+    return best.drop("_copy")
 
 
 def _model_table(rows: list, sigma0_sq: float, floor: float) -> tuple[np.ndarray, ...]:

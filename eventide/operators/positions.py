@@ -32,6 +32,13 @@ def join_small(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, condition, "left").drop(*[f"_key_{k}" for k in keys])
 
 
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left semi equi-join in which NULL keys meet NULL keys; the keys come from ``rows``."""
+    renamed = side.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in side.columns])
+    joined = rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], how)
+    return joined if how == "left_semi" else joined.drop(*[f"_key_{k}" for k in keys])
+
+
 def block_of(rows: int = BLOCK_ROWS) -> Column:
     return F.call_function("div", F.col("pos"), F.lit(rows))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventide.functions import hashed as H, vector as V
-from eventide.operators.positions import BLOCK_ROWS, with_lag
+from eventide.operators.positions import BLOCK_ROWS, meet, with_lag
 from eventide.session import shuffle_partitions
 
 
@@ -202,7 +202,7 @@ def permutation_null(bins: DataFrame, n_permutations: int, digits: int = 2) -> D
     spread = bins.repartition(shuffle_partitions(bins.sparkSession), "movie", "bin")
     drawn = spread.select(
         "movie", "bin", "value", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("p")
-    ).withColumn("h", F.md5(H.key(F.col("p"), F.col("movie"), F.col("bin"))))
+    ).withColumn("h", F.md5(H.key(F.col("p"), F.coalesce(F.col("movie").cast("string"), F.lit("null")), F.col("bin"))))
     drawn = drawn.withColumn("prefix", F.substring("h", 1, digits))
     sums = drawn.groupBy("movie", "p", "prefix").agg(
         F.count("*").alias("c"), F.sum("value").alias("v")
@@ -211,25 +211,25 @@ def permutation_null(bins: DataFrame, n_permutations: int, digits: int = 2) -> D
     reached = (
         sums.withColumn("through", F.sum("c").over(w))
         .withColumn("before", F.col("through") - F.col("c"))
-        .join(stats, "movie")
     )
+    reached = meet(reached, stats, ["movie"])
     whole = reached.where(F.col("through") <= F.col("n1")).select("movie", "p", "v")
     split = reached.where((F.col("before") < F.col("n1")) & (F.col("n1") < F.col("through"))).select(
         "movie", "p", "prefix", (F.col("n1") - F.col("before")).alias("wanted")
     )
     rank = F.row_number().over(Window.partitionBy("movie", "p", "prefix").orderBy("h", "bin"))
     part = (
-        drawn.join(split, ["movie", "p", "prefix"])
+        meet(drawn, split, ["movie", "p", "prefix"])
         .withColumn("rank", rank)
         .where(F.col("rank") <= F.col("wanted"))
         .select("movie", "p", F.col("value").alias("v"))
     )
-    marked = whole.unionByName(part).groupBy("movie", "p").agg(F.sum("v").alias("sum1")).join(stats, "movie")
+    marked = meet(whole.unionByName(part).groupBy("movie", "p").agg(F.sum("v").alias("sum1")), stats, ["movie"])
     # A movie without flagged bins has no marked bins, and its correlations are NULL.
-    every = stats.select("movie", "n1").where(F.col("n1") == 0).select(
+    every = stats.where(F.col("n1") == 0).select(
         "movie", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("p")
     )
-    marked = marked.unionByName(every.join(stats, "movie"), allowMissingColumns=True)
+    marked = marked.unionByName(meet(every, stats, ["movie"]), allowMissingColumns=True)
     n0 = F.col("n") - F.col("n1")
     r = _r_pb(
         F.col("sum1") / F.col("n1"), (F.col("total") - F.col("sum1")) / n0, F.col("s"), F.col("n1"), n0

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventide.functions import vector as V
-from eventide.operators.moments import topic_moments
-from eventide.operators.positions import BLOCK, BLOCK_ROWS, block_of, join_small, with_lag
+from eventide.operators.moments import merge_moments, topic_moments
+from eventide.operators.near import components, near_pairs
+from eventide.operators.positions import BLOCK, BLOCK_ROWS, block_of, join_small, meet, with_lag
 
 
 def topic_metadata(scenes: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def _top(rows: DataFrame, k: int, score: Column, tie: str, rows_per_block: int =
 def nearest_topics(scenes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` topics of each query's sequence whose centroids are most like ``query``; ties by label."""
     topics = topic_metadata(scenes)
-    near = topics.join(queries.select("seq_id", V.as_double("query").alias("query")), "seq_id")
+    near = meet(topics, queries.select("seq_id", V.as_double("query").alias("query")), ["seq_id"])
     cos = V.cosine(F.col("centroid"), F.col("query"))
     scored = near.withColumn("cosine", cos).drop("query", "centroid")
     rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("cosine"), "label"))
@@ -37,7 +38,7 @@ def nearest_topics(scenes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def memory_window(scenes: DataFrame, queries: DataFrame, k: int, most_turns: int) -> DataFrame:
     """Turns of the ``k`` relevant topics in their order, the latest ``most_turns`` of each sequence."""
     topics = nearest_topics(scenes, queries, k).select("seq_id", "label")
-    turns = scenes.select("seq_id", "pos", "label").join(topics, ["seq_id", "label"], "left_semi")
+    turns = meet(scenes.select("seq_id", "pos", "label"), topics, ["seq_id", "label"], "left_semi")
     return _top(turns, most_turns, F.col("pos"), "pos").select("seq_id", "pos", "label", (F.col("rank") - 1).alias("back"))
 
 
@@ -48,7 +49,7 @@ def sliding_window(scenes: DataFrame, most_turns: int) -> DataFrame:
 
 def nearest_turns(scenes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Flat retrieval: the ``k`` turns of each query's sequence that are most like ``query``."""
-    near = scenes.join(queries.select("seq_id", V.as_double("query").alias("query")), "seq_id")
+    near = meet(scenes, queries.select("seq_id", V.as_double("query").alias("query")), ["seq_id"])
     scored = near.select("seq_id", "pos", "label", V.cosine(V.as_double("scene"), F.col("query")).alias("cosine"))
     return _top(scored, k, F.col("cosine"), "pos")
 
@@ -79,6 +80,28 @@ def topic_importance(
     return rows.select("seq_id", "label", "n", (F.col("visits") - 1).alias("returns"), "last_pos", F.coalesce("borders", F.lit(0)).alias("borders"), score.alias("importance"))
 
 
+def topic_merges(topics: DataFrame, threshold: float, least_turns: int = 1) -> DataFrame:
+    """``id, first``: topics (``id, n, centroid``) with the smallest id that they merge into.
+
+    Two topics of ``least_turns`` turns or more link if the cosine of their centroids reaches ``threshold``; whatever is linked merges, over any number of steps. Equal
+    centroids meet once. A topic that merges with none is its own ``first``.
+    """
+    usable = topics.where((F.col("n") >= least_turns) & F.col("centroid").isNotNull()).select("id", "centroid")
+    same = usable.groupBy("centroid").agg(F.min("id").alias("first"))
+    links = near_pairs(same.select(F.col("first").alias("id"), F.col("centroid").alias("vec")), 1.0 - threshold, "cosine", links=True).select("a", "b")
+    copies = usable.join(same, "centroid").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    merged = components(links.unionByName(copies))
+    own = topics.select("id").where(F.col("id").isNotNull()).distinct()
+    return own.join(merged, "id", "left").select("id", F.coalesce("first", "id").alias("first"))
+
+
+def merged_topics(moments: DataFrame, merges: DataFrame) -> DataFrame:
+    """``first, topics, n, mu, m2`` of the merged topics, from the ``id, n, mu, m2`` of the single ones."""
+    parts = moments.join(merges, "id")
+    sizes = parts.groupBy("first").agg(F.count("*").alias("topics"))
+    return merge_moments(parts.select("first", "n", "mu", "m2"), "first").join(sizes, "first").select("first", "topics", "n", "mu", "m2")
+
+
 def recognition(samples: DataFrame, *by: str, sharpness: float = 2.5) -> DataFrame:
     """Mean of ``exp(-2.5 d^2)`` to the true scene less the same to the lure (``mean, scene, lure``), over all samples."""
     like = lambda c: F.exp(F.lit(-sharpness) * V.squared_distance(F.col("mean"), F.col(c)))

@@ -159,6 +159,18 @@ def distance_matrix(spark, sf):
     return round_doubles(cos.join(euc, ["a", "b"]))
 
 
+#: Distance of symbols that count as near.
+NEAR = 1.35
+
+
+@query("near_symbols", f"""with {SHORT}, {VOCABULARY}, d as (
+select a.name as a, b.name as b, sqrt(list_sum(list_transform(generate_series(1, 64), lambda j: (a.v[j]-b.v[j])**2))) as distance from vocab a join vocab b on a.name < b.name)
+select a, b, round(distance, 6) as distance from d where distance <= {NEAR}""")
+def near_symbols(spark, sf):
+    """Pairs of symbols under a distance, by pivots and the triangle inequality."""
+    return round_doubles(B.distance_matrix(_vocabulary(spark, sf), "euclidean", within=NEAR))
+
+
 # --- traces -----------------------------------------------------------------------
 
 TAU, KEEP, BAND, EPSILON, SAMPLES = 0.005, 0.7, 2, 1e-6, 5

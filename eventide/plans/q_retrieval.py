@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventide.functions import vector as V
 from eventide.operators import metrics, retrieval as R, transitions as T
 from eventide.operators.memory import centroids
+from eventide.operators.moments import topic_moments
 from eventide.operators.positions import with_lag
 from eventide.plans.q_transitions import EVENT_TURNS, LONG, SHORT
 from eventide.plans.registry import query, round_doubles
@@ -46,6 +47,28 @@ def memory_window(spark, sf):
     return R.memory_window(scenes, last_scenes(scenes), TOPICS, TURNS)
 
 
+#: Cosine from which topics merge, and the turns that a topic must have.
+MERGE, MERGE_TURNS = 0.25, 3
+
+
+@query("topic_merge", f"""with recursive {LONG}, cells as (select seq_id * 100 + label as id, i, scene[i] as x from long, unnest(generate_series(1, 64)) g(i)),
+dims as (select id, i, count(*) as n, avg(x) as m, sum(x * x) as q from cells group by all),
+topics as (select id, any_value(n) as n, list(m order by i) as c from dims group by id),
+links as (select a.id as a, b.id as b from topics a join topics b on a.id <> b.id and a.n >= {MERGE_TURNS} and b.n >= {MERGE_TURNS} and list_cosine_similarity(a.c, b.c) >= {MERGE}),
+reach as (select id as a, id as b from topics union select r.a, l.b from reach r join links l on r.b = l.a),
+firsts as (select a as id, min(b) as first from reach group by a),
+sums as (select first, i, sum(d.n) as n, sum(d.n * m) as s, sum(q) as q from firsts join dims d using (id) group by all),
+spreads as (select first, any_value(n) as n, sum(q - s * s / n) as spread, list(s / n order by i) as mu from sums group by first)
+select first, (select count(*) from firsts f where f.first = s.first) as topics, n::bigint as n, round(mu[1], 6) + 0.0::double as mu_1, round(mu[64], 6) + 0.0::double as mu_64,
+ round(spread, 6) + 0.0::double as spread from spreads s""")
+def topic_merge(spark, sf):
+    """Topics of all sequences whose centroids are alike become one, with the moments of all their scenes."""
+    scenes = tables.long_scenes(spark, sf).withColumn("id", F.col("seq_id") * 100 + F.col("label"))
+    moments = topic_moments(scenes, "id")
+    merged = R.merged_topics(moments, R.topic_merges(moments.withColumnRenamed("mu", "centroid"), MERGE, MERGE_TURNS))
+    return round_doubles(merged.select("first", "topics", "n", F.col("mu")[0].alias("mu_1"), F.col("mu")[63].alias("mu_64"), V.total(F.col("m2")).alias("spread")))
+
+
 @query("sliding_window", f"""with {LONG}, w as (select seq_id, pos, label, row_number() over (partition by seq_id order by pos desc) - 1 as back from long)
 select seq_id, pos, label, back::int as back from w where back < {TURNS}""")
 def sliding_window(spark, sf):

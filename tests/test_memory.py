@@ -59,11 +59,16 @@ def test_cleanup_in_blocks_is_exact(spark, metric):
     assert key(B.cleanup(queries, vocab, 3, gamma=5.0, metric=metric, max_cells=40)) == direct
 
 
-def test_distance_matrix_refuses_a_large_dictionary(spark):
-    vocab = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(5)], "name string, vec array<double>")
-    assert B.distance_matrix(vocab).count() == 10
-    with pytest.raises(ValueError):
-        B.distance_matrix(vocab, max_symbols=4)
+@pytest.mark.parametrize("metric,within", [("cosine", None), ("euclidean", None), ("euclidean", 2.0), ("cosine", 0.4)])
+def test_distance_matrix_tile_by_tile(spark, metric, within):
+    rng = np.random.default_rng(4)
+    vectors = [*rng.normal(size=(40, 5)), *(np.ones(5) + 0.01 * rng.normal(size=(60, 5))), np.zeros(5)]
+    vocab = spark.createDataFrame([(f"w{i:03d}", v.tolist()) for i, v in enumerate(vectors)], "name string, vec array<double>")
+    full = B._pair_distances(np.array(vectors), np.array(vectors), metric)
+    expected = {(f"w{i:03d}", f"w{j:03d}"): full[i, j] for i in range(101) for j in range(i + 1, 101) if within is None or full[i, j] <= within}
+    got = B.distance_matrix(vocab, metric, within, tile=16).collect()
+    assert len(got) == len(expected)
+    assert all(abs(expected[r.a, r.b] - r.distance) < 1e-6 for r in got)
 
 
 @pytest.fixture(scope="module")

@@ -50,14 +50,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Sent:
-    """A broadcast object whose class travels with it, so that workers need no copy of the package. Its size must be bounded by a parameter."""
+    """A broadcast object whose class travels with it, so that workers need no copy of the package. Its size must be bounded by a parameter.
+
+    A worker unpacks it once and keeps it from task to task, for as long as Spark keeps the broadcast there.
+    """
 
     def __init__(self, spark: SparkSession, thing):
         self._raw = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
 
     @property
     def value(self):
-        return pickle.loads(self._raw.value)
+        if not hasattr(self._raw, "_thing"):
+            self._raw._thing = pickle.loads(self._raw.value)
+        return self._raw._thing
 
     def unpersist(self) -> None:
         self._raw.unpersist()

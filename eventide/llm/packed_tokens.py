@@ -9,13 +9,13 @@ row groups are small enough for a task and pages small enough for the column ind
 Reading: the place of a document among all ids comes from its count alone. Running totals inside a file need only this
 file, and a table with one row per file gives the totals before it.
 
-Encoding a piece between two blanks doesn't depend on its neighbours where each single space stands between characters that are not white
-space, because no token crosses such a place. So a batch of texts is cut there, each distinct
-piece is encoded once, and the ids of the texts are gathered from the pieces. Recovery from lost executors needs nothing special:
-all steps are deterministic by row.
+Encoding doesn't look across the parts into which the tokenizer first splits a text: words, numbers and signs with the space before
+them, white space. For texts of ASCII and Latin letters, digits and signs these parts are found on the bytes of many texts at once; each distinct part is encoded once, and the ids of the texts
+are gathered from the parts. All other texts, and those that hold an added token of the tokenizer, are encoded whole by one plain call each. A worker keeps encoded parts up to a bound in
+bytes; they are a cache and never change a result. Recovery from lost executors needs nothing special: all steps are deterministic by row.
 
 Defined cases: a null or empty text has only the end id. Rows with one id follow each other in the order of their texts; a null id comes first.
-An empty table gives no rows. Other columns of the documents are not written.
+An empty table gives no rows. Other columns of the documents are not written. A very long text is encoded whole; memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -23,139 +23,178 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path, slices, table
+from .common import Sent, new_path, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Sizes of row groups and pages in bytes.
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-#: Bytes of text that are encoded together, and distinct pieces that a task keeps encoded.
-BATCH_BYTES = 8 << 20
-KEPT_PIECES = 500_000
+#: Bytes of text that are encoded together, and bytes (counted with what Python adds) of the parts that a worker keeps encoded.
+BATCH_BYTES = 4 << 20
+KEPT_BYTES = 64 << 20
+#: What a kept part takes beside its bytes and ids.
+ENTRY_BYTES = 130
 #: Parts joined to one text for the tokenizer (and such texts in one call), and texts whose ids are put together at a time.
 RUN = 50
 GATHERED = 400
-#: A space between two characters that aren't white space.
-SEAM = re.compile(r"(?<=\S)(?= \S)")
-#: Cuts a piece finer at places that no token crosses; only for texts of ASCII and Latin letters, digits and signs.
-PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u024f]*")
+#: Texts whose parts are found on bytes: ASCII, and Latin letters without the two signs among them.
+PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+#: Kinds of bytes: white space, letters (all bytes of Latin letters too), digits, signs.
+_KIND = np.full(256, 3, np.int8)
+_KIND[[9, 10, 13, 32]], _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 0, 1, 1, 1, 2
+
+
+def part_starts(raw: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where parts begin in plain texts that follow each other; ``text_starts`` are the starts of those that aren't empty.
+
+    A run of one kind is a part, with the space before it. Of several white characters before a word the last one stands apart. After an
+    apostrophe that begins a part, the endings s, t, m, d, re, ve and ll belong to it and end it.
+    """
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[text_starts] = first[n] = True
+    kind = _KIND[raw]
+    change = first[:n].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(change)
+    end = np.append(run[1:], n)
+    white = kind[run] == 0
+    start = np.zeros(n + 1, bool)
+    start[run[white]] = True
+    goes_on = end[white][~first[end[white]]]
+    start[goes_on - 1] = True
+    others = run[~white]
+    start[others[first[others] | (raw[others - 1] != 32)]] = True
+    quote = np.flatnonzero((raw == 39) & start[:n])
+    if len(quote):
+        padded = np.concatenate([raw, np.zeros(2, np.uint8)])
+        a, b = padded[quote + 1], padded[quote + 2]
+        same = ~first[np.minimum(quote + 1, n)]
+        one = same & np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = same & ~first[np.minimum(quote + 2, n)] & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))
+        for found, size in ((quote[one], 1), (quote[two], 2)):
+            start[found + 1] = False
+            start[found + 1 + size] = True
+    return np.flatnonzero(start[:n])
 
 
 class Store:
-    """Ids of encoded pieces, back to back, and the pieces' places."""
+    """Ids of encoded parts, back to back, and the parts' places. The arrays double when they are full."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.edged = np.zeros(0, bool)
-
-    def add(self, pieces: list[str], lists: list[bytes], edged: list[bool]) -> None:
-        """``lists`` holds the ids as four bytes each."""
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(lists), np.int32)])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.edged = np.concatenate([self.edged, np.array(edged, bool)])
-
-
-class PieceEncoder:
-    """Encodes texts piece by piece; pieces seen before are not encoded again.
-
-    Spark broadcasts one of these. A Python worker unpacks it once and so keeps its pieces from task to task; they are
-    a cache of bounded size and never change a result.
-    """
+        self.place: dict[bytes, int] = {}
+        self.flat, self.used, self.bytes = np.zeros(1 << 16, np.int32), 0, 0
+        self.lengths, self.starts = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(array):
+            return array
+        out = np.zeros(max(size, 2 * len(array)), array.dtype)
+        out[: len(array)] = array
+        return out
+
+    def add(self, parts: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, new = len(self.place), len(parts)
+        self.flat = self._grown(self.flat, self.used + len(flat))
+        self.lengths, self.starts = self._grown(self.lengths, n + new), self._grown(self.starts, n + new)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lengths[n : n + new] = lengths
+        self.starts[n : n + new] = self.used + np.cumsum(lengths) - lengths
+        self.place.update(zip(parts, range(n, n + new)))
+        self.used += len(flat)
+        self.bytes += ENTRY_BYTES * new + sum(map(len, parts)) + 4 * len(flat)
+
+    def only(self, parts: list[bytes]) -> Store:
+        """A store of those of some parts that are known."""
+        known = [p for p in parts if p in self.place]
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        out = Store()
+        out.add(known, self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)], lengths)
+        return out
+
+
+class PartEncoder:
+    """Encodes texts part by part; parts seen before are not encoded again. Only the path of the tokenizer is sent to workers."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.tokenizer = None
-
-    def __getstate__(self):
-        return {"path": self.path, "tokenizer": None}
+        self.path, self.tokenizer = path, None
 
     def _ready(self) -> None:
-        if self.tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
-            (self.line_break,) = self._ids("\n")
-            self.store: Store = Store()
-            self.parts: dict[str, bytes] = {}
-        if len(self.store.place) > KEPT_PIECES:
-            self.store = Store()
-        if len(self.parts) > KEPT_PIECES:
-            self.parts = {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(self.path)
+        # Where an added token stands in a text it is cut out first, so such texts are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.line_break,) = self._ids("\n")
+        self.store = Store()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode_parts(self, parts: list[str], alone: list[str]) -> None:
-        """Remember the ids of new parts, and of pieces that are not cut into parts. Parts without white space inside go line by line through one call:
-        a line break between them is a token of its own and joins with neither side."""
-        plain = [q for q in parts if not q[-1].isspace()]
-        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+    def _encode(self, parts: list[bytes]) -> None:
+        """Keep the ids of new parts. Parts without white space at the end go line by line through one call: a line break between them
+        is a part of its own and joins with neither side."""
+        words = [p for p in parts if p[-1] > 32]
+        runs = [words[k : k + RUN] for k in range(0, len(words), RUN)]
+        alone = [p for p in parts if p[-1] <= 32]
         for k in range(0, len(runs), RUN):
             some = runs[k : k + RUN]
-            for own, coded in zip(some, self.tokenizer.encode_batch_fast(["\n".join(r) for r in some], add_special_tokens=False)):
+            for own, coded in zip(some, self.tokenizer.encode_batch_fast([b"\n".join(r).decode() for r in some], add_special_tokens=False)):
                 ids = np.array(coded.ids, np.int32)
-                cuts = (np.flatnonzero(ids == self.line_break) * 4).tolist()
+                breaks = ids == self.line_break
+                cuts = np.flatnonzero(breaks)
                 if len(cuts) == len(own) - 1:
-                    raw = ids.tobytes()
-                    self.parts.update(zip(own, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
-        self.parts.update((q, np.array(self._ids(q), np.int32).tobytes()) for q in chain(parts, alone) if q not in self.parts)
+                    self.store.add(own, ids[~breaks], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                else:
+                    alone += own
+        for part in alone:
+            ids = np.array(self._ids(part.decode()), np.int32)
+            self.store.add([part], ids, np.array([len(ids)]))
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Places of the pieces in the store; new ones are encoded part by part."""
+    def __call__(self, texts: list[str], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts in a row, each text followed by ``end``, and the number of ids per text, until all are done."""
+        if self.tokenizer is None:
+            self._ready()
+        first, plain = 0, PLAIN.fullmatch
+        for k, text in enumerate([*texts, None]):
+            if text is None or any(a in text for a in self.added) or not plain(text):
+                if first < k:
+                    yield from self._by_parts(texts[first:k], end)
+                if text is not None:
+                    own = np.array([*self._ids(text), end], np.int32)
+                    yield own, np.array([len(own)])
+                first = k + 1
+
+    def _by_parts(self, texts: list[str], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for plain texts without added tokens."""
+        whole = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        begins = np.cumsum(sizes) - sizes
+        raw = b"".join(whole)
+        del whole
+        starts = part_starts(np.frombuffer(raw, np.uint8), begins[sizes > 0])
+        offsets = np.append(starts, len(raw)).astype(np.int32)
+        coded = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if self.store.bytes > KEPT_BYTES:
+            self.store = self.store.only(distinct)
         place = self.store.place
-        new = list(dict.fromkeys([p for p in pieces if p not in place]))
+        new = [p for p in distinct if p not in place]
         if new:
-            plain, known = PLAIN.fullmatch, self.parts
-            cut = [PARTS.findall(p) if plain(p) else (p,) for p in new]
-            self._encode_parts(
-                list(dict.fromkeys([q for own in cut if type(own) is list for q in own if q not in known])),
-                [own[0] for own in cut if type(own) is tuple and own[0] not in known],
-            )
-            lists = [known[own[0]] if len(own) == 1 else b"".join([known[q] for q in own]) for own in cut]
-            # A key has one space more than its piece, so that the space that was cut at isn't an edge.
-            self.store.add(new, lists, [len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in new])
-        return np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-
-    def __call__(self, texts: list[str], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of some texts in a row, each text followed by ``end``, and the number of ids per text, until all are done.
-
-        Texts are cut at every space. A piece that is empty or has white space at an edge shows a space that is no
-        seam; its text is cut again, by the exact rule.
-        """
-        self._ready()
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        counts = np.diff(cut.offsets.to_numpy())
-        coded = pc.dictionary_encode(cut.flatten())
-        bare, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        del cut, coded
-        places = self._places([" " + p for p in bare]).astype(np.int32)
-        firsts = np.cumsum(counts) - counts
-        plain = np.add.reduceat(self.store.edged[places][codes], firsts, dtype=np.int32) == 0
-        heads = [[bare[codes[f]]] if ok else SEAM.split(text) for text, f, ok in zip(texts, firsts, plain)]
-        head_places = self._places(list(chain.from_iterable(heads)))
-        # The first piece of a text has no space before it; a text that was cut again has only pieces of its own.
-        head_counts = np.fromiter(map(len, heads), np.int64, len(heads))
-        keep = np.repeat(plain, counts)
-        keep[firsts] = False
-        at = np.repeat((np.cumsum(keep, dtype=np.int32) - keep)[firsts], head_counts)
-        chosen = np.insert(places[codes[keep]], at, head_places)
-        per_text = np.where(plain, counts - 1, 0) + head_counts
+            self._encode(new)
+        chosen = np.fromiter(map(place.__getitem__, distinct), np.int32, len(distinct))[codes]
+        per_text = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
+        del coded, codes, distinct, starts, offsets, raw
         begin = np.cumsum(per_text) - per_text
         for k in range(0, len(texts), GATHERED):
             own = per_text[k : k + GATHERED]
@@ -168,7 +207,7 @@ def _gathered(
 ) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the pieces ``codes`` in a row, with ``end`` after each text."""
     per_piece = lengths[codes]
-    ends = np.cumsum(per_piece)
+    ends = np.cumsum(per_piece, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     source = np.arange(total) + np.repeat(starts[codes] - (ends - per_piece), per_piece)
     text_ends = np.concatenate([[0], ends])[np.cumsum(per_text)]
@@ -213,7 +252,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int =
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    encoded = ordered.mapInArrow(_encoder(spark.sparkContext.broadcast(PieceEncoder(public_tokenizers.path(tokenizer))), end), "doc_id long, n_tokens long, ids array<int>")
+    encoded = ordered.mapInArrow(_encoder(Sent(spark, PartEncoder(public_tokenizers.path(tokenizer))), end), "doc_id long, n_tokens long, ids array<int>")
     writer = encoded.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.enable.dictionary", "true")
     writer.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(path)
 
@@ -238,9 +277,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         lists = batch.column("ids")
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         ends = lists.offsets.to_numpy()
         sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays(

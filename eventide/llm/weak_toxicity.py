@@ -20,7 +20,6 @@ fires in the training fold all documents score the share of toxic marks there (0
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -62,9 +61,9 @@ LEXICONS = {
     "hatred": "hate hateful despise loathe kill burn hasse hass verrecke haine crève déteste odio odiar muérete maldito maldita",
 }
 PATTERNS = {
-    "address": rb"\b(you|your|youre|u|du|dich|dein|tu|toi|ton|eres|tu)\W{1,3}(\w+\W){0,3}(idiot|moron|loser|clown|scum|trash|stupid|pathetic|worthless|disgusting|dumm|stupide|inutile|tonto)",
-    "silence": rb"shut\s+up|get\s+lost|go\s+away|go\s+to\s+hell|halt\s+die|ta\s+gueule|c\xc3\xa1llate",
-    "shouting": rb"!{3,}|\b[a-z]+!\s+[a-z]+!",
+    "address": r"\b(you|your|youre|u|du|dich|dein|tu|toi|ton|eres|tu)\W{1,3}(\w+\W){0,3}(idiot|moron|loser|clown|scum|trash|stupid|pathetic|worthless|disgusting|dumm|stupide|inutile|tonto)",
+    "silence": r"shut\s+up|get\s+lost|go\s+away|go\s+to\s+hell|halt\s+die|ta\s+gueule|cállate",
+    "shouting": r"!{3,}|\b[a-z]+!\s+[a-z]+!",
 }
 #: A lexicon votes when one of its words stands in the text, the last voter when several different insults do.
 VOTERS = [*LEXICONS, *(f"mined{k}" for k in range(MINED_GROUPS)), *PATTERNS, "several"]
@@ -88,32 +87,41 @@ class Lexicon:
         return np.where(at.is_valid().to_numpy(zero_copy_only=False), self.bits[pc.fill_null(at, 0).to_numpy()], 0)
 
 
-def tokens(rows: np.ndarray, codes: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Different tokens of each text: rows, token codes and the tokens, which are words and, marked by a star, the beginnings of longer words."""
-    size = pc.utf8_length(distinct)
-    starts = [pc.if_else(pc.greater(size, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(distinct, 0, k), pa.scalar("*", distinct.type), pa.scalar("", distinct.type)), distinct) for k in STARTS]
-    coded = pc.dictionary_encode(pa.concat_arrays([distinct, *starts]))
-    to_token = coded.indices.to_numpy().reshape(len(STARTS) + 1, -1)
-    pairs = np.unique(np.concatenate([rows.astype(np.int64) << 32 | own[codes] for own in to_token]))
-    return pairs >> 32, pairs & 0xFFFFFFFF, coded.dictionary
-
-
-def votes(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Per text the bits of the voters that fire, and the share of insults among its words; also the rows, codes and list of its tokens."""
-    words = coded_words(texts, RULE)
-    rows, codes, distinct = tokens(*words)
-    kinds = lexicon.kinds(distinct)
-    hit = kinds[codes] > 0
+class Words:
+    """Words of some texts: the row and the code of each, and the tokens that a distinct word stands for, which are itself and, marked by a star, its beginnings."""
+
+    def __init__(self, texts: pa.Array):
+        self.rows, self.codes, distinct = coded_words(texts, RULE)
+        size = pc.utf8_length(distinct)
+        starts = [pc.if_else(pc.greater(size, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(distinct, 0, k), pa.scalar("*", distinct.type), pa.scalar("", distinct.type)), distinct) for k in STARTS]
+        coded = pc.dictionary_encode(pa.concat_arrays([distinct, *starts]))
+        self.of_word, self.tokens, self.n = coded.indices.to_numpy().reshape(len(STARTS) + 1, -1), coded.dictionary, len(texts)
+
+    def pairs(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The different tokens of each text, as rows and token codes; only the ``wanted`` ones if given."""
+        found = []
+        for own in self.of_word:
+            if wanted is None:
+                found.append(self.rows.astype(np.int64) << 32 | own[self.codes])
+            else:
+                hit = wanted[own][self.codes]
+                found.append(self.rows[hit].astype(np.int64) << 32 | own[self.codes[hit]])
+        pairs = np.unique(np.concatenate(found))
+        return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def votes(texts: pa.Array, words: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the bits of the voters that fire, and the share of insults among its words."""
+    kinds = lexicon.kinds(words.tokens)
+    rows, codes = words.pairs(kinds > 0)
     fired = np.zeros(len(texts), np.int64)
-    np.bitwise_or.at(fired, rows[hit], kinds[codes[hit]])
-    fired |= (np.bincount(rows[hit], minlength=len(texts)) > 2).astype(np.int64) << VOTERS.index("several")
-    raw = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
+    np.bitwise_or.at(fired, rows, kinds[codes])
+    fired |= (np.bincount(rows, minlength=len(texts)) > 2).astype(np.int64) << VOTERS.index("several")
+    lowered = pc.ascii_lower(pc.fill_null(texts, ""))
     for name, pattern in PATTERNS.items():
-        search = re.compile(pattern).search
-        fired |= np.array([search(t) is not None for t in raw], np.int64) << VOTERS.index(name)
-    insult = lexicon.kinds(words[2]) > 0
-    share = np.bincount(words[0], insult[words[1]], len(texts)) / (np.bincount(words[0], minlength=len(texts)) + 20.0)
-    return fired, share, rows, codes, distinct
+        fired |= pc.match_substring_regex(lowered, pattern).to_numpy(zero_copy_only=False).astype(np.int64) << VOTERS.index(name)
+    insult = kinds[words.of_word[0]] > 0
+    return fired, np.bincount(words.rows, insult[words.codes], len(texts)) / (np.bincount(words.rows, minlength=len(texts)) + 20.0)
 
 
 class VoteModel:
@@ -192,7 +200,8 @@ def _vote(lexicon):
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         insults = lexicon.value
         for batch in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes(batch.column("text"), insults)[0])], names=["doc_id", "bits"])
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes(texts, Words(texts), insults)[0])], names=["doc_id", "bits"])
 
     return vote
 
@@ -208,7 +217,8 @@ def _marked_words(shared):
             some = np.flatnonzero((ids[at] == own) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             if not len(some):
                 continue
-            rows, word, distinct = tokens(*coded_words(batch.column("text").take(pa.array(some)), RULE))
+            own = Words(batch.column("text").take(pa.array(some)))
+            (rows, word), distinct = own.pairs(), own.tokens
             mark = toxic[at[some]]
             n = np.bincount(word, minlength=len(distinct))
             bad = np.bincount(word, mark[rows], len(distinct)).astype(np.int64)
@@ -246,7 +256,8 @@ def _word_evidence(shared, lexicon):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, insults = shared.value, lexicon.value
         for batch in text_slices(batches):
-            fired, _, rows, word, distinct = votes(batch.column("text"), insults)
+            own = Words(batch.column("text"))
+            fired, (rows, word), distinct = votes(batch.column("text"), own, insults)[0], own.pairs(), own.tokens
             p = model.posterior(unpack(fired), np.full(len(fired), 2))
             n = np.bincount(word, minlength=len(distinct))
             toxic = np.bincount(word, p[rows], len(distinct))
@@ -263,11 +274,12 @@ def _features(shared, lexicon):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, insults = shared.value, lexicon.value
         for batch in text_slices(batches):
-            fired, share, rows, codes, distinct = votes(batch.column("text"), insults)
-            at = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy()
-            own = at[codes]
-            sizes = np.bincount(rows[own >= 0], minlength=len(fired))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(own[own >= 0].astype(np.int32)))
+            own = Words(batch.column("text"))
+            fired, share = votes(batch.column("text"), own, insults)
+            at = pc.fill_null(pc.index_in(own.tokens, value_set=known), -1).to_numpy()
+            rows, codes = own.pairs(at >= 0)
+            sizes = np.bincount(rows, minlength=len(fired))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(at[codes].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fired), lists, pa.array(share)], names=["doc_id", "bits", "words", "share"])
 
     return extract

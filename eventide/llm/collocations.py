@@ -4,12 +4,12 @@ Words that occur often enough get a code. The texts become arrays of codes in a
 breaks between pieces, so no phrase crosses either. Then, level by level from two words to ``LONGEST``:
 
 *Candidates.* A phrase can only be frequent if its first and last ``k - 1`` words are. Tasks walk a trie of the frequent phrases of the level below over their tokens and note each
-occurrence that one more coded word follows. A shard (all tokens of a task) reports what it saw at least ``t`` times, where ``t`` is the threshold divided by the
-number of shards, rounded up. What a phrase has in shards that did not report it is below ``t`` each, so reports plus that
-rest bound its count from above; phrases whose bound reaches the threshold, and whose last words are frequent, are the candidates. None that is frequent can be missing.
+occurrence that one more coded word follows (if one trie holds the whole level, only where the words from the second on are in it too). Each shard (all tokens of a task) reports each such phrase
+once, with how often it saw it. Phrases whose reports reach the threshold together, and whose last words are frequent, are the candidates: none that is frequent can be missing, and a trie holds
+little else. All pairs of frequent words, or all joins of overlapping phrases, would be as safe but grow with the square of a frequent word's partners.
 
 *Counts.* Candidates go, in parts of at most ``TRIE_PHRASES``, into a double-array trie each, which is broadcast. Tasks advance the states of all
-positions by numpy, count accepting states with bincount, and the counts of all shards are summed by a shuffle.
+positions by numpy, count accepting states with bincount, and the vectors of counts of all shards are added up by a shuffle.
 
 Scores join the table of counts with itself once per side of each cut, in exact decimals of 38 digits. The best of a language are ranked in salted groups before the last ranking.
 
@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.positions import dense_positions
@@ -46,6 +47,9 @@ SHARD_TOKENS = 4 << 20
 #: Different keys that a task gathers before it reports all of them, and tokens that it handles together.
 KEPT_KEYS = 4 << 20
 STEP_TOKENS = 1 << 20
+#: Phrases of one vector of counts, and groups of tasks whose vectors are added first.
+CHUNK = 2048
+GROUPS = 64
 SCALE = 1000
 WIDE = "decimal(19,0)"
 
@@ -143,53 +147,74 @@ def _token_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _proposer(shared, least: int):
-    """Occurrences of the trie's phrases with the coded word behind them, with their count in this shard."""
+def _proposer(shared, whole: bool):
+    """Occurrences of the trie's phrases with the coded word behind them, with their count in this shard. ``whole``: the trie holds all phrases of its level."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: PhraseTrie = shared.value
-        keys, counts, enough = np.zeros(0, np.int64), np.zeros(0, np.int64), least
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def rows(some: np.ndarray, last: int) -> pa.RecordBatch:
-            # Only the last report counts as the shard's: its keys are complete then.
-            return pa.RecordBatch.from_arrays(
-                [pa.array(trie.accepted[keys[some] >> 32]), pa.array((keys[some] & 0xFFFFFFFF).astype(np.int32)), pa.array(counts[some]), pa.array(np.full(len(some), last, np.int32))],
-                names=["prefix", "code", "a", "n"],
-            )
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(trie.accepted[keys >> 32]), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)], names=["prefix", "code", "a"])
 
         for tokens in _token_steps(batches):
             at, states = trie.ends(tokens)
             follows = at + trie.length < len(tokens)
+            if whole:
+                begins = np.zeros(len(tokens) + 1, bool)
+                begins[at] = True
+                follows &= begins[at + 1]
             at, states = at[follows], states[follows]
             word = tokens[at + trie.length]
             own, own_counts = np.unique((states.astype(np.int64) << 32 | word)[word > 0], return_counts=True)
             keys, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, own_counts]), len(keys)).astype(np.int64)
             if len(keys) > KEPT_KEYS:
-                # Too many to keep: report all of them now, and leave out nothing at the end either.
-                yield rows(np.arange(len(keys)), 0)
-                keys, counts, enough = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
-        yield rows(np.flatnonzero(counts >= enough), 1)
+                # Too many to keep: they are reported now, and again if they come again.
+                yield rows()
+                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield rows()
 
     return propose
 
 
 def _counter(shared):
-    """Counts of accepting states over all tokens of a shard."""
+    """Counts of accepting states over all tokens of a shard, as vectors of ``CHUNK`` phrases."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: PhraseTrie = shared.value
         counts = np.zeros(len(trie.accepted), np.int64)
         for tokens in _token_steps(batches):
             counts += np.bincount(trie.ends(tokens)[1], minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(trie.accepted[some]), pa.array(counts[some])], names=["id", "a"])
+        own, task = counts[trie.states], TaskContext.get().partitionId()
+        for k in range(0, len(own), CHUNK):
+            part = own[k : k + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([task % GROUPS], pa.int32()), pa.array([part], pa.list_(pa.int64()))], names=["chunk", "part", "counts"])
 
     return count
 
 
+def _vector_sum(group: pa.Table) -> pa.Table:
+    total = sum(row.values.to_numpy() for row in group.column("counts"))
+    return group.slice(0, 1).select(["chunk", "part"]).append_column("counts", pa.array([total], pa.list_(pa.int64())))
+
+
+def phrase_counts(tokens: DataFrame, trie: Sent, least: int) -> DataFrame:
+    """``id, a`` of the trie's phrases that occur ``least`` times or more; vectors of the shards are added up in two steps."""
+    schema = "chunk int, part int, counts array<long>"
+    vectors = tokens.mapInArrow(_counter(trie), schema).groupBy("chunk", "part").applyInArrow(_vector_sum, schema)
+
+    def name(group: pa.Table) -> pa.Table:
+        total, first = sum(row.values.to_numpy() for row in group.column("counts")), group.column("chunk")[0].as_py() * CHUNK
+        some = np.flatnonzero(total >= least)
+        return pa.table({"id": pa.array(trie.value.ids[first + some]), "a": pa.array(total[some])})
+
+    return vectors.groupBy("chunk").applyInArrow(name, "id long, a long")
+
+
 def _tries(phrases: DataFrame, limit: int) -> Iterator:
-    """Broadcast tries that together hold all ``phrases`` (``id``, ``ids``), each at most ``limit`` of them and a little more."""
+    """Broadcast tries that together hold all ``phrases`` (``id``, ``ids``), each about ``limit`` of them at most, and whether one holds all."""
     spark = phrases.sparkSession
     parts = max(1, math.ceil(phrases.count() / limit))
     for k in range(parts):
@@ -197,31 +222,27 @@ def _tries(phrases: DataFrame, limit: int) -> Iterator:
         if rows.num_rows:
             codes = rows.column("ids").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
             shared = Sent(spark, PhraseTrie(codes, rows.column("id").to_numpy()))
-            yield shared
+            yield shared, parts == 1
             shared.unpersist()
 
 
 def frequent_phrases(tokens: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, trie_phrases: int = TRIE_PHRASES) -> list[DataFrame]:
     """Per length from 1 on a written table of ``id``, ``ids`` (codes) and ``a``, the count of the phrases that reach ``least``."""
     size = tokens.agg(F.coalesce(F.sum(F.size("codes").cast("long")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(size / SHARD_TOKENS))
-    spread = tokens.coalesce(shards)
-    shards = min(shards, max(1, spread.rdd.getNumPartitions()))
-    locally = -(-least // shards)
+    # Fewer, larger shards report less.
+    spread = tokens.coalesce(max(1, math.ceil(size / SHARD_TOKENS)))
     levels = [written(words.select(F.col("code").cast("long").alias("id"), F.array("code").alias("ids"), "a"), "phrases-1")]
     for k in range(2, longest + 1):
         below = levels[-1]
         if below.isEmpty():
             break
         # A trie at a time: its reports are written before the next one is sent.
-        proposed = [written(spread.mapInArrow(_proposer(t, locally), "prefix long, code int, a long, n int").groupBy("prefix", "code").agg(F.sum("a").alias("a"), F.sum("n").alias("n")), f"phrases-{k}-seen") for t in _tries(below, trie_phrases)]
-        seen = reduce(DataFrame.unionByName, proposed)
-        # A shard that did not report a phrase has fewer than ``locally`` of it.
-        likely = seen.where(F.col("a") + (locally - 1) * F.greatest(F.lit(shards) - F.col("n"), F.lit(0)) >= least)
+        proposed = [written(spread.mapInArrow(_proposer(t, whole), "prefix long, code int, a long").groupBy("prefix", "code").agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"phrases-{k}-seen") for t, whole in _tries(below, trie_phrases)]
+        likely = reduce(DataFrame.unionByName, proposed)
         grown = likely.join(below.select(F.col("id").alias("prefix"), "ids"), "prefix").select(F.concat("ids", F.array("code")).alias("ids"))
         safe = grown.join(below.select(F.col("ids").alias("tail")), F.slice("ids", 2, k - 1) == F.col("tail"), "left_semi")
         candidates = written(safe.select(F.monotonically_increasing_id().alias("id"), "ids"), f"phrases-{k}-candidates")
-        counted = [written(spread.mapInArrow(_counter(t), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"phrases-{k}-counts") for t in _tries(candidates, trie_phrases)]
+        counted = [written(phrase_counts(spread, t, least), f"phrases-{k}-counts") for t, _ in _tries(candidates, trie_phrases)]
         if not counted:
             break
         levels.append(written(candidates.join(reduce(DataFrame.unionByName, counted), "id").select("id", "ids", "a"), f"phrases-{k}"))

@@ -139,7 +139,7 @@ def test_an_early_report_loses_nothing(monkeypatch):
         lists = [tokens[k : k + 50].tolist() + [0] for k in range(0, 5000, 50)]
         batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["codes"])
         total = Counter()
-        for out in collocations._proposer(shared, 1)(iter([batch])):
+        for out in collocations._proposer(shared, True)(iter([batch])):
             for r in out.to_pylist():
                 total[r["prefix"], r["code"]] += r["a"]
         seen[kept] = total

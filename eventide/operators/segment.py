@@ -278,29 +278,53 @@ class Bank:
 
     # -- saving and restoring ----------------------------------------------------------
 
-    def topic(self, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        """Size, mean and squared deviations of a topic of the only sequence."""
-        m2 = self.m2[0, k] if self.m2 is not None else np.zeros(self.dim)
-        return self.counts[0, k], self.mu[0, k], m2
-
-    def restore(self, topics: Sequence[tuple[float, np.ndarray, np.ndarray]], prev: int, seen: float, mean) -> None:
-        """Set the state of the only sequence from its topics in id order."""
-        while self.counts.shape[1] < len(topics):
+    def topic(self, k: int) -> dict:
+        """Size, mean, squared deviations, last scene and set sizes of a topic of the only sequence."""
+        vector = lambda table: [] if table is None else table[0, k].tolist()
+        size = lambda table: 0.0 if table is None else float(table[0, k])
+        return {
+            "n": float(self.counts[0, k]), "mu": vector(self.mu), "m2": vector(self.m2),
+            "last": vector(self.last), "n_tok": size(self.n_tok), "n_ent": size(self.n_ent),
+        }
+
+    def put_topic(self, k: int, n: float, mu, m2, last, n_tok: float, n_ent: float) -> None:
+        """Set a topic of the only sequence to what :meth:`topic` returned."""
+        while self.counts.shape[1] <= k:
             self._grow()
-        for k, (n, mu, m2) in enumerate(topics):
-            self.counts[0, k], self.mu[0, k] = n, mu
-            if self.sq is not None:
-                self.sq[0, k] = mu @ mu
-                continue
-            self.m2[0, k] = m2
-            s0, floor = self.sigma0_sq[0], self.sigma_min_sq[0]
-            var = np.full(self.dim, s0) if n < WARM_COUNT else np.maximum(m2 / n, floor)
-            inv = 1.0 / var
-            self.inv_var[0, k], self.scaled[0, k] = inv, inv * mu
-            self.const[0, k] = (inv * mu * mu + np.log(var)).sum() + self.dim * LOG_2PI
-        self.used[0], self.prev[0], self.seen[0] = len(topics), prev, seen
+        mu = np.asarray(mu, dtype=float)
+        self.counts[0, k], self.mu[0, k] = n, mu
+        if self.last is not None:
+            self.last[0, k] = last
+            self.last_sq[0, k] = self.last[0, k] @ self.last[0, k]
+        if self.n_tok is not None:
+            self.n_tok[0, k], self.n_ent[0, k] = n_tok, n_ent
+        if self.sq is not None:
+            self.sq[0, k] = mu @ mu
+            return
+        self.m2[0, k] = m2
+        warm = np.maximum(self.m2[0, k] / n, self.sigma_min_sq[0])
+        var = np.full(self.dim, self.sigma0_sq[0]) if n < WARM_COUNT else warm
+        inv = 1.0 / var
+        self.inv_var[0, k], self.scaled[0, k] = inv, inv * mu
+        self.const[0, k] = (inv * mu * mu + np.log(var)).sum() + self.dim * LOG_2PI
+
+    def put_head(self, used: int, prev: int, seen: float, mean) -> None:
+        """Set the rest of the state of the only sequence."""
+        while self.counts.shape[1] < used:
+            self._grow()
+        self.used[0], self.prev[0], self.seen[0] = used, prev, seen
         self.mean[0] = mean
 
+    def holders(self, kind: str, item: str) -> list[int]:
+        """Topics of the only sequence that hold a token (``t``) or an entity (``e``)."""
+        held = self.members.get((kind, item))
+        return [] if held is None else np.flatnonzero(held[0]).tolist()
+
+    def put_holders(self, kind: str, item: str, topics: Sequence[int]) -> None:
+        held = np.zeros(self.counts.shape, dtype=np.uint8)
+        held[0, list(topics)] = 1
+        self.members[kind, item] = held
+
     # -- moving one sequence between banks ------------------------------------------
 
     def take(self, sequence: int) -> dict:

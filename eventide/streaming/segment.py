@@ -1,9 +1,12 @@
 """Topic assignment as a stateful stream: the state of a sequence lives across micro-batches.
 
-Any split of the input into micro-batches gives the assignments of the batch operator. Rows
-that arrive before their predecessors wait in state; at the end of the input ``unfinished`` assigns those
-whose predecessors never came, in order, as the batch operator does. Rows whose position was already passed or is null have no
+Any split of the input into micro-batches gives the assignments of the batch operator, for every scorer. Rows
+that arrive before their predecessors wait in state. With ``gap_seconds`` a timer closes a gap while the
+stream runs: all rows that wait by then are assigned in order. Without it they wait until the input has
+ended, when ``unfinished`` assigns them, as the batch operator does. Rows whose position was already passed or is null have no
 place; they are counted, left out, and kept in state for ``passed_rows``.
+
+``hand_over`` reads the state of a stopped stream as a table from which a batch run (``resume``) or another stream goes on.
 """
 
 from __future__ import annotations
@@ -15,93 +18,163 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from eventide.operators.segment import GAUSS, VMF, Bank, Config
+from eventide.operators.resume import STATE_COLUMNS, TOPIC_COLUMNS, resume
+from eventide.operators.segment import SIGNALS, Bank, Config
 
-STREAMABLE = GAUSS + VMF + ("centroid", "ema")
 #: Grouping by a null mixes groups up in Python, so a sequence is keyed by its id, or any value, and whether the id is null.
 KEY = ("__id", "__none")
 OUTPUT = "seq_id {key}, pos bigint, topic int, is_boundary boolean, late bigint"
+TOPIC = "n double, mu array<double>, m2 array<double>, last array<double>, n_tok double, n_ent double"
+#: Rows that are returned together when a timer closes a gap.
+OUT_ROWS = 1000
 
 
-class TopicProcessor(StatefulProcessor):
-    """State of one sequence: a head record, its topics, and rows that came too early.
+class _Open:
+    """One sequence while a micro-batch works on it: its bank, read from the state and written back.
 
-    Only topics that a micro-batch changed are written back, so the cost of a micro-batch
-    follows its rows and not the number of topics.
+    All topics are read, since each of them competes for a scene. Tokens and entities are read when a scene
+    has them, and only topics and items that changed are written back.
     """
 
-    def __init__(self, config: Config):
-        self.config = config
+    def __init__(self, store: "TopicProcessor", dim: int):
+        self.store, self.bank = store, Bank([store.config], dim)
+        self.next_pos = self.late = self.waiting = self.due = 0
+        self.topics, self.known, self.learned = set(), set(), set()
+        if store.head.exists():
+            prev, self.next_pos, self.late, self.waiting, self.due, used, seen, mean = store.head.get()
+            self.bank.put_head(used, prev, seen, np.asarray(mean, dtype=float))
+            for k in range(used):
+                self.bank.put_topic(k, *store.topics.getValue((k,)))
+
+    def take(self, scene, tokens, entities):
+        """Assign the scene at the next position."""
+        items = [("t", i) for i in tokens] + [("e", i) for i in entities]
+        for item in items:
+            if item not in self.known:
+                self.known.add(item)
+                if self.store.members.containsKey(item):
+                    self.bank.put_holders(*item, self.store.members.getValue(item)[0])
+        topic, changed = self.bank.assign(np.asarray(scene, dtype=float)[None, :], frozenset(tokens), frozenset(entities))
+        self.topics.add(int(topic[0]))
+        self.learned.update(items)
+        place, self.next_pos = self.next_pos, self.next_pos + 1
+        return place, int(topic[0]), bool(changed[0])
+
+    def take_waiting(self):
+        """Assign the row that waits at the next position, if there is one."""
+        at = (self.next_pos,)
+        if not self.waiting or not self.store.waiting.containsKey(at):
+            return None
+        row = self.take(*self.store.waiting.getValue(at))
+        self.store.waiting.removeKey(at)
+        self.waiting -= 1
+        return row
+
+    def save(self) -> None:
+        bank, store = self.bank, self.store
+        for k in self.topics:
+            store.topics.updateValue((k,), tuple(bank.topic(k).values()))
+        for item in self.learned:
+            store.members.updateValue(item, (bank.holders(*item),))
+        store.head.update((
+            int(bank.prev[0]), self.next_pos, self.late, self.waiting, self.due, int(bank.used[0]), float(bank.seen[0]),
+            bank.mean[0].tolist(),
+        ))
+
+
+class TopicProcessor(StatefulProcessor):
+    """State of one sequence: a head record, its topics, their tokens, and rows that came too early."""
+
+    def __init__(self, config: Config, gap_seconds: float | None = None):
+        self.config, self.gap = config, None if gap_seconds is None else int(gap_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.head = handle.getValueState(
-            "head", "prev int, next_pos bigint, late bigint, used int, seen double, mean array<double>"
+            "head",
+            "prev int, next_pos bigint, late bigint, n_waiting bigint, due bigint, used int, seen double, mean array<double>",
+        )
+        self.topics = handle.getMapState("topics", "topic int", TOPIC)
+        self.members = handle.getMapState("members", "kind string, item string", "topics array<int>")
+        self.waiting = handle.getMapState(
+            "waiting", "pos bigint", "scene array<double>, tokens array<string>, entities array<string>"
         )
-        self.topics = handle.getMapState("topics", "topic int", "n double, mu array<double>, m2 array<double>")
-        self.waiting = handle.getMapState("waiting", "pos bigint", "scene array<double>")
         self.passed = handle.getListState("passed", "pos bigint, scene array<double>")
 
-    def _bank(self, dim: int):
-        bank = Bank([self.config], dim)
-        if not self.head.exists():
-            return bank, 0, 0
-        prev, next_pos, late, used, seen, mean = self.head.get()
-        topics = []
-        for k in range(used):
-            n, mu, m2 = self.topics.getValue((k,))
-            topics.append((n, np.asarray(mu, dtype=float), np.asarray(m2, dtype=float)))
-        bank.restore(topics, prev, seen, np.asarray(mean, dtype=float))
-        return bank, next_pos, late
+    def _frame(self, key, rows: list, late: int) -> pd.DataFrame:
+        done = pd.DataFrame(rows, columns=["pos", "topic", "is_boundary"])
+        done.insert(0, "seq_id", pd.Series([None if key[1] else key[0]] * len(done), dtype=object if key[1] else None))
+        return done.assign(late=late)
+
+    def _set_timer(self, state: _Open, moved: bool, now: int) -> None:
+        """A timer runs from the moment since which the next position is missing."""
+        if self.gap is None or (state.due and state.waiting and not moved):
+            return
+        if state.due:
+            self.handle.deleteTimer(state.due)
+        state.due = now + self.gap if state.waiting else 0
+        if state.due:
+            self.handle.registerTimer(state.due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bank, next_pos, late, early, touched = None, 0, 0, {}, set()
-        dim, loaded, passed = 0, False, []
+        state, moved = None, False
         for chunk in rows:
             chunk = chunk.sort_values("pos", kind="stable", na_position="last")
-            scenes = [np.asarray(s, dtype=float) for s in chunk["scene"]]
-            if bank is None:
-                dim = len(scenes[0])
-                bank, next_pos, late = self._bank(dim)
-            if not loaded:
-                loaded = True
-                early = {p: np.asarray(s, dtype=float) for (p,), (s,) in list(self.waiting.iterator())}
-                waited = set(early)
-            out = []
-
-            def take(s, at):
-                topic, changed = bank.assign(s[None, :])
-                touched.add(int(topic[0]))
-                out.append((None if key[1] else key[0], at, int(topic[0]), bool(changed[0])))
-
-            for pos, s in zip(chunk["pos"].tolist(), scenes):
-                if pd.isna(pos) or pos < next_pos or pos in early:
-                    late += 1
-                    passed.append((None if pd.isna(pos) else int(pos), s.tolist()))
-                elif pos > next_pos:
-                    early[int(pos)] = s
+            out, passed = [], []
+            for pos, *row in zip(chunk["pos"].tolist(), *[chunk[c].tolist() for c in ("scene", "tokens", "entities")]):
+                scene, tokens, entities = (list(v) for v in row)
+                if state is None:
+                    state = _Open(self, len(scene))
+                if pd.isna(pos) or pos < state.next_pos:
+                    passed.append((None if pd.isna(pos) else int(pos), scene))
+                elif pos > state.next_pos:
+                    if state.waiting and self.waiting.containsKey((int(pos),)):
+                        passed.append((int(pos), scene))
+                    else:
+                        self.waiting.updateValue((int(pos),), (scene, tokens, entities))
+                        state.waiting += 1
                 else:
-                    take(s, next_pos)
-                    next_pos += 1
-                    while next_pos in early:
-                        take(early.pop(next_pos), next_pos)
-                        next_pos += 1
+                    row = state.take(scene, tokens, entities)
+                    while row is not None:
+                        out.append(row)
+                        row = state.take_waiting()
+            if passed:
+                self.passed.appendList(passed)
+                state.late += len(passed)
             if out:
-                done = pd.DataFrame(out, columns=["seq_id", "pos", "topic", "is_boundary"])
-                yield done.assign(late=late)
-        if bank is None:
+                moved = True
+                yield self._frame(key, out, state.late)
+        if state is not None:
+            self._set_timer(state, moved, timerValues.getCurrentProcessingTimeInMs())
+            state.save()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Give up the missing positions and assign what waits behind them, in order."""
+        places = sorted(p for (p,) in list(self.waiting.keys()))
+        if not places:
             return
-        for pos in waited - set(early):
-            self.waiting.removeKey((pos,))
-        for pos in set(early) - waited:
-            self.waiting.updateValue((pos,), (early[pos].tolist(),))
-        if passed:
-            self.passed.appendList(passed)
-        for k in touched:
-            n, mu, m2 = bank.topic(k)
-            self.topics.updateValue((k,), (float(n), mu.tolist(), m2.tolist()))
-        self.head.update(
-            (int(bank.prev[0]), next_pos, late, int(bank.used[0]), float(bank.seen[0]), bank.mean[0].tolist())
-        )
+        state, out = _Open(self, len(self.waiting.getValue((places[0],))[0])), []
+        for place in places:
+            state.next_pos = place
+            out.append(state.take_waiting())
+            if len(out) == OUT_ROWS:
+                yield self._frame(key, out, state.late)
+                out = []
+        if out:
+            yield self._frame(key, out, state.late)
+        state.due = 0
+        state.save()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.to_dict("records"):
+            self.head.update((
+                int(row["prev"]), int(row["next_pos"]), 0, 0, 0, int(row["used"]), float(row["seen"]), list(row["mean"])
+            ))
+            if row["kind"] == "topic":
+                value = [row[c] if np.isscalar(row[c]) else list(row[c]) for c in TOPIC_COLUMNS]
+                self.topics.updateValue((int(row["topics"][0]),), tuple(value))
+            else:
+                self.members.updateValue((row["kind"], row["item"]), ([int(k) for k in row["topics"]],))
 
     def close(self) -> None:
         pass
@@ -116,17 +189,32 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def segment_stream(scenes: DataFrame, config: Config = Config()) -> DataFrame:
-    """``seq_id, pos, topic, is_boundary, late`` for a stream of ``seq_id, pos, scene``."""
-    if config.scorer not in STREAMABLE:
-        raise ValueError(f"scorer {config.scorer!r} has no stream form; use one of {STREAMABLE}")
+def _keyed(rows: DataFrame, *columns) -> DataFrame:
+    kind = dict(rows.dtypes)["seq_id"]
+    return rows.select(F.coalesce("seq_id", F.lit(0).cast(kind)).alias(KEY[0]), F.isnull("seq_id").alias(KEY[1]), *columns)
+
+
+def segment_stream(
+    scenes: DataFrame, config: Config = Config(), gap_seconds: float | None = None, start: DataFrame | None = None
+) -> DataFrame:
+    """``seq_id, pos, topic, is_boundary, late`` for a stream of ``seq_id, pos, scene`` (and, for ``signals``, ``tokens, entities``).
+
+    ``gap_seconds`` is how long a missing position holds back the rows behind it (None: until the input ends; a closed
+    gap makes its rows late). ``start`` is a state table of an earlier run: positions go on from there.
+    """
     use_state_store(scenes.sparkSession)
+    sets = [
+        (F.coalesce(F.col(c), F.array()) if config.scorer in SIGNALS and c in scenes.columns else F.array()).cast("array<string>").alias(c)
+        for c in ("tokens", "entities")
+    ]
     kind = dict(scenes.dtypes)["seq_id"]
-    rows = scenes.select(
-        F.coalesce("seq_id", F.lit(0).cast(kind)).alias(KEY[0]), F.isnull("seq_id").alias(KEY[1]), F.col("pos").cast("bigint").alias("pos"), F.col("scene").cast("array<double>").alias("scene")
-    )
+    rows = _keyed(scenes, F.col("pos").cast("bigint").alias("pos"), F.col("scene").cast("array<double>").alias("scene"), *sets)
+    known = None
+    if start is not None:
+        known = _keyed(start.withColumn("seq_id", F.col("seq_id").cast(kind)), *STATE_COLUMNS).groupBy(*KEY)
     return rows.groupBy(*KEY).transformWithStateInPandas(
-        TopicProcessor(config), OUTPUT.format(key=kind), "Append", "None"
+        TopicProcessor(config, gap_seconds), OUTPUT.format(key=kind), "Append",
+        "None" if gap_seconds is None else "ProcessingTime", initialState=known,
     )
 
 
@@ -134,37 +222,35 @@ def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
     return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
 
-def _finisher(config: Config):
-    def finish(key, state: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows):
-            head, bank = state.iloc[0], Bank([config], len(rows["scene"].iloc[0]))
-            known = state.set_index("topic")
-            topics = [(known.at[k, "n"], np.asarray(known.at[k, "mu"], dtype=float), np.asarray(known.at[k, "m2"], dtype=float)) for k in range(int(head["used"]))]
-            bank.restore(topics, int(head["prev"]), float(head["seen"]), np.asarray(head["mean"], dtype=float))
-            rows = rows.sort_values("pos")
-            for pos, scene in zip(rows["pos"].tolist(), rows["scene"]):
-                topic, changed = bank.assign(np.asarray(scene, dtype=float)[None, :])
-                out.append((None if key[1] else key[0], pos, int(topic[0]), bool(changed[0])))
-        return pd.DataFrame(out, columns=["seq_id", "pos", "topic", "is_boundary"])
+def _unkeyed() -> list:
+    return [F.when(~F.col(KEY[1]), F.col(KEY[0])).alias("seq_id")]
+
 
-    return finish
+def hand_over(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """State table of a stopped stream, without the rows that wait or were passed."""
+    head = _state(spark, checkpoint, "head").select("key.*", "value.*").where("used > 0")
+    topics = _state(spark, checkpoint, "topics").select(
+        "key.*", F.lit("topic").alias("kind"), F.lit("").alias("item"), F.array("user_map_key.topic").alias("topics"), "user_map_value.*"
+    )
+    empty = [F.array().cast("array<double>").alias(c) if c in ("mu", "m2", "last") else F.lit(0.0).alias(c) for c in TOPIC_COLUMNS]
+    members = _state(spark, checkpoint, "members").select(
+        "key.*", "user_map_key.kind", "user_map_key.item", "user_map_value.topics", *empty
+    )
+    rows = topics.unionByName(members).join(head, [*KEY])
+    return rows.select(*_unkeyed(), *STATE_COLUMNS)
 
 
 def unfinished(spark: SparkSession, checkpoint: str, config: Config = Config()) -> DataFrame:
     """``seq_id, pos, topic, is_boundary`` of the rows that still wait when the input has ended and the stream has stopped."""
-    waiting = _state(spark, checkpoint, "waiting").select("key.*", "user_map_key.pos", "user_map_value.scene")
-    head = _state(spark, checkpoint, "head").select("key.*", "value.*").join(waiting.select(*KEY), [*KEY], "left_semi")
-    topics = _state(spark, checkpoint, "topics").select("key.*", "user_map_key.topic", "user_map_value.*")
-    state = head.drop("late", "next_pos").join(topics, [*KEY], "left")
-    schema = OUTPUT.format(key=dict(waiting.dtypes)[KEY[0]]).removesuffix(", late bigint")
-    return state.groupBy(*KEY).cogroup(waiting.groupBy(*KEY)).applyInPandas(_finisher(config), schema)
+    waiting = _state(spark, checkpoint, "waiting").select("key.*", "user_map_key.pos", "user_map_value.*")
+    rows = waiting.select(*_unkeyed(), "pos", "scene", "tokens", "entities")
+    return resume(rows, hand_over(spark, checkpoint), config)
 
 
 def passed_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``seq_id, pos, scene`` of the rows that came late, again, or without a position."""
     rows = _state(spark, checkpoint, "passed").select("key.*", "list_element.*")
-    return rows.select(F.when(~F.col(KEY[1]), F.col(KEY[0])).alias("seq_id"), "pos", "scene")
+    return rows.select(*_unkeyed(), "pos", "scene")
 
 
 def append_turns(assigned: DataFrame, path: str, checkpoint: str, buckets: int = 256, **trigger) -> StreamingQuery:

@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 
 from eventide.operators import segment as G
-from eventide.streaming.segment import append_turns, segment_stream
-from planted import frame, wandering
+from eventide.operators.resume import handed_over, resume
+from eventide.streaming.segment import append_turns, hand_over, segment_stream, unfinished
+from planted import wandering
 
-SCHEMA = "seq_id bigint, pos int, scene array<double>"
+SCHEMA = "seq_id bigint, pos int, scene array<double>, tokens array<string>, entities array<string>"
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def data():
     return [wandering(rng, n, d=5, k=3) for n in (25, 4, 11)]
 
 
-def run(spark, tmp_path, parts, config, shuffle_seed=0):
+def run(spark, tmp_path, parts, config, shuffle_seed=0, **options):
     """Write each part as one file and stream one file per micro-batch."""
     source = tmp_path / "in"
     for i, part in enumerate(parts):
@@ -25,24 +26,30 @@ def run(spark, tmp_path, parts, config, shuffle_seed=0):
         spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
         .option("latestFirst", "false").parquet(str(source))
     )
-    append_turns(segment_stream(stream, config), str(tmp_path / "out"), str(tmp_path / "ckpt"), 2).awaitTermination()
+    append_turns(segment_stream(stream, config, **options), str(tmp_path / "out"), str(tmp_path / "ckpt"), 2).awaitTermination()
     return spark.read.parquet(str(tmp_path / "out"))
 
 
 def rows_of(data):
-    return [(s, i, [float(v) for v in x[i]]) for s, (x, _) in enumerate(data) for i in range(len(x))]
+    words = lambda n, step: [f"w{(n * step + j) % 7}" for j in range(n % 4)]
+    return [
+        (s, i, [float(v) for v in x[i]], words(i, 3), words(i, 5)) for s, (x, _) in enumerate(data) for i in range(len(x))
+    ]
 
 
-@pytest.mark.parametrize("split, scorer", [(1, "gauss-origin"), (4, "gauss-global"), (3, "ema")])
+def answers(rows):
+    return {(r["seq_id"], r["pos"]): (r["topic"], r["is_boundary"]) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("split, scorer", [(1, "gauss-origin"), (4, "gauss-global"), (3, "ema"), (3, "last"), (4, "max_c_l"), (3, "signals")])
 def test_any_split_equals_the_batch_operator(spark, tmp_path, data, split, scorer):
-    config = G.Config(alpha=1.0, lmda=3.0, sigma0_sq=0.03, scorer=scorer, new_score=0.5)
+    config = G.Config(alpha=1.0, lmda=3.0, sigma0_sq=0.03, scorer=scorer, new_score=0.5, b_jac=0.4, b_ent=0.3)
     rows = rows_of(data)
     # Rows land in random parts, so positions arrive out of order across micro-batches.
     place = np.random.default_rng(split).integers(0, split, size=len(rows))
     parts = [[r for r, p in zip(rows, place) if p == k] for k in range(split)]
     out = run(spark, tmp_path, parts, config)
-    got = {(r["seq_id"], r["pos"]): (r["topic"], r["is_boundary"]) for r in out.collect()}
-    want = {(r["seq_id"], r["pos"]): (r["topic"], r["is_boundary"]) for r in G.segment(frame(spark, data), config).collect()}
+    got, want = answers(out), answers(G.segment(spark.createDataFrame(rows, SCHEMA), config))
     assert got == want and out.agg({"late": "max"}).first()[0] == 0
 
 
@@ -53,7 +60,56 @@ def test_late_rows_are_counted_and_dropped(spark, tmp_path, data):
     assert out.agg({"late": "max"}).first()[0] == 1
 
 
-def test_scorers_without_a_stream_form(spark):
-    stream = spark.readStream.format("rate").load().selectExpr("value as seq_id", "1 as pos", "array(1.0D) as scene")
-    with pytest.raises(ValueError):
-        segment_stream(stream, G.Config(scorer="signals"))
+CASES = ["gauss-global", "last", "signals"]
+
+
+def halves(spark, data):
+    rows = rows_of(data)
+    # Sequence 1 ends in the first part, and sequence 2 begins in the second one.
+    first = [r for r in rows if r[0] == 1 or (r[0] == 0 and r[1] < 11)]
+    return rows, first, [r for r in rows if r not in first]
+
+
+@pytest.mark.parametrize("scorer", CASES)
+def test_two_runs_equal_one(spark, data, scorer):
+    config = G.Config(alpha=1.0, lmda=3.0, sigma0_sq=0.03, scorer=scorer, new_score=0.5, b_jac=0.4, b_ent=0.3)
+    rows, first, second = (spark.createDataFrame(r, SCHEMA) for r in halves(spark, data))
+    whole = answers(G.segment(rows, config))
+    state = handed_over(first, config)
+    got = answers(resume(first, None, config)) | answers(resume(second, state, config))
+    assert got == whole
+    again = sorted(map(repr, handed_over(second, config, state).collect()))
+    assert len(again) == handed_over(rows, config).count()
+    assert answers(resume(first.limit(0), state, config)) == {}
+
+
+@pytest.mark.parametrize("scorer", CASES)
+def test_a_stream_goes_on_from_a_table_and_leaves_one(spark, tmp_path, data, scorer):
+    config = G.Config(alpha=1.0, lmda=3.0, sigma0_sq=0.03, scorer=scorer, new_score=0.5, b_jac=0.4, b_ent=0.3)
+    rows, first, second = halves(spark, data)
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    got = answers(run(spark, tmp_path / "a", [first[::2], first[1::2]], config))
+    state = hand_over(spark, str(tmp_path / "a" / "ckpt"))
+    state.write.parquet(str(tmp_path / "state"))
+    state = spark.read.parquet(str(tmp_path / "state"))
+    got |= answers(run(spark, tmp_path / "b", [second[::2], second[1::2]], config, start=state))
+    assert got == answers(G.segment(spark.createDataFrame(rows, SCHEMA), config))
+
+
+def test_a_timer_closes_a_gap_while_the_stream_runs(spark, tmp_path, data):
+    rows = [r for r in rows_of(data) if r[0] == 2 and r[1] not in (3, 4)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    query = append_turns(
+        segment_stream(stream, G.Config(), gap_seconds=1), str(tmp_path / "out"), str(tmp_path / "ckpt"), 2, processingTime="1 second"
+    )
+    try:
+        for _ in range(90):
+            query.awaitTermination(1)
+            found = spark.read.schema("seq_id bigint, pos bigint, topic int, is_boundary boolean").parquet(str(tmp_path / "out"))
+            if found.count() == len(rows):
+                break
+    finally:
+        query.stop()
+    assert answers(found) == answers(G.segment(spark.createDataFrame(rows, SCHEMA), G.Config()))
+    assert unfinished(spark, str(tmp_path / "ckpt"), G.Config()).count() == 0

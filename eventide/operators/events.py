@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from eventide.functions import vector as V
@@ -202,6 +203,12 @@ class MeanVarianceBank:
     def learn(self, k, x_prev, x, opens) -> None:
         self.absorb(k, 1.0, x, np.zeros(self.d))
 
+    def saved(self, k: int) -> dict:
+        return {"mu": self.mu[k].tolist(), "m2": self.m2[k].tolist(), "model": None}
+
+    def restored(self, k: int, n: float, mu: np.ndarray, m2: np.ndarray, model: bytes | None) -> None:
+        self.absorb(k, n, mu, m2)
+
 
 class PluggedBank:
     """One user model per event type."""
@@ -227,6 +234,14 @@ class PluggedBank:
         predicted, following = self.models[prev].log_likelihood_next(x_prev, x)
         return lik, following, np.asarray(predicted)
 
+    def saved(self, k: int) -> dict:
+        return {"mu": [], "m2": [], "model": cloudpickle.dumps(self.models[k])}
+
+    def restored(self, k: int, n: float, mu: np.ndarray, m2: np.ndarray, model: bytes | None) -> None:
+        if model is None:
+            raise ValueError("a run with its own models goes on from saved models only")
+        self.models.append(cloudpickle.loads(model))
+
     def learn(self, k, x_prev, x, opens):
         while len(self.models) <= k:
             self.models.append(self._new())
@@ -250,13 +265,23 @@ class EventRunner:
         self.prev: int | None = None
         self.x_prev: np.ndarray | None = None
 
-    def warm(self, topic: int, n: float, mu: np.ndarray, m2: np.ndarray) -> None:
-        """Start from a fitted mean/variance model; topics arrive in order from 0."""
+    def warm(self, topic: int, n: float, mu: np.ndarray, m2: np.ndarray, model: bytes | None = None) -> None:
+        """Start from a fitted model; topics arrive in order from 0."""
         if topic != len(self.counts):
             raise ValueError("topics of a model must be numbered from 0 without gaps")
-        self.bank.absorb(topic, float(n), mu, m2)
+        self.bank.restored(topic, float(n), mu, m2, model)
         self.counts.append(float(n))
 
+    def goes_on(self, prev: int | None, x_prev: list[float] | None) -> None:
+        """The label and the scene before the next one."""
+        if prev is not None:
+            self.prev, self.x_prev = prev, np.array(x_prev, dtype=float)
+
+    def saved(self) -> Iterator[dict]:
+        """One row per topic, from which ``warm`` and ``goes_on`` start."""
+        for k, n in enumerate(self.counts):
+            yield {"topic": k, "n": n, "prev": self.prev, "x_prev": self.x_prev.tolist()} | self.bank.saved(k)
+
     def step(self, x: np.ndarray) -> dict:
         c, used = self.config, len(self.counts)
         lik, following, predicted = self.bank.score(x, self.x_prev, self.prev, used)
@@ -310,22 +335,63 @@ SLIM = {
 FULL = SLIM | {n: ("array<double>", pa.list_(pa.float64())) for n in ("log_like", "log_prior", "post")}
 
 
+#: What a run leaves behind for the next one, per sequence and topic.
+HANDED = {
+    "topic": ("int", pa.int32()), "n": ("double", pa.float64()), "mu": ("array<double>", pa.list_(pa.float64())),
+    "m2": ("array<double>", pa.list_(pa.float64())), "model": ("binary", pa.binary()), "prev": ("int", pa.int32()),
+    "x_prev": ("array<double>", pa.list_(pa.float64())),
+}
+
+
 def _with_headers(scenes: DataFrame, keep: list[str], warm: DataFrame | None) -> DataFrame:
-    """Scenes plus, in front of each sequence, one row per topic of its fitted model."""
-    vec = lambda c: F.col(c).cast("array<double>")
+    """Scenes plus, in front of each sequence, one row per topic of its model in ``_head``."""
     none = lambda t: F.lit(None).cast(t)
-    rows = scenes.select("seq_id", "pos", *keep, vec("scene").alias("scene"),
-                         none("double").alias("_n"), none("array<double>").alias("_m2"))
-    if warm is None:
-        return rows
     types = dict(scenes.dtypes)
-    heads = warm.select(
-        "seq_id",
-        (F.col("topic") - 2_000_000_000).cast(types["pos"]).alias("pos"),
-        *[none(types[k]).alias(k) for k in keep],
-        vec("mu").alias("scene"), F.col("n").cast("double").alias("_n"), vec("m2").alias("_m2"),
+    head_type = "struct<" + ", ".join(f"{c}:{t}" for c, (t, _) in HANDED.items()) + ">"
+    rows = scenes.select(
+        "seq_id", "pos", *keep, F.col("scene").cast("array<double>").alias("scene"), none(head_type).alias("_head"), F.lit(2**31 - 1).alias("_at")
     )
-    return rows.unionByName(heads)
+    if warm is None:
+        return rows
+    fields = [F.col(c).cast(t) if c in warm.columns else none(t) for c, (t, _) in HANDED.items()]
+    head = F.struct(*[f.alias(c) for f, c in zip(fields, HANDED)])
+    return rows.unionByName(warm.select(
+        "seq_id", none(types["pos"]).alias("pos"), *[none(types[k]).alias(k) for k in keep],
+        F.array().cast("array<double>").alias("scene"), head.alias("_head"), F.col("topic").cast("int").alias("_at"),
+    ))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], config: EventConfig, start: list, take, ended=None):
+    """Advance one :class:`EventRunner` per sequence. ``take(batch of scenes, results)`` makes the output of a batch;
+    ``ended(key, runner)`` is called at the end of each sequence."""
+    nobody = object()
+    current, state = nobody, None
+    for batch in batches:
+        keys, heads = batch.column("seq_id").to_pylist(), batch.column("_head")
+        scene = np.array(heads.is_null())
+        passed = batch.filter(pa.array(scene))
+        x, at, rows = matrix(passed.column("scene")), 0, []
+        for i, key in enumerate(keys):
+            if key != current:
+                if ended and state is not None:
+                    ended(current, state)
+                current, state = key, None
+            head = None if scene[i] else heads[i].as_py()
+            if state is None:
+                d = x.shape[1] if head is None else len(head["x_prev"] or head["mu"])
+                state = EventRunner(config, d)
+                for t in start:
+                    state.warm(*t)
+            if head is None:
+                rows.append(state.step(x[at]))
+                at += 1
+                continue
+            state.warm(len(state.counts), head["n"], np.array(head["mu"]), np.array(head["m2"]), head["model"])
+            state.goes_on(head["prev"], head["x_prev"])
+        yield from take(passed, rows)
+    if ended and state is not None:
+        ended(current, state)
+        yield from take(None, [])
 
 
 def run_events(
@@ -336,44 +402,64 @@ def run_events(
 
     ``full`` adds the arrays over candidates. ``model`` (``topic, n, mu, m2``, checked to be
     small) is a starting model for all sequences; ``warm`` has a ``seq_id`` as well and gives
-    each sequence its own, in the same shuffle as the scenes.
+    each sequence its own, in the same shuffle as the scenes. A ``warm`` of :func:`handed_over_events` also tells the
+    previous label and scene, so that two runs over the parts of a sequence equal one run.
     """
     wanted = FULL if full else SLIM
     names = ["seq_id", "pos", *keep]
-    start = []
-    if model is not None:
-        fitted = bounded_rows(model.select("topic", "n", "mu", "m2"), max_topics, "topic model")
-        start = sorted((r["topic"], r["n"], np.array(r["mu"]), np.array(r["m2"])) for r in fitted)
-    warmed = warm is not None
+    start = _starting(model, max_topics)
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        current, state = None, None
-        for batch in batches:
-            x, keys = matrix(batch.column("scene")), batch.column("seq_id").to_pylist()
-            sizes = batch.column("_n").to_pylist() if warmed else None
-            m2 = batch.column("_m2") if warmed else None
-            rows, real = [], []
-            for i, key in enumerate(keys):
-                if state is None or key != current:
-                    current, state = key, EventRunner(config, x.shape[1])
-                    for t in start:
-                        state.warm(*t)
-                if warmed and sizes[i] is not None:
-                    state.warm(len(state.counts), sizes[i], x[i], np.array(m2[i].as_py()))
-                    continue
-                rows.append(state.step(x[i]))
-                real.append(i)
-            passed = batch.take(pa.array(real, pa.int64()))
+    def take(passed, rows):
+        if rows:
             out = [passed.column(n) for n in names]
             out += [pa.array([r[n] for r in rows], t) for n, (_, t) in wanted.items()]
             yield pa.RecordBatch.from_arrays(out, names=names + list(wanted))
 
-    if warmed:
-        rows = _with_headers(scenes, list(keep), warm)
-    else:
-        rows = scenes.select(*names, "scene")
     fields = field_types(scenes, names) + [f"{n} {t}" for n, (t, _) in wanted.items()]
-    return stream(in_order(rows), run, ", ".join(fields))
+    rows = in_order(_with_headers(scenes, list(keep), warm), "_at", "pos")
+    return stream(rows, lambda batches: _runs(batches, config, start, take), ", ".join(fields))
+
+
+def _starting(model: DataFrame | None, max_topics: int) -> list:
+    if model is None:
+        return []
+    fitted = bounded_rows(model.select("topic", "n", "mu", "m2"), max_topics, "topic model")
+    return sorted((r["topic"], r["n"], np.array(r["mu"]), np.array(r["m2"])) for r in fitted)
+
+
+def handed_over_events(
+    scenes: DataFrame, config: EventConfig = EventConfig(), model: DataFrame | None = None,
+    warm: DataFrame | None = None, max_topics: int = 4096,
+) -> DataFrame:
+    """``seq_id, topic, n, mu, m2, model, prev, x_prev`` after the scenes: the ``warm`` of a later run.
+
+    ``model`` holds a plugged-in model as bytes. A sequence without new scenes keeps what ``warm`` says of it.
+    """
+    start = _starting(model, max_topics)
+
+    def run(batches):
+        key_type, done = None, []
+
+        def watched():
+            nonlocal key_type
+            for batch in batches:
+                key_type = batch.schema.field("seq_id").type
+                yield batch
+
+        def ended(key, state):
+            done.extend((key, row) for row in state.saved())
+
+        def take(passed, rows):
+            if done:
+                arrays = [pa.array([k for k, _ in done], key_type)]
+                arrays += [pa.array([r[c] for _, r in done], t) for c, (_, t) in HANDED.items()]
+                done.clear()
+                yield pa.RecordBatch.from_arrays(arrays, names=["seq_id", *HANDED])
+
+        yield from _runs(watched(), config, start, take, ended)
+
+    fields = field_types(scenes, ["seq_id"]) + [f"{n} {t}" for n, (t, _) in HANDED.items()]
+    return stream(in_order(_with_headers(scenes, [], warm), "_at", "pos"), run, ", ".join(fields))
 
 
 def run_events_with_tokens(

@@ -306,31 +306,83 @@ def known_token_counts(turns: DataFrame, tokens: str = "tokens", rows: int = BLO
     return known.select(*turns.columns, F.col("n_known").cast("int").alias("n_known"), overlap.alias("overlap"))
 
 
-def moving_anchor(scenes: DataFrame, beta: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cosine of each scene with the exponential moving anchor of its label before the turn.
+def moving_anchor(scenes: DataFrame, beta: float, keep: tuple[str, ...] = (), rows: int = BLOCK_ROWS) -> DataFrame:
+    """Cosine of each scene with the exponential moving anchor of its label before the turn; NULL for a label's first scene.
 
-    The anchor is a recursion with a state of one vector per (sequence, label), so rows are
-    streamed in order; labels of one sequence spread over tasks.
+    A block of a label maps the anchor it receives to ``decay * anchor + vector``. Those maps compose, so blocks are
+    summarised apart, a scan over the (few) block rows gives each block the anchor it starts from, and the rows of
+    a label are spread over as many tasks as it has blocks. NULL labels are a label of their own.
     """
     names = ["seq_id", "pos", "label", *keep]
+    keyed = scenes.select(*names, V.as_double("scene").alias("scene"), block_of(rows).alias(BLOCK))
+    types = dict(keyed.dtypes)
+    key_fields = ", ".join(field_types(keyed, ["seq_id", "label", BLOCK]))
 
-    def run(batches):
+    def keys_of(batch, columns):
+        return list(zip(*[batch.column(c).to_pylist() for c in columns]))
+
+    def emitted(rows_out, schema, vectors):
+        arrays = [pa.array([r[0][i] for r in rows_out], schema.field(c).type) for i, c in enumerate(("seq_id", "label", BLOCK))]
+        arrays += [pa.array([r[1 + i] for r in rows_out], t) for i, t in enumerate(vectors)]
+        return arrays
+
+    floats = pa.list_(pa.float64())
+
+    def summarise(batches):
+        """One row per block of a label: its first scene, its decay and its vector."""
+        current, state, schema = None, None, None
+        for batch in batches:
+            x, schema, done = matrix(batch.column("scene")), batch.schema, []
+            for i, key in enumerate(keys_of(batch, ("seq_id", "label", BLOCK))):
+                if key != current:
+                    if current is not None:
+                        done.append((current, state[0].tolist(), state[1], state[2].tolist()))
+                    current, state = key, [x[i], 1.0, np.zeros(x.shape[1])]
+                state[1] *= 1.0 - beta
+                state[2] = (1.0 - beta) * state[2] + beta * x[i]
+            if done:
+                yield pa.RecordBatch.from_arrays(emitted(done, schema, (floats, pa.float64(), floats)), names=["seq_id", "label", BLOCK, "first", "decay", "vector"])
+        if current is not None:
+            done = [(current, state[0].tolist(), state[1], state[2].tolist())]
+            yield pa.RecordBatch.from_arrays(emitted(done, schema, (floats, pa.float64(), floats)), names=["seq_id", "label", BLOCK, "first", "decay", "vector"])
+
+    def scan(batches):
+        """The anchor with which each block starts; a label's first scene is its first anchor."""
         current, anchor = None, None
         for batch in batches:
-            x = matrix(batch.column("scene"))
-            keys = list(zip(batch.column("seq_id").to_pylist(), batch.column("label").to_pylist()))
-            cos = np.zeros(len(keys))
-            fresh = np.zeros(len(keys), dtype=bool)
-            for i, key in enumerate(keys):
+            first, vector, out, begins = matrix(batch.column("first")), matrix(batch.column("vector")), [], []
+            decay = batch.column("decay").to_pylist()
+            for i, key in enumerate(keys_of(batch, ("seq_id", "label"))):
+                begins.append(key != current)
                 if key != current:
-                    current, anchor, fresh[i] = key, x[i], True
+                    current, anchor = key, first[i]
+                out.append(anchor.tolist())
+                anchor = decay[i] * anchor + vector[i]
+            arrays = [batch.column(c) for c in ("seq_id", "label", BLOCK)] + [pa.array(out, floats), pa.array(begins, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["seq_id", "label", BLOCK, "scene", "_begins"])
+
+    parts = stream(in_order(keyed, salt=("label", BLOCK)), summarise, f"{key_fields}, first array<double>, decay double, vector array<double>")
+    starts = stream(in_order(parts, BLOCK, salt=("label",)), scan, f"{key_fields}, scene array<double>, _begins boolean")
+    heads = starts.select(*[F.col(c) if c in starts.columns else F.lit(None).cast(types[c]).alias(c) for c in (*names, "scene", BLOCK, "_begins")])
+
+    def finish(batches):
+        anchor, fresh = None, False
+        for batch in batches:
+            x, heading = matrix(batch.column("scene")), batch.column("_begins").to_pylist()
+            cos, none, real = [], [], []
+            for i, begins in enumerate(heading):
+                if begins is not None:
+                    anchor, fresh = x[i], begins
                     continue
                 norms = np.sqrt(anchor @ anchor) * np.sqrt(x[i] @ x[i])
-                cos[i] = anchor @ x[i] / norms if norms >= 1e-18 else 0.0
-                anchor = beta * x[i] + (1.0 - beta) * anchor
-            out = [batch.column(c) for c in names] + [pa.array(cos, mask=fresh)]
+                cos.append(anchor @ x[i] / norms if norms >= 1e-18 else 0.0)
+                none.append(fresh)
+                real.append(i)
+                anchor, fresh = beta * x[i] + (1.0 - beta) * anchor, False
+            passed = batch.take(pa.array(real, pa.int64()))
+            out = [passed.column(c) for c in names] + [pa.array(cos, pa.float64(), mask=np.array(none, dtype=bool))]
             yield pa.RecordBatch.from_arrays(out, names=names + ["anchor_cos"])
 
+    merged = keyed.withColumn("_begins", F.lit(None).cast("boolean")).unionByName(heads).withColumn("_late", F.isnull("_begins"))
     fields = field_types(scenes, names) + ["anchor_cos double"]
-    ordered = in_order(scenes.select(*names, "scene"), salt=("label",))
-    return stream(ordered, run, ", ".join(fields))
+    return stream(in_order(merged, "_late", "pos", salt=("label", BLOCK)), finish, ", ".join(fields))

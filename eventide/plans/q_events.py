@@ -8,7 +8,7 @@ from eventide.functions import vector as V
 from eventide.operators import events as N, moments as M, responses as P
 from eventide.operators.positions import with_carry, with_lag
 from eventide.operators.transitions import prediction_error_ratio
-from eventide.plans.q_transitions import LONG
+from eventide.plans.q_transitions import LONG, SHORT
 from eventide.plans.registry import query, round_doubles
 from eventide.sources import tables
 
@@ -31,12 +31,13 @@ def _grown(name: str, put: str) -> str:
     )
 
 
-def event_ctes(source: str) -> str:
-    """CTEs ending in ``ev``, one row per scene of ``source`` with all results."""
+def event_ctes(source: str, base: str | None = None) -> str:
+    """CTEs ending in ``ev``, one row per scene of ``source`` with all results; ``base`` selects the first scenes."""
     old, n1 = "coalesce(mus[topic+1][j], 0)", "(coalesce(ns[topic+1], 0)+1)"
+    base = base or f"""select seq_id, pos, 0 as topic, true as is_boundary, [scene] as mus, [list_transform(scene, lambda x: 0::double)] as m2s,
+  [1] as ns, [0::double] as log_like, [1::double] as log_prior, 0::double as lbp, 0::double as pe from {source} where pos = 0"""
     return f"""ev as (
- select seq_id, pos, 0 as topic, true as is_boundary, [scene] as mus, [list_transform(scene, lambda x: 0::double)] as m2s,
-  [1] as ns, [0::double] as log_like, [1::double] as log_prior, 0::double as lbp, 0::double as pe from {source} where pos = 0
+ {base}
  union all
  select seq_id, pos, topic, topic <> prev or restart > rep as is_boundary,
   {_grown('mus', f"list_transform(generate_series(1, 64), lambda j: {old} + (s[j]-{old})/{n1})")} as mus,
@@ -145,7 +146,24 @@ def numbered_events(marked):
     return joined.select("*", (F.sum("_c").over(w) + F.col("_earlier")).cast("int").alias("token_id"))
 
 
-@query("warm_start_run")
+EVENT_COLUMNS = f"""seq_id, pos, topic, is_boundary, (list_position(joint, list_max(joint)) - 1)::int as e_hat,
+ round({lse('joint')}, 6) + 0.0::double as log_loss, round(lbp, 6) + 0.0::double as log_boundary_probability, round(pe, 6) as pe from evr"""
+
+# The model of all labelled scenes, and the first scene of a sequence against it.
+_MODEL = """xs as (select label, list(scene) as xs, count(*)::double as n from short group by 1),
+means as (select *, list_transform(generate_series(1, 64), lambda j: list_avg(list_transform(xs, lambda x: x[j]))) as mu from xs),
+devs as (select *, list_transform(generate_series(1, 64), lambda j: list_sum(list_transform(xs, lambda x: (x[j]-mu[j])**2))) as m2 from means),
+model as (select list(mu order by label) as mus, list(m2 order by label) as m2s, list(n order by label) as ns from devs)"""
+_WARM_BASE = f"""select seq_id, pos, topic, true as is_boundary,
+  {_grown('mus', f"list_transform(generate_series(1, 64), lambda j: {_MU0} + (s[j]-{_MU0})/({_N0}+1))")} as mus,
+  {_grown('m2s', f"list_transform(generate_series(1, 64), lambda j: coalesce(m2s[topic+1][j], 0) + (s[j]-{_MU0})*(s[j]-({_MU0} + (s[j]-{_MU0})/({_N0}+1))))")} as m2s,
+  {_grown('ns', f"{_N0}+1")} as ns, [0::double] as log_like, [1::double] as log_prior, 0::double as lbp, 0::double as pe
+ from (select *, (list_position(cand, list_max(cand)) - 1)::int as topic from (
+   select *, list_append(list_transform(generate_series(1, len(ns)), lambda k: ln(ns[k]) + {_LIK}), {_ISO}) as cand
+   from (select seq_id, pos, scene as s, mus, m2s, ns from short, model where pos = 0)))"""
+
+
+@query("warm_start_run", f"with recursive {SHORT}, {_MODEL}, {event_ctes('short', _WARM_BASE)} select {EVENT_COLUMNS}")
 def warm_start_run(spark, sf):
     """Sequences scored from a model fitted on all labelled scenes."""
     scenes = tables.short_scenes(spark, sf)
@@ -153,8 +171,54 @@ def warm_start_run(spark, sf):
     return round_doubles(N.run_events(scenes, CONFIG, model=model))
 
 
-@query("last_scene_run")
+# A model that predicts no change: first scenes by their mean, variances by the errors so far.
+_ERR_VAR = f"(case when es[k] > 1 then (3.0 + e2s[k][j])/(12.0 + es[k]) else {MODE!r} end)"
+_FIRST_LIK = f"-0.5*list_sum(list_transform(generate_series(1, 64), lambda j: (s[j]-f0s[k][j])**2/{_ERR_VAR} + ln(2*pi()*{_ERR_VAR})))"
+_NEXT_LIK = f"-0.5*list_sum(list_transform(generate_series(1, 64), lambda j: (s[j]-xp[j])**2/{_ERR_VAR} + ln(2*pi()*{_ERR_VAR})))"
+_ERR = "(case when opens then s[j]-coalesce(f0s[topic+1][j], s[j]) else s[j]-xp[j] end)"
+_SEEN = "(coalesce(es[topic+1], 0) + case when opens and topic = len(ns) then 0 else 1 end)"
+_EM = "coalesce(ems[topic+1][j], 0)"
+_STEP = f"(case when {_SEEN} = 0 then 0 else ({_ERR}-{_EM})/{_SEEN} end)"
+_STARTS = "(coalesce(sts[topic+1], 0) + case when opens then 1 else 0 end)"
+_OVER = "list_transform(generate_series(1, 64), lambda j: {0})"
+_F0 = "coalesce(f0s[topic+1][j], 0)"
+_LAST = f"""ev as (
+ select seq_id, pos, 0 as topic, true as is_boundary, [scene] as f0s, [1] as sts, [0] as es, [list_transform(scene, lambda x: 0::double)] as ems,
+  [list_transform(scene, lambda x: 0::double)] as e2s, [1] as ns, scene as xp, [0::double] as log_like, [1::double] as log_prior, 0::double as lbp, 0::double as pe
+ from short where pos = 0
+ union all
+ select seq_id, pos, topic, opens,
+  {_grown('f0s', _OVER.format(f"case when opens then {_F0} + (s[j]-{_F0})/{_STARTS} else {_F0} end"))} as f0s, {_grown('sts', _STARTS)} as sts,
+  {_grown('es', _SEEN)} as es, {_grown('ems', _OVER.format(f"{_EM} + {_STEP}"))} as ems,
+  {_grown('e2s', _OVER.format(f"coalesce(e2s[topic+1][j], 0) + ({_ERR}-{_EM})*({_ERR}-({_EM} + {_STEP}))"))} as e2s,
+  {_grown('ns', "coalesce(ns[topic+1], 0) + 1")} as ns, s as xp,
+  list_transform(generate_series(1, len(lik)), lambda k: case when k = prev+1 then greatest(lik[k], fol) + ln(1 + exp(-abs(lik[k] - fol))) else lik[k] end) as log_like,
+  list_transform(generate_series(1, len(lik)), lambda k: case when k > len(ns) then ln(1.0::double) else ln(ns[k] + case when k = prev+1 then 2.5 else 0 end) end) as log_prior,
+  {lse('a')} - {lse('list_append(a, rep)')} as lbp, sqrt(list_sum(list_transform(generate_series(1, 64), lambda j: (s[j]-xp[j])**2))) as pe
+ from (select *, topic <> prev or restart > rep as opens from (
+  select *, (list_position(cand, list_max(cand)) - 1)::int as topic,
+    list_transform(generate_series(1, len(cand)), lambda k: case when k = prev+1 then restart else cand[k] end) as a from (
+  select *, list_transform(generate_series(1, len(lik)), lambda k: case when k = prev+1 then greatest(restart, rep)
+     when k > len(ns) then ln(1.0::double) + lik[k] else ln(ns[k]) + lik[k] end) as cand from (
+   select *, lik[prev+1] + ln(ns[prev+1]) as restart, fol + ln(ns[prev+1] + 5.0) as rep from (
+    select *, list_append(list_transform(generate_series(1, len(ns)), lambda k: {_FIRST_LIK}), {_ISO}) as lik,
+      list_transform([prev+1], lambda k: {_NEXT_LIK})[1] as fol
+    from (select p.seq_id, n.pos, p.topic as prev, p.f0s, p.sts, p.es, p.ems, p.e2s, p.ns, p.xp, n.scene as s
+          from ev p join short n on n.seq_id = p.seq_id and n.pos = p.pos + 1))))))),
+evr as (select *, list_transform(generate_series(1, len(log_like)), lambda k: log_like[k] + log_prior[k]) as joint from ev)"""
+
+
+@query("last_scene_run", f"with recursive {SHORT}, {_LAST} select {EVENT_COLUMNS}")
 def last_scene_run(spark, sf):
     """The plug-in path: a model that predicts no change."""
     config = N.EventConfig(alfa=1.0, lmda=5.0, var_df0=10.0, var_scale0=0.3, factory=N.LastSceneModel)
     return round_doubles(N.run_events(tables.short_scenes(spark, sf), config))
+
+
+@query("event_run_resumed", f"{EV} select {EVENT_COLUMNS}")
+def event_run_resumed(spark, sf):
+    """Two runs, the second one from what the first one left: the same rows as one run."""
+    scenes, early = tables.long_scenes(spark, sf), F.col("pos") % 100 < 37 + F.col("seq_id") % 20
+    first = scenes.where(early)
+    second = N.run_events(scenes.where(~early), CONFIG, warm=N.handed_over_events(first, CONFIG))
+    return round_doubles(N.run_events(first, CONFIG).union(second))

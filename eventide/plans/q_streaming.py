@@ -8,8 +8,12 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from eventide.functions import text as X
+from eventide.operators import segment as G
+from eventide.operators.encode import encode
 from eventide.operators.positions import with_lag
-from eventide.plans.q_segment import ASSIGNED, MIXED, SHORT_SRC, _walk
+from eventide.operators.resume import handed_over, resume
+from eventide.plans.q_segment import ASSIGNED, LONG_SRC, MIXED, SHORT_SRC, SIGNAL_CASES, TEXT_SRC, _walk
 from eventide.plans.registry import query
 from eventide.session import ensure_checkpoint_dir
 from eventide.sources import tables
@@ -63,6 +67,31 @@ def stream_segment(spark, sf_dir):
     return _run(spark, segment_stream(_scene_stream(spark, sf_dir), MIXED), MIXED)
 
 
+MOVED = G.Config(alpha=1.0, lmda=3.0, sigma0_sq=0.1, scorer="max_c_l", new_score=0.1, k_max=64)
+
+
+@query("stream_anchors", _walk(SHORT_SRC, [MOVED], ASSIGNED + " "))
+def stream_anchors(spark, sf_dir):
+    """Topic means and last scenes as anchors, both kept in the stream's state."""
+    return _run(spark, segment_stream(_scene_stream(spark, sf_dir), MOVED), MOVED)
+
+
+@query("stream_signals", _walk(TEXT_SRC, [SIGNAL_CASES[2]], ASSIGNED + " "))
+def stream_signals(spark, sf_dir):
+    """Dialogue turns by meaning, tokens and entities; the state keeps which topics hold a token."""
+    turns = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("seq_id"), F.col("turn").cast("bigint").alias("pos"), "text")
+    scenes = encode(turns.withColumns({"tokens": X.tokens("text"), "entities": X.entities("text")}))
+    return _run(spark, segment_stream(scenes, SIGNAL_CASES[2]), SIGNAL_CASES[2])
+
+
+@query("segment_resumed", _walk(LONG_SRC, [MIXED], ASSIGNED + " "))
+def segment_resumed(spark, sf_dir):
+    """Two batch runs, the second one from the state table of the first."""
+    scenes, early = tables.long_scenes(spark, sf_dir), F.col("pos") % 100 < 29 + F.col("seq_id") % 30
+    first = scenes.where(early)
+    return resume(first, None, MIXED).union(resume(scenes.where(~early), handed_over(first, MIXED), MIXED))
+
+
 @query("stream_counts", """select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events group by 1, 2""")
 def stream_counts(spark, sf_dir):
     """Counts of all rows, in whatever order and number of files they come."""

@@ -50,6 +50,7 @@ OPERATORS = {
     "logprob": lambda s, n: R.label_logprob(s, 1.0, 5.0, n),
     "last": lambda s, n: R.previous_in_topic(s, n).select("seq_id", "pos", "last_scene"),
     "trailing": lambda s, n: R.trailing_variance(s, 3, rows=n).select("seq_id", "pos", "trailing_var"),
+    "anchor": lambda s, n: R.moving_anchor(s, 0.3, rows=n),
     "tokens": lambda s, n: sets(R.accumulated_tokens(s, rows=n)),
 }
 
@@ -110,3 +111,18 @@ def test_missing_labels_and_times_are_kept(spark):
     timed = spark.createDataFrame([(1, None, 0), (1, 5, 1), (None, 1, 2), (None, None, 3)], "seq_id int, t int, id int")
     placed = dense_positions(timed, ["t", "id"], F.col("t")).collect()
     assert sorted((r["id"], r["pos"]) for r in placed) == [(0, 0), (1, 1), (2, 1), (3, 0)]
+
+
+def test_moving_anchor_equals_a_loop(spark, scenes):
+    """A null label is a label, and a kept column may be null."""
+    rows = scenes.withColumn("label", F.when(F.col("label") > 0, F.col("label"))).withColumn("note", F.when(F.col("pos") > 2, F.col("pos")))
+    anchors, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r["seq_id"], r["pos"])):
+        key, x = (r["seq_id"], r["label"]), np.array(r["scene"])
+        a = anchors.get(key)
+        want[r["seq_id"], r["pos"]] = (r["label"], r["note"], None if a is None else float(a @ x / np.sqrt((a @ a) * (x @ x))))
+        anchors[key] = x if a is None else 0.3 * x + 0.7 * a
+    for n in (1, 4):
+        got = {(r["seq_id"], r["pos"]): (r["label"], r["note"], r["anchor_cos"]) for r in R.moving_anchor(rows, 0.3, ("note",), n).collect()}
+        assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
+    assert R.moving_anchor(rows.limit(0), 0.3).count() == 0

@@ -213,3 +213,23 @@ def test_pretraining_and_scoring(spark, sequences):
             assert model[k]["start_mu"] == pytest.approx(first.mean(axis=0).tolist())
     best = lambda rows: sorted((r["seq_id"], r["pos"], r["topic"]) for r in rows.collect())
     assert best(M.score_scenes(df, M.pretrain(df), 0.05, max_topics=1)) == best(M.score_scenes(df, M.pretrain(df), 0.05))
+
+
+@pytest.mark.parametrize("factory", [None, N.LastSceneModel])
+def test_two_runs_equal_one(spark, sequences, factory):
+    config = N.EventConfig(alfa=0.7, lmda=3.0, var_df0=10.0, var_scale0=0.06, factory=factory)
+    df = frame(spark, sequences).cache()
+    order = lambda rows: sorted(rows.collect(), key=lambda r: (r["seq_id"], r["pos"]))
+    want = order(N.run_events(df, config, full=True))
+    # The first sequence is over after the first run, the last one begins with the second.
+    last = len(sequences) - 1
+    early = F.when(F.col("seq_id") == 0, True).when(F.col("seq_id") == last, False).otherwise(F.col("pos") < 7)
+    first, second = df.where(early), df.where(~early)
+    state = N.handed_over_events(first, config).cache()
+    got = order(N.run_events(first, config, full=True).union(N.run_events(second, config, full=True, warm=state)))
+    assert [(r["seq_id"], r["pos"], r["topic"], r["is_boundary"]) for r in got] == [(r["seq_id"], r["pos"], r["topic"], r["is_boundary"]) for r in want]
+    for g, w in zip(got, want):
+        assert g["log_loss"] == pytest.approx(w["log_loss"]) and g["pe"] == pytest.approx(w["pe"]) and g["post"] == pytest.approx(w["post"])
+    key = lambda rows: sorted((r["seq_id"], r["topic"], r["n"], r["prev"], tuple(np.round(r["mu"], 9)), tuple(r["x_prev"])) for r in rows.collect())
+    assert key(N.handed_over_events(second, config, warm=state)) == key(N.handed_over_events(df, config))
+    assert N.run_events(first.limit(0), config, warm=state).count() == 0

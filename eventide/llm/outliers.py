@@ -3,7 +3,7 @@
 Each document becomes a vector of transformed text statistics. For every (language, source) the
 estimator looks for the half of the documents whose covariance has the smallest determinant: starting from medians and
 median deviations, each concentration step takes mean and covariance of the documents that are nearest by the last
-estimate, which never raises the determinant. Documents of a group are rejected by their Mahalanobis distance to it.
+estimate, which never raises the determinant. All documents near that half then make the final, reweighted estimate. Documents of a group are rejected by their Mahalanobis distance to it.
 
 The groups' estimates are written tables: joins broadcast them while they are small, and shuffle and split hot groups otherwise.
 A step is one aggregation over a narrow table of vectors: moments and approximate quantiles, both combined before
@@ -11,8 +11,10 @@ the shuffle, so a source with a third of all rows costs its tasks no more than t
 its Cholesky factor, written out as column expressions.
 
 Defined cases: a null or empty text has no words, fails the base rule and never enters an estimate. A null language or
-source is a group of its own. In a group of fewer than ``LEAST_GROUP`` documents that pass the base rules
-nothing is rejected by distance. Repeated rows count as often as they occur.
+source is a group of its own. Groups of fewer than ``LEAST_GROUP`` documents that pass the base rules are judged by the estimate
+of all documents of their language, and languages with fewer by the estimate of the whole table; only in a table with fewer of them
+nothing is rejected by distance. An empty table gives an empty result. Repeated rows count as often as they occur. Texts of any length are taken
+whole; columns besides ``doc_id``, ``lang``, ``source`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import safe_join, table, words, written
 
-#: Documents of a group without which no covariance is estimated.
+#: Documents of a group without which it has no covariance of its own.
 LEAST_GROUP = 30
-#: The share of a group that the estimate is fitted to.
-HALF = 0.75
+#: The share of a group that the estimate is fitted to: it stands while less than the rest is junk.
+HALF = 0.5
 STEPS = 6
 #: Squared distances count in units of their median in the group, which is set to the median of a
 #: chi-square law with as many degrees as there are statistics; beyond this value a document is an outlier.
@@ -86,9 +88,9 @@ def vector() -> list[Column]:
     """Statistics on scales on which clean text is roughly symmetric."""
     n = F.col("n_words").cast("double")
     return [
-        F.log(n + 1) / 2,
+        F.sqrt(50 / n),
         F.log(F.col("word_chars") / n),
-        F.log((F.col("n_symbols") + 1) / (n + 20)) / 2,
+        F.log(F.col("n_symbols") / n + 0.01) / 2,
         F.log1p(F.col("n_dup_lines").cast("double")) / 2,
         F.sqrt(F.col("n_repeat_words") / n),
     ]
@@ -96,6 +98,8 @@ def vector() -> list[Column]:
 
 #: Medians of the chi-square law with 1 to 8 degrees of freedom (fixed values).
 CHI_MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515, 5.3481, 6.3458, 7.3441)
+#: Their 97.5 % points (fixed values): rows within them make the reweighted estimate.
+CHI_NEAR = (5.0239, 7.3778, 9.3484, 11.1433, 12.8325, 14.4494, 16.0128, 17.5345)
 
 
 def _distance(x: list[str], mean: Column, cov: list[list[Column]]) -> list[list[Column]]:
@@ -148,30 +152,70 @@ def robust_distances(vectors: DataFrame, x: list[str], half: float = HALF, steps
     first = safe_join(off, written(spreads, "mcd-spreads"), ["__group"], "inner")
     scaled = [(F.col(c) - F.col(f"__m{i}")) * (F.col(c) - F.col(f"__m{i}")) / (F.col(f"__w{i}") * F.col(f"__w{i}") * 2.2 + RIDGE) for i, c in enumerate(x)]
     rows = first.select(*vectors.columns, sum(scaled, F.lit(0.0)).alias("__d2"))
+    def fitted(rows: DataFrame, near: DataFrame) -> DataFrame:
+        """Distances by mean and covariance of the rows ``near``."""
+        factors = written(_factor(near.groupBy("__group").agg(*moments), x), "mcd-factors")
+        return _squared(rows.drop("__d2"), factors, x)
+
+    def in_units(rows: DataFrame) -> DataFrame:
+        scale = rows.groupBy("__group").agg(F.greatest(F.percentile_approx("__d2", 0.5), F.lit(CHI_MEDIANS[d - 1] / 10)).alias("__median"))
+        scaled_rows = safe_join(rows, written(scale, "mcd-scales"), ["__group"], "inner")
+        return scaled_rows.withColumn("__d2", F.col("__d2") / F.col("__median") * CHI_MEDIANS[d - 1]).drop("__median")
+
     for _ in range(steps):
         rows = written(rows, "mcd-distances")
-        near = rows.groupBy("__group").agg(F.percentile_approx("__d2", half).alias("__limit"))
-        kept = safe_join(rows, written(near, "mcd-limits"), ["__group"], "inner").where("__d2 <= __limit")
-        factors = written(_factor(kept.groupBy("__group").agg(*moments), x), "mcd-factors")
-        rows = _squared(vectors, factors, x)
-    rows = written(rows, "mcd-distances")
-    scale = rows.groupBy("__group").agg(F.greatest(F.percentile_approx("__d2", 0.5), F.lit(CHI_MEDIANS[d - 1] / 10)).alias("__median"))
-    return safe_join(rows, written(scale, "mcd-scales"), ["__group"], "inner").withColumn("__d2", F.col("__d2") / F.col("__median") * CHI_MEDIANS[d - 1]).drop("__median")
+        limits = rows.groupBy("__group").agg(F.percentile_approx("__d2", half).alias("__limit"))
+        rows = fitted(rows, safe_join(rows, written(limits, "mcd-limits"), ["__group"], "inner").where("__d2 <= __limit"))
+    # The half alone is a small sample: all rows near it make the last estimate.
+    rows = written(in_units(written(rows, "mcd-distances")), "mcd-distances")
+    rows = fitted(rows, rows.where(F.col("__d2") <= CHI_NEAR[d - 1]))
+    return in_units(written(rows, "mcd-distances"))
+
+
+#: The group that an estimate is of: its level (0 language and source, 1 language, 2 all), language and source.
+LEVELS = 3
+
+
+def _group(level: Column) -> Column:
+    return F.struct(level.alias("level"), F.when(level <= 1, F.col("lang")).alias("lang"), F.when(level == 0, F.col("source")).alias("source"))
+
+
+def levels(passed: DataFrame) -> DataFrame:
+    """``lang, source, __level, __needed``: the finest level of a group whose estimate has enough documents (none: ``LEVELS``),
+    and the levels for which its documents count."""
+    groups = written(passed.groupBy("lang", "source").agg(F.count("*").alias("__size")), "mcd-groups")
+    langs = groups.groupBy("lang").agg(F.sum("__size").alias("__of_lang"), (F.min("__size") < LEAST_GROUP).alias("__small"))
+    everything = groups.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).first()["n"]
+    enough = lambda n: n >= LEAST_GROUP
+    level = F.when(enough(F.col("__size")), 0).when(enough(F.col("__of_lang")), 1).when(enough(F.lit(everything)), 2).otherwise(LEVELS)
+    rows = written(safe_join(groups, langs, ["lang"], "inner").withColumn("__level", level), "mcd-levels")
+    pooled = not rows.where("__level = 2").isEmpty()
+    needed = F.filter(
+        F.array(
+            F.when(F.col("__level") == 0, 0), F.when(F.col("__small") & enough(F.col("__of_lang")), 1), F.lit(2 if pooled else None).cast("int")
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return rows.select("lang", "source", "__level", needed.alias("__needed"))
 
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Statistics of every document with ``base_failed``, ``distance2`` (null without estimate) and ``kept``."""
     rows = written(statistics(docs.select("doc_id", "lang", "source", "text")).drop("text"), "mcd-statistics")
-    rows = rows.select("*", base_failed().alias("base_failed"), F.struct("lang", "source").alias("__group"))
+    rows = rows.select("*", base_failed().alias("base_failed"))
     x = [f"__x{i}" for i in range(len(vector()))]
-    sizes = rows.where(~F.col("base_failed")).groupBy("__group").agg(F.count("*").alias("__size")).where(F.col("__size") >= LEAST_GROUP).drop("__size")
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    passed = rows.where(~F.col("base_failed"))
+    known = written(levels(passed), "mcd-needed")
     # Rows of a group with equal statistics have one vector, so the distances need no row identity.
-    passed = safe_join(rows.where(~F.col("base_failed")), written(sizes, "mcd-sizes"), ["__group"], "inner")
-    vectors = written(passed.select("__group", "doc_id", *keys[1:], *[v.alias(n) for v, n in zip(vector(), x)]), "mcd-vectors")
-    far = robust_distances(vectors, x).select("__group", *keys, F.col("__d2").alias("distance2")).dropDuplicates(["__group", *keys])
-    out = safe_join(rows, far, ["__group", *keys])
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)).drop("__group")
+    own = safe_join(passed, known, ["lang", "source"], "inner").select("*", F.explode("__needed").alias("__at"))
+    vectors = written(
+        own.select(_group(F.col("__at")).alias("__group"), "lang", "source", (F.col("__at") == F.col("__level")).alias("__own"), *keys, *[v.alias(n) for v, n in zip(vector(), x)]),
+        "mcd-vectors",
+    )
+    far = robust_distances(vectors, x).where("__own").select("lang", "source", *keys, F.col("__d2").alias("distance2"))
+    out = safe_join(rows, far.dropDuplicates(["lang", "source", *keys]), ["lang", "source", *keys])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut))
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

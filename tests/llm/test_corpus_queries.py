@@ -90,6 +90,34 @@ def test_robust_distances_match_plain(spark):
     assert np.corrcoef(classic, clean)[0, 1] > 0.95
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.45])
+def test_robust_half_withstands_junk(spark, share):
+    draw = np.random.default_rng(2)
+    n = int(400 * share)
+    x = np.vstack([draw.normal(size=(400 - n, 3)), draw.normal(9, 0.2, size=(n, 3))])
+    df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "__group string, i int, a double, b double, c double")
+    d2 = outliers.robust_distances(df, ["a", "b", "c"]).orderBy("i").toPandas()["__d2"].to_numpy()
+    assert d2[400 - n :].min() > 2 * d2[: 400 - n].max()
+
+
+def test_small_groups_are_judged_by_wider_estimates(spark):
+    """A group below the least size is judged by its language, a small language by the whole table, a small table not at all."""
+    draw = np.random.default_rng(3)
+    words = [f"w{'abcdefgh'[i % 8] * (1 + i % 7)}" for i in range(300)]
+    text = lambda n: " ".join(draw.choice(words, size=n))
+    rows = [(i, text(int(draw.integers(60, 200))), "en", "a" if i < 60 else f"s{i}") for i in range(100)]
+    rows += [(200 + i, text(90), None, None) for i in range(4)]
+    places = [("en", "a"), ("en", "s999"), (None, None), ("xx", "a")]
+    marked = [(900 + i, " ".join(f"{w}###" for w in text(120).split()), *place) for i, place in enumerate(places)]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {r["doc_id"]: r for r in outliers.judged(spark.createDataFrame(rows + marked, schema)).collect()}
+    assert len(got) == len(rows) + len(marked)
+    assert sorted(i for i, r in got.items() if not r["kept"] and not r["base_failed"]) == [900, 901, 902, 903]
+    few = outliers.judged(spark.createDataFrame(rows[:20] + marked[:1], schema)).collect()
+    assert all(r["kept"] and r["distance2"] is None for r in few)
+    assert outliers.judged(spark.createDataFrame([], schema)).count() == 0
+
+
 def capped(sizes, weights, total, most=2):
     """Reshare the excess by weight, round by round."""
     target, fixed, left = {}, set(), total

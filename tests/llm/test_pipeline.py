@@ -3,10 +3,12 @@
 import re
 
 import corpus_pipeline
-from eventide.llm import decontaminate, entropy_mix, pu_quality, simhash
+from eventide.llm import decontaminate, entropy_mix, pu_quality
 from eventide.llm.common import n_words, table, written
 from pyspark.sql import functions as F
 
+from test_simhash_similar import joined, shingle_set
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -21,8 +23,10 @@ def test_stages(spark):
     assert good.columns == columns and {r.doc_id for r in good.collect()} == wanted
 
     single = written(near(spark, good, SF), "test-near")
-    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(good).collect()}
-    assert single.columns == columns and {r.doc_id for r in single.collect()} == set(classes.values())
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    labels = joined([shingle_set(text) for _, text in rows])
+    first = {label: doc_id for (doc_id, _), label in reversed(list(zip(rows, labels)))}
+    assert single.columns == columns and {r.doc_id for r in single.collect()} == set(first.values())
 
     fresh = written(clean(spark, single, SF), "test-clean")
     hits = {r.doc_id: r.n_hit for r in decontaminate.contamination(single, table(spark, SF, "benchmark")).collect()}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from eventide.operators.ordered import in_order, matrix, stream
-from eventide.operators.segment import SIGNALS, Bank, Config
+from eventide.operators.segment import SIGNALS, Bank, Config, SignalBank, bank_of
 
 #: Columns of a state table besides ``seq_id``. ``kind`` is ``topic`` (then ``topics`` is its id), ``t`` or ``e``.
 STATE = (
@@ -36,7 +36,7 @@ _ARROW = {
 OUT_ROWS = 1000
 
 
-def put_state(bank: Bank, row: dict) -> None:
+def put_state(bank: Bank | SignalBank, row: dict) -> None:
     """Add one row of a state table to a bank of one sequence."""
     bank.put_head(row["used"], row["prev"], row["seen"], row["mean"])
     if row["kind"] == "topic":
@@ -45,7 +45,7 @@ def put_state(bank: Bank, row: dict) -> None:
         bank.put_holders(row["kind"], row["item"], row["topics"])
 
 
-def state_rows(bank: Bank, next_pos: int) -> Iterator[dict]:
+def state_rows(bank: Bank | SignalBank, next_pos: int) -> Iterator[dict]:
     """The rows of a state table for a bank of one sequence."""
     used = int(bank.used[0])
     head = {
@@ -95,11 +95,11 @@ def _sequences(batches: Iterator[pa.RecordBatch], config: Config, ended):
                 key, bank, next_pos = keys[i], None, 0
             if parts[i] == 0:
                 row = batch.column("_state")[i].as_py()
-                bank = bank or Bank([config], len(row["mean"]))
+                bank = bank or bank_of(config, len(row["mean"]))
                 put_state(bank, row)
                 next_pos = row["next_pos"]
                 continue
-            bank = bank or Bank([config], x.shape[1])
+            bank = bank or bank_of(config, x.shape[1])
             tokens, entities = (frozenset(batch.column(c)[i].as_py()) for c in ("tokens", "entities"))
             topic, changed = bank.assign(x[at : at + 1], tokens, entities)
             at += 1

@@ -71,8 +71,10 @@ class Bank:
     A slot that is not in use has count 0, hence prior 0, and never wins.
     """
 
-    _SLOTTED = ("counts", "mu", "m2", "inv_var", "scaled", "const", "last", "sq", "last_sq", "n_tok", "n_ent")
+    _SLOTTED = ("counts", "mu", "m2", "inv_var", "scaled", "const", "last", "sq", "last_sq")
     _PLAIN = ("used", "prev", "seen", "mean")
+    #: Tokens and entities; only the ``signals`` scorer keeps them.
+    members = ()
 
     def __init__(self, configs: Sequence[Config], dim: int, sequences: int = 1, slots: int = 4):
         self.configs, self.dim, self.sequences = list(configs), dim, sequences
@@ -83,7 +85,7 @@ class Bank:
             return np.tile(np.array([getattr(c, name) for c in configs], dtype=np.float64), sequences)
 
         for name in ("alpha", "lmda", "sigma0_sq", "sigma_min_sq", "k_max", "kappa", "beta",
-                     "new_score", "b_cos", "b_jac", "b_ent"):
+                     "new_score"):
             setattr(self, name, per_row(name))
         self.log_alpha = np.log(self.alpha)
         self.used = np.zeros(rows, dtype=np.int64)
@@ -92,7 +94,6 @@ class Bank:
         self.mean = np.zeros((sequences, dim))
         gauss = self.scorer in GAUSS
         two = self.scorer in ("last", "max_c_l")
-        signals = self.scorer in SIGNALS
         wide, flat = (rows, slots, dim), (rows, slots)
         self.counts, self.mu = np.zeros(flat), np.zeros(wide)
         self.m2 = np.zeros(wide) if gauss else None
@@ -102,10 +103,6 @@ class Bank:
         self.sq = None if gauss else np.zeros(flat)
         self.last = np.zeros(wide) if two else None
         self.last_sq = np.zeros(flat) if two else None
-        self.n_tok = np.zeros(flat) if signals else None
-        self.n_ent = np.zeros(flat) if signals else None
-        #: Which (row, slot) pairs hold a token or an entity.
-        self.members: dict[tuple[str, str], np.ndarray] = {}
 
     # -- scores ----------------------------------------------------------------
 
@@ -121,16 +118,7 @@ class Bank:
         safe = (norms >= 1e-9) & (x_norm >= 1e-9)
         return np.where(safe, self._project(table, x) / np.where(safe, norms * x_norm, 1.0), 0.0)
 
-    def _overlaps(self, kind: str, items: frozenset, sizes: np.ndarray) -> np.ndarray:
-        both = np.zeros(sizes.shape)
-        for item in items:
-            held = self.members.get((kind, item))
-            if held is not None:
-                both += held
-        either = sizes + len(items) - both
-        return np.where((sizes > 0) & (len(items) > 0), both / np.where(either > 0, either, 1.0), 0.0)
-
-    def _scores(self, x: np.ndarray, tokens, entities) -> tuple[np.ndarray, np.ndarray]:
+    def _scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the slots (rows x slots) and of a new topic (rows)."""
         rows, each = len(x) * len(self.configs), len(self.configs)
         if self.scorer in GAUSS:
@@ -153,18 +141,13 @@ class Bank:
                 cos = np.maximum(cos, self._cosines(self.last, self.last_sq, x, x_norm, rows))
             return cos / self.sigma0_sq[:rows, None], self.new_score[:rows] / self.sigma0_sq[:rows]
         cos = self._project(self.mu, x) / (np.sqrt(self.sq[:rows]) + 1e-9)
-        if self.scorer in VMF:
-            kappa = self.kappa[:rows]
-            return kappa[:, None] * cos, (0.0 * kappa if self.scorer == "vmf-origin" else -kappa)
-        score = self.b_cos[:rows, None] * cos
-        score += self.b_jac[:rows, None] * self._overlaps("t", tokens, self.n_tok)
-        score += self.b_ent[:rows, None] * self._overlaps("e", entities, self.n_ent)
-        return score, self.new_score[:rows]
+        kappa = self.kappa[:rows]
+        return kappa[:, None] * cos, (0.0 * kappa if self.scorer == "vmf-origin" else -kappa)
 
     # -- one position ------------------------------------------------------------
 
     def assign(self, x: np.ndarray, tokens=frozenset(), entities=frozenset()):
-        """Advance the first ``len(x)`` sequences by one scene each.
+        """Advance the first ``len(x)`` sequences by one scene each; their tokens and entities do not matter here.
 
         Returns topic ids and change flags, one per (sequence, configuration).
         """
@@ -179,7 +162,7 @@ class Bank:
         prev, used = self.prev[:count], self.used[:count]
         started = used > 0
         if started.any():
-            known, fresh = self._scores(x, tokens, entities)
+            known, fresh = self._scores(x)
             prior = self.counts[:count].copy()
             prior[rows, prev] += np.where(started, self.lmda[:count], 0.0)
             with np.errstate(divide="ignore"):
@@ -190,7 +173,7 @@ class Bank:
             topic = np.where(opens | ~started, used, best)
         else:
             topic = np.zeros(count, dtype=np.int64)
-        self._learn(rows, topic, x, tokens, entities)
+        self._learn(rows, topic, x)
         changed = (prev >= 0) & (topic != prev)
         self.prev[:count] = topic
         return topic, changed
@@ -233,7 +216,7 @@ class Bank:
         self.prev[0] = topic
         return np.array([topic]), np.array([prev >= 0 and topic != prev])
 
-    def _learn(self, rows, topic, x, tokens, entities) -> None:
+    def _learn(self, rows, topic, x) -> None:
         self.used[rows] = np.maximum(self.used[rows], topic + 1)
         while int(topic.max()) >= self.counts.shape[1]:
             self._grow()
@@ -261,12 +244,6 @@ class Bank:
         if self.last is not None:
             self.last[rows, topic] = s
             self.last_sq[rows, topic] = np.einsum("rd,rd->r", s, s)
-        if self.scorer in SIGNALS:
-            for kind, items, sizes in (("t", tokens, self.n_tok), ("e", entities, self.n_ent)):
-                for item in items:
-                    held = self.members.setdefault((kind, item), np.zeros(sizes.shape, dtype=np.uint8))
-                    sizes[rows, topic] += 1 - held[rows, topic]
-                    held[rows, topic] = 1
 
     def _grow(self) -> None:
         """Twice as many topic slots."""
@@ -274,17 +251,15 @@ class Bank:
         for name in self._SLOTTED:
             if getattr(self, name) is not None:
                 setattr(self, name, wider(getattr(self, name)))
-        self.members = {item: wider(held) for item, held in self.members.items()}
 
     # -- saving and restoring ----------------------------------------------------------
 
     def topic(self, k: int) -> dict:
-        """Size, mean, squared deviations, last scene and set sizes of a topic of the only sequence."""
+        """Size, mean, squared deviations and last scene of a topic of the only sequence; it keeps no sets."""
         vector = lambda table: [] if table is None else table[0, k].tolist()
-        size = lambda table: 0.0 if table is None else float(table[0, k])
         return {
             "n": float(self.counts[0, k]), "mu": vector(self.mu), "m2": vector(self.m2),
-            "last": vector(self.last), "n_tok": size(self.n_tok), "n_ent": size(self.n_ent),
+            "last": vector(self.last), "n_tok": 0.0, "n_ent": 0.0,
         }
 
     def put_topic(self, k: int, n: float, mu, m2, last, n_tok: float, n_ent: float) -> None:
@@ -296,8 +271,6 @@ class Bank:
         if self.last is not None:
             self.last[0, k] = last
             self.last_sq[0, k] = self.last[0, k] @ self.last[0, k]
-        if self.n_tok is not None:
-            self.n_tok[0, k], self.n_ent[0, k] = n_tok, n_ent
         if self.sq is not None:
             self.sq[0, k] = mu @ mu
             return
@@ -315,16 +288,6 @@ class Bank:
         self.used[0], self.prev[0], self.seen[0] = used, prev, seen
         self.mean[0] = mean
 
-    def holders(self, kind: str, item: str) -> list[int]:
-        """Topics of the only sequence that hold a token (``t``) or an entity (``e``)."""
-        held = self.members.get((kind, item))
-        return [] if held is None else np.flatnonzero(held[0]).tolist()
-
-    def put_holders(self, kind: str, item: str, topics: Sequence[int]) -> None:
-        held = np.zeros(self.counts.shape, dtype=np.uint8)
-        held[0, list(topics)] = 1
-        self.members[kind, item] = held
-
     # -- moving one sequence between banks ------------------------------------------
 
     def take(self, sequence: int) -> dict:
@@ -334,7 +297,6 @@ class Bank:
         state = {n: getattr(self, n)[part].copy() for n in self._SLOTTED if getattr(self, n) is not None}
         state |= {n: getattr(self, n)[part].copy() for n in ("used", "prev")}
         state |= {n: getattr(self, n)[sequence].copy() for n in ("seen", "mean")}
-        state["members"] = self.members
         return state
 
     def put(self, sequence: int, state: dict) -> None:
@@ -350,12 +312,194 @@ class Bank:
             getattr(self, n)[part] = state[n]
         for n in ("seen", "mean"):
             getattr(self, n)[sequence] = state[n]
-        extra = self.counts.shape[1] - width
-        self.members = {
-            item: np.pad(held, ((0, 0), (0, extra))) if extra else held
-            for item, held in state["members"].items()
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products along the first axis, added up in its order: equal inputs tie wherever they stand."""
+    return np.add.accumulate(a * b, axis=0)[-1]
+
+
+class _Held:
+    """Which tokens (or entities) the topics of each history hold: one bit per topic."""
+
+    def __init__(self, slots: int):
+        self.ids: dict[str, int] = {}
+        self.bits = np.zeros((64, 1, slots // 8), dtype=np.uint8)
+        self.sizes = np.zeros((1, slots), dtype=np.int64)
+
+    def rows(self, items) -> np.ndarray:
+        at = np.array([self.ids.setdefault(i, len(self.ids)) for i in items], dtype=np.int64)
+        if len(self.ids) > len(self.bits):
+            more = max(len(self.ids), 2 * len(self.bits)) - len(self.bits)
+            self.bits = np.concatenate([self.bits, np.zeros((more, *self.bits.shape[1:]), np.uint8)])
+        return at
+
+    def shared(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the items each topic of each history holds."""
+        if not len(rows):
+            return np.zeros(self.sizes.shape, dtype=np.int64)
+        return np.unpackbits(self.bits[rows], axis=2, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    def add(self, rows: np.ndarray, topic: np.ndarray, shared: np.ndarray) -> None:
+        h = np.arange(len(topic))
+        self.sizes[h, topic] += len(rows) - shared[h, topic]
+        self.bits[rows[:, None], h, topic >> 3] |= (1 << (topic & 7)).astype(np.uint8)
+
+    def branch(self, parents: np.ndarray) -> None:
+        self.bits, self.sizes = self.bits[:, parents], self.sizes[parents]
+
+    def grow(self) -> None:
+        self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)], axis=2)
+        self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)], axis=1)
+
+
+class SignalBank:
+    """State of one sequence under one or more ``signals`` configurations.
+
+    What a topic holds follows from the choices alone, so configurations that have chosen alike share a *history*: means,
+    sizes and sets are kept and compared once per history, and a configuration only weighs the three
+    signals. There are never more histories than configurations. Sums run in the order of the dimensions and logarithms
+    are those of the C library, so that scores that tie by definition tie here as well.
+    """
+
+    def __init__(self, configs: Sequence[Config], dim: int, sequences: int = 1, slots: int = 8):
+        self.configs, self.dim = list(configs), dim
+        column = lambda name: np.array([getattr(c, name) for c in configs], dtype=np.float64)[:, None]
+        self.b_cos, self.b_jac, self.b_ent = column("b_cos"), column("b_jac"), column("b_ent")
+        self.k_max = column("k_max")[:, 0]
+        self.fresh = np.array([math.log(c.alpha) for c in configs]) + column("new_score")[:, 0]
+        self.lmdas, self.sticky = np.unique(column("lmda")[:, 0], return_inverse=True)
+        self.logs = np.full((1, len(self.lmdas) + 1), -np.inf)
+        #: The history of each configuration.
+        self.of = np.zeros(len(configs), dtype=np.int64)
+        self.used, self.prev = np.zeros(1, dtype=np.int64), np.full(1, -1, dtype=np.int64)
+        self.seen, self.mean = np.zeros(1), np.zeros((1, dim))
+        slots = -(-max(slots, 8) // 8) * 8
+        self.counts, self.norm = np.zeros((1, slots), dtype=np.int64), np.zeros((1, slots))
+        self.mu = np.zeros((dim, 1, slots))
+        self.held = {"t": _Held(slots), "e": _Held(slots)}
+
+    def _log(self, most: int) -> None:
+        """Logarithms of the counts up to ``most``, alone and with each stickiness added."""
+        if most < len(self.logs):
+            return
+        ln = lambda x: math.log(x) if x > 0 else -math.inf
+        rows = [[ln(n), *(ln(n + l) for l in self.lmdas.tolist())] for n in range(len(self.logs), 2 * most + 8)]
+        self.logs = np.concatenate([self.logs, np.array(rows)])
+
+    def _overlap(self, kind: str, n: int, shared: np.ndarray) -> np.ndarray:
+        sizes = self.held[kind].sizes
+        either = sizes + n - shared
+        return np.where((sizes > 0) & (n > 0), shared / np.where(either > 0, either, 1), 0.0)
+
+    def assign(self, x: np.ndarray, tokens=frozenset(), entities=frozenset()):
+        """Advance the sequence by one scene: topic ids and change flags, one per configuration."""
+        s = x[0]
+        rows = {"t": self.held["t"].rows(tokens), "e": self.held["e"].rows(entities)}
+        shared = {k: self.held[k].shared(at) for k, at in rows.items()}
+        self.seen[0] += 1.0
+        of, used = self.of, self.used[self.of]
+        prev = self.prev[of]
+        if self.used[0]:
+            self._log(int(self.counts.max()))
+            alike = _dot(self.mu, s[:, None, None])
+            known = self.b_cos * alike[of] / (self.norm + 1e-9)[of]
+            known += self.b_jac * self._overlap("t", len(rows["t"]), shared["t"])[of]
+            known += self.b_ent * self._overlap("e", len(rows["e"]), shared["e"])[of]
+            prior = self.logs[self.counts, 0][of]
+            every = np.arange(len(of))
+            prior[every, prev] = self.logs[self.counts[of, prev], self.sticky + 1]
+            known += prior
+            best = known.argmax(axis=1)
+            # Strictly better: the lowest topic id wins ties.
+            topic = np.where((used < self.k_max) & (self.fresh > known[every, best]), used, best)
+        else:
+            topic = np.zeros(len(of), dtype=np.int64)
+        self._branch(topic, rows, shared, s)
+        return topic, (prev >= 0) & (topic != prev)
+
+    def _branch(self, topic: np.ndarray, rows: dict, shared: dict, s: np.ndarray) -> None:
+        """Histories whose configurations choose differently part; then each learns the scene."""
+        while int(topic.max()) >= self.counts.shape[1]:
+            self._grow()
+            shared = {k: np.concatenate([v, np.zeros_like(v)], axis=1) for k, v in shared.items()}
+        width = self.counts.shape[1]
+        codes, self.of = np.unique(self.of * width + topic, return_inverse=True)
+        parents, chosen = codes // width, codes % width
+        if len(codes) > len(self.used):
+            self.used, self.counts, self.norm = self.used[parents], self.counts[parents], self.norm[parents]
+            self.mu = self.mu[:, parents]
+            for kind, held in self.held.items():
+                held.branch(parents)
+                shared[kind] = shared[kind][parents]
+        h = np.arange(len(codes))
+        self.prev = chosen
+        self.used = np.maximum(self.used, chosen + 1)
+        self.counts[h, chosen] += 1
+        old = self.mu[:, h, chosen]
+        new = old + (s[:, None] - old) / self.counts[h, chosen]
+        self.mu[:, h, chosen] = new
+        self.norm[h, chosen] = np.sqrt(_dot(new, new))
+        for kind, held in self.held.items():
+            held.add(rows[kind], chosen, shared[kind])
+
+    def _grow(self) -> None:
+        """Twice as many topic slots."""
+        wider = lambda a: np.concatenate([a, np.zeros_like(a)], axis=-1)
+        self.counts, self.norm, self.mu = wider(self.counts), wider(self.norm), wider(self.mu)
+        for held in self.held.values():
+            held.grow()
+
+    # -- saving and restoring, with one configuration ------------------------------
+
+    @property
+    def members(self) -> list[tuple[str, str]]:
+        """The tokens (``t``) and entities (``e``) that topics hold."""
+        return [(kind, item) for kind, held in self.held.items() for item in held.ids]
+
+    def topic(self, k: int) -> dict:
+        """Size, mean and set sizes of a topic."""
+        return {
+            "n": float(self.counts[0, k]), "mu": self.mu[:, 0, k].tolist(), "m2": [], "last": [],
+            "n_tok": float(self.held["t"].sizes[0, k]), "n_ent": float(self.held["e"].sizes[0, k]),
         }
 
+    def put_topic(self, k: int, n: float, mu, m2, last, n_tok: float, n_ent: float) -> None:
+        """Set a topic to what :meth:`topic` returned."""
+        while self.counts.shape[1] <= k:
+            self._grow()
+        mu = np.asarray(mu, dtype=float)
+        self.counts[0, k], self.mu[:, 0, k] = n, mu
+        self.norm[0, k] = np.sqrt(_dot(mu[:, None], mu[:, None]))[0]
+        self.held["t"].sizes[0, k], self.held["e"].sizes[0, k] = n_tok, n_ent
+
+    def put_head(self, used: int, prev: int, seen: float, mean) -> None:
+        """Set the rest of the state."""
+        while self.counts.shape[1] < used:
+            self._grow()
+        self.used[0], self.prev[0], self.seen[0] = used, prev, seen
+
+    def holders(self, kind: str, item: str) -> list[int]:
+        """Topics that hold a token (``t``) or an entity (``e``)."""
+        held = self.held[kind]
+        if item not in held.ids:
+            return []
+        return np.flatnonzero(np.unpackbits(held.bits[held.ids[item], 0], bitorder="little")).tolist()
+
+    def put_holders(self, kind: str, item: str, topics: Sequence[int]) -> None:
+        topics = np.asarray(list(topics), dtype=np.int64)
+        while len(topics) and self.counts.shape[1] <= int(topics.max()):
+            self._grow()
+        held = self.held[kind]
+        row = held.rows([item])[0]
+        held.bits[row, 0] = 0
+        np.bitwise_or.at(held.bits[row, 0], topics >> 3, (1 << (topics & 7)).astype(np.uint8))
+
+
+def bank_of(config: Config, dim: int) -> "Bank | SignalBank":
+    """A bank for one sequence under one configuration."""
+    return (SignalBank if config.scorer in SIGNALS else Bank)([config], dim)
+
 
 class BatchRunner:
     """Runs one bank per scorer over Arrow batches in (sequence, position) order.
@@ -391,16 +535,28 @@ class BatchRunner:
             self.open_key, self.open_states = keys[-1], states
         return topics, changed
 
-    def _group(self, ids, configs, spans, x, tokens, entities, carried, topics, changed) -> dict:
+    @staticmethod
+    def _signals(ids, configs, spans, x, tokens, entities, carried, topics, changed) -> SignalBank | None:
+        """Sequence by sequence: tokens have their numbers within a sequence."""
+        bank = carried
+        for i, span in enumerate(spans):
+            if i or bank is None:
+                bank = SignalBank(configs, x.shape[1])
+            for row in range(*span):
+                topics[row, ids], changed[row, ids] = bank.assign(x[row : row + 1], tokens[row], entities[row])
+        return bank
+
+    def _group(self, ids, configs, spans, x, tokens, entities, carried, topics, changed):
         dim, each = x.shape[1], len(configs)
-        lone = configs[0].scorer in SIGNALS
+        if configs[0].scorer in SIGNALS:
+            return self._signals(ids, configs, spans, x, tokens, entities, carried, topics, changed)
         order = sorted(range(len(spans)), key=lambda i: spans[i][0] - spans[i][1])
         final_state, at = None, 0
         while at < len(order):
             # The longest sequence of a chunk bounds its topics.
             longest = spans[order[at]][1] - spans[order[at]][0]
             slots = min(max(longest, 4), max(c.k_max for c in configs))
-            size = 1 if lone else max(1, self.MAX_CELLS // (slots * dim * each))
+            size = max(1, self.MAX_CELLS // (slots * dim * each))
             chunk = order[at : at + size]
             at += len(chunk)
             bank = Bank(configs, dim, len(chunk), slots=min(slots, 16))
@@ -408,8 +564,7 @@ class BatchRunner:
                 bank.put(chunk.index(0), carried)
             if len(chunk) == 1:
                 for row in range(*spans[chunk[0]]):
-                    topic, change = bank.assign(x[row : row + 1], tokens[row], entities[row])
-                    topics[row, ids], changed[row, ids] = topic, change
+                    topics[row, ids], changed[row, ids] = bank.assign(x[row : row + 1])
                 if len(spans) - 1 in chunk:
                     final_state = bank.take(0)
                 continue

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from eventide.operators.resume import STATE_COLUMNS, TOPIC_COLUMNS, resume
-from eventide.operators.segment import SIGNALS, Bank, Config
+from eventide.operators.segment import SIGNALS, Config, bank_of
 
 #: Grouping by a null mixes groups up in Python, so a sequence is keyed by its id, or any value, and whether the id is null.
 KEY = ("__id", "__none")
@@ -37,7 +37,7 @@ class _Open:
     """
 
     def __init__(self, store: "TopicProcessor", dim: int):
-        self.store, self.bank = store, Bank([store.config], dim)
+        self.store, self.bank = store, bank_of(store.config, dim)
         self.next_pos = self.late = self.waiting = self.due = 0
         self.topics, self.known, self.learned = set(), set(), set()
         if store.head.exists():

@@ -145,3 +145,36 @@ def test_topic_ids_are_dense_and_boundaries_mark_changes(n, seed, size, case):
     for t in topics:
         assert t <= seen + 1
         seen = max(seen, t)
+
+
+#: Hash buckets of the words of three turns: the third is as much like the first as like the second.
+TIED = [
+    {3: 1, 4: 3, 9: 1, 11: 1, 17: 1, 21: 1, 26: 1, 27: 2, 35: 1, 39: 1, 42: 1, 50: 1, 51: 1, 53: 1, 59: 1, 63: 1},
+    {2: 1, 3: 1, 14: 1, 15: 1, 17: 1, 26: 1, 29: 1, 30: 1, 34: 2, 40: 1, 41: 1, 49: 1, 51: 1, 54: 1, 59: 1},
+    {11: 1, 15: 1, 47: 1},
+    {1: 2, 2: 1, 4: 2, 5: 2, 6: 1, 7: 1, 9: 1, 11: 5, 15: 2, 16: 2, 18: 2, 20: 1, 21: 2, 22: 1, 25: 1, 27: 1, 28: 1, 29: 2,
+     30: 2, 32: 1, 33: 1, 35: 2, 36: 1, 37: 1, 38: 1, 40: 1, 46: 3, 48: 1, 49: 1, 51: 2, 52: 1, 53: 1, 55: 1, 56: 1, 57: 1, 58: 1, 61: 1, 62: 1},
+]
+
+
+def test_signals_that_tie_are_chosen_as_the_sql_does():
+    import duckdb
+
+    from eventide.plans.recursion_sql import assignment_ctes
+
+    con, rng = duckdb.connect(), np.random.default_rng(5)
+    configs = [G.Config(alpha=1.0, lmda=l, new_score=nb, scorer="signals", k_max=k) for l in (0.0, 0.3) for nb in (0.3, 0.9) for k in (2, 64)]
+    sequences = [[np.bincount(list(t), list(t.values()), 64) for t in TIED]]
+    # Few words, many repeats: most scores tie with others.
+    sequences += [list(rng.integers(0, 2, (n, 6)).astype(float).repeat(10, axis=1)) for n in (12,) * 30]
+    rows = []
+    for s, turns in enumerate(sequences):
+        for pos, c in enumerate(turns):
+            c = np.append(c, np.zeros(64 - len(c)))
+            rows.append((s, pos, (c / np.sqrt(c @ c) if c.any() else c).tolist()))
+    con.execute("create table src (seq_id bigint, pos bigint, scene double[], tokens varchar[], entities varchar[])")
+    con.executemany("insert into src values (?, ?, ?, [], [])", rows)
+    want = con.execute(f"with recursive {assignment_ctes('src', configs)} select topic from walk order by seq_id, pos, cfg_id").fetchall()
+    none = [frozenset()] * len(rows)
+    got = G.BatchRunner(configs).run([r[0] for r in rows], np.array([r[2] for r in rows]), none, none)[0]
+    assert got.ravel().tolist() == [t for t, in want]

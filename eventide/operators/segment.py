@@ -631,13 +631,15 @@ def with_truth(assigned: DataFrame, label: str = "label", flag: str | None = Non
 
 #: Configurations that run over one copy of the scenes; more are spread over several copies.
 CONFIGS_PER_COPY = 128
+#: The same if all are ``signals``, which share what they compute.
+SIGNALS_PER_COPY = 1024
 #: Groups whose counts a task keeps before it emits them.
 OPEN_GROUPS = 256
 
 
 def grid_counts(
     scenes: DataFrame, configs: Sequence[Config], flag: str | None = None, partitions: int | None = None,
-    per_copy: int = CONFIGS_PER_COPY, by: tuple[str, ...] = (),
+    per_copy: int | None = None, by: tuple[str, ...] = (),
 ) -> DataFrame:
     """``cfg_id, tp, fp, fn`` for every configuration (``cfg_id`` = its place in the list).
 
@@ -647,6 +649,8 @@ def grid_counts(
     scene: truth is a label change, or ``label == flag``. ``by`` names columns that are
     constant within a sequence; counts are kept apart by them.
     """
+    if per_copy is None:
+        per_copy = SIGNALS_PER_COPY if all(c.scorer in SIGNALS for c in configs) else CONFIGS_PER_COPY
     blocks = [list(range(i, min(i + per_copy, len(configs)))) for i in range(0, len(configs), per_copy)]
     sets = [c for c in ("tokens", "entities") if c in scenes.columns and any(x.scorer in SIGNALS for x in configs)]
     rows = scenes.select("seq_id", "pos", "scene", "label", *by, *sets)

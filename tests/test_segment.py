@@ -178,3 +178,19 @@ def test_signals_that_tie_are_chosen_as_the_sql_does():
     none = [frozenset()] * len(rows)
     got = G.BatchRunner(configs).run([r[0] for r in rows], np.array([r[2] for r in rows]), none, none)[0]
     assert got.ravel().tolist() == [t for t, in want]
+
+
+def test_signal_configurations_share_one_copy(spark, data, monkeypatch):
+    sequences, tokens, entities = data
+    rows = [
+        (s, i, [float(v) for v in x[i]], str(y[i]), tokens[s][i], entities[s][i])
+        for s, (x, y) in enumerate(sequences) for i in range(len(x))
+    ]
+    df = spark.createDataFrame(rows, "seq_id bigint, pos bigint, scene array<double>, label string, tokens array<string>, entities array<string>")
+    seen, in_order = [], G.in_order
+    monkeypatch.setattr(G, "in_order", lambda rows, **kw: seen.append(rows) or in_order(rows, **kw))
+    G.grid_counts(df, G.signal_grid())
+    assert seen[0].count() == len(rows)
+    few = G.signal_grid()[::40]
+    counts = lambda grid: sorted(map(tuple, grid.collect()))
+    assert counts(G.grid_counts(df, few)) == counts(G.grid_counts(df, few, per_copy=2))

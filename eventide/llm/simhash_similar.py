@@ -4,13 +4,15 @@ Two texts are linked if their sets of five-word shingles have a Jaccard similari
 a SimHash's bits differ, too many for a few segments with a fixed radius. So a fingerprint has 448 bits in sixteen segments
 of 28, and the ball of a segment is taken where its bits are unsure: the three bits whose sums lie nearest to zero may flip,
 on both sides of a pair, so each text is held under eight values of each segment. What meets under a value is
-verified by the complete distance, and then exactly, by the shingles themselves. A link that is found is
+verified exactly, by the shingles themselves. A link that is found is
 always true; a pair at 0.8 meets in at least one segment nine times in ten or more, a closer pair nearly always.
 
-A value that many texts share doesn't give all their pairs. In each round a text meets the first ``most`` texts of its value; linked
-texts then leave, all but one of each component, and the texts of values that held more go on to a round with four times
-``most``, until no value holds more. Tasks do the same within a chunk of texts before anything is shuffled, so a crowd of near copies
-reaches the shuffle as ``most`` rows a chunk. Values of dissimilar texts, should a crowd of them share one, are compared pair by pair, in rounds.
+A value that many texts share loses no pair. At first a text meets the first ``most`` texts of its values, which tells the texts that share a
+value with any other; tasks do the same within a chunk of texts before anything is shuffled. Texts that share a value then meet with a sketch, the counts of
+their shingles in 128 bins: counts can't differ by more than the sets do, so a pair whose counts differ too much is not similar, and
+no other pair is left out. In a first pass each text is verified against two partners alone, the smallest number and the closest that the sketch allows; what is linked gets one label.
+In the second pass texts of one label need not meet again, and every pair of different labels that the sketch allows is verified. So each pair of texts
+under one value is verified, known to differ, or known to belong to one component, and nobody leaves before that.
 
 A document goes if a chain of links leads to one that stays. Of each component of links the document with the smallest id stays.
 
@@ -27,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import safe_join, slices, written
 from .components import components
@@ -40,13 +42,14 @@ WORDS = 7
 SEGMENTS = 16
 SEGMENT_BITS = WORDS * 64 // SEGMENTS
 UNSURE = 3
-#: Distance up to which a pair is verified by its shingles; a pair at 0.8 has 68 differing bits on average, with a standard deviation of 8.
-DISTANCE = 120
-#: Texts of a value that all others under it meet in the first round, and the factor from round to round.
+#: Bins of a sketch, and its greatest count: two bins make a byte.
+BINS = 128
+TOP = 15
+#: Texts of a value that all others under it meet at first.
 MOST = 2
-GROWTH = 4
 CHUNK = 4096
-MOST_ROUNDS = 16
+#: Pairs of sketches that a task compares at a time.
+PAIRS = 100_000
 
 
 def shingles(text: str | None, span: int = SHINGLE) -> tuple[np.ndarray, int]:
@@ -86,17 +89,30 @@ def fingerprint(hashes: np.ndarray, piece: int = 8192) -> tuple[np.ndarray, np.n
     return bits, unsure.astype(np.uint8)
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each bin, ``TOP`` at most."""
+    counts = np.minimum(np.bincount(hashes >> np.uint64(57), minlength=BINS), TOP).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS // 2)
+    return np.concatenate([packed & TOP, packed >> 4], axis=1).astype(np.int16)
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, bits, unsure = [], [], []
+        nodes, bits, unsure, sizes, sketches = [], [], [], [], []
         for text in batch.column("text"):
             hashes, whole = shingles(text.as_py())
             b, u = fingerprint(hashes)
             nodes.append(whole)
             bits.append(b.tolist())
             unsure.append(u.tobytes())
-        columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(unsure, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "node", "bits", "unsure"])
+            sizes.append(len(hashes))
+            sketches.append(sketch_of(hashes))
+        columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(unsure, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "node", "bits", "unsure", "size", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,23 +215,100 @@ def _candidates(texts: DataFrame, most: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _distance(left: Column, right: Column) -> Column:
-    return sum((F.bit_count(left[k].bitwiseXOR(right[k])) for k in range(WORDS)), F.lit(0))
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text under all its values, with its label and its sketch."""
+    names = ["label", "node", "size", "sketch"]
+    for part in slices(batches, CHUNK // 4):
+        n = part.num_rows
+        if not n:
+            continue
+        bits = part.column("bits").flatten().to_numpy().reshape(n, WORDS)
+        unsure = np.frombuffer(b"".join(part.column("unsure").to_pylist()), np.uint8).reshape(n, SEGMENTS, UNSURE)
+        keys = keys_of(bits, unsure)
+        rows = part.select(names).take(pa.array(np.repeat(np.arange(n), keys.shape[1])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *rows.columns], names=["key", *names])
+
+
+def _allowed(rows: np.ndarray, others: np.ndarray, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Least differences of the sets of ``rows`` and ``others``, and whether labels differ and 0.8 is in reach."""
+    apart = np.zeros((len(rows), len(others)), np.int32)
+    for k in range(BINS):
+        apart += np.abs(rows[:, k, None] - others[None, :, k])
+    # A similarity of s leaves a difference of (1 - s) / (1 + s) of both sizes.
+    reach = (100 + SIMILARITY) * apart <= (100 - SIMILARITY) * (left[1][:, None] + right[1][None, :])
+    return apart, reach & (left[0][:, None] != right[0][None, :])
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """From texts sorted by value, pairs of one value with different labels that may be similar: all of them, or for each text ``a`` the smallest
+    ``b`` and the closest ``c``. The texts of one value are held as ids and sketches."""
+
+    def closed(held: list):
+        table = pa.Table.from_batches(held)
+        label, node, size = (table.column(c).to_numpy() for c in ("label", "node", "size"))
+        if len(label) < 2 or (label == label[0]).all():
+            return
+        order = np.argsort(node)
+        label, node, size = label[order], node[order], size[order]
+        sketch = _counts(table.column("sketch").to_pylist())[order]
+        step = max(1, PAIRS // len(node))
+        for first in range(0, len(node), step):
+            at = slice(first, first + step)
+            # Pairs are symmetric: all of them are met by rows that follow.
+            rest = slice(first, None) if every else slice(0, None)
+            apart, reach = _allowed(sketch[at], sketch[rest], (label[at], size[at]), (label[rest], size[rest]))
+            if every:
+                i, j = np.nonzero(np.triu(reach, 1))
+                found = (node[at][i], node[rest][j], node[rest][j])
+            else:
+                i = np.flatnonzero(reach.any(axis=1))
+                nearest = np.where(reach[i], apart[i], np.iinfo(np.int32).max).argmin(axis=1)
+                found = (node[at][i], node[reach[i].argmax(axis=1)], node[nearest])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "c"])
+
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        ends = np.append(starts[1:], len(keys))
+        # Most texts are alone under a value; the first and the last may go on in other batches.
+        some = ends - starts > 1
+        some[[0, -1]] = True
+        for at, end in zip(starts[some].tolist(), ends[some].tolist()):
+            if held and keys[at] != key:
+                if len(held) > 1 or held[0].num_rows > 1:
+                    yield from closed(held)
+                held = []
+            key = keys[at]
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield from closed(held)
+
+
+def _crossing(texts: DataFrame, every: bool) -> DataFrame:
+    """Pairs of ``texts`` that share a value, differ in ``label`` and may be similar: all, or two of each text at most."""
+    rows = texts.mapInArrow(_labelled, "key long, label long, node long, size long, sketch binary")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    pairs = dealt.mapInArrow(partial(_crossed, every=every), "a long, b long, c long")
+    if not every:
+        pairs = pairs.groupBy("a").agg(F.min("b").alias("b"), F.mode("c", True).alias("c"))
+        pairs = pairs.select("a", F.explode(F.array("b", "c")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are similar: first by the complete distance, then by their sets of shingles."""
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_distance(F.col("bits_a"), F.col("bits_b")) <= DISTANCE)
-    near = written(near.select("a", "b"), "near-pairs")
-    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    """The pairs whose sets of shingles are similar."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Written, so that its size is known: while it is small, it is sent to the texts, and they stay where they are.
     rows = written(asked.join(texts.select("node", "first.*"), "node"), "asked")
     sources = safe_join(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), rows, ["doc_id", "text_hash"], "inner")
     sets = sources.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>")
     sets = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"set_{name}"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - shared
     return both.where(shared * 100 >= either * SIMILARITY).select("a", "b")
@@ -224,24 +317,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, most: int = MOST) -> DataFrame:
     """For every row of ``docs`` its ``doc_id``, ``text_hash``, and ``least``, which all rows of a group share."""
     marked = written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        _marked, "doc_id long, text_hash long, node long, bits array<long>, unsure binary"), "marked")
+        _marked, "doc_id long, text_hash long, node long, bits array<long>, unsure binary, size long, sketch binary"), "marked")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = F.min_by(F.struct("doc_id", "text_hash"), order).alias("first")
-    texts = written(marked.groupBy("node").agg(first, F.first("bits").alias("bits"), F.first("unsure").alias("unsure")), "texts")
-    links, left = None, texts
-    for _ in range(MOST_ROUNDS):
-        met = written(_candidates(left, most), "met")
-        found = written(_verified(met.where("a != b"), texts, docs), "similar")
-        links = found if links is None else links.union(found)
-        open_texts = met.where("a = b").select(F.col("a").alias("node"))
-        gone = components(found).select("node")
-        left = written(left.join(open_texts, "node", "left_semi").join(gone, "node", "left_anti"), "open")
-        if left.isEmpty():
-            break
-        most *= GROWTH
-    else:
-        raise RuntimeError("texts of one value were not all compared")
-    members = components(links).select("node", "least")
+    texts = written(marked.groupBy("node").agg(first, F.first("bits").alias("bits"), *[F.first(c).alias(c) for c in ("unsure", "size", "sketch")]), "texts")
+    met = _candidates(texts, most).where("a != b")
+    nodes = written(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    shared = written(texts.join(nodes, "node", "left_semi").select("node", "bits", "unsure", "size", "sketch"), "shared")
+    few = written(_crossing(shared.withColumn("label", F.col("node")), False), "few")
+    members = components(written(_verified(few, texts, docs), "similar")).select("node", "least")
+    named = shared.join(members, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
+    rest = written(_crossing(named, True), "rest")
+    if not rest.isEmpty():
+        links = members.select(F.col("node").alias("a"), F.col("least").alias("b")).union(_verified(rest, texts, docs))
+        members = components(links).select("node", "least")
     named = marked.select("doc_id", "text_hash", "node").join(members, "node", "left")
     return named.select("doc_id", "text_hash", F.coalesce("least", "node").alias("least"))
 

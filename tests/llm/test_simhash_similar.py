@@ -118,3 +118,46 @@ def test_odd_rows(spark):
     got = [(r.doc_id, len(r.text or "")) for r in kept.collect()]
     assert sorted(got, key=str) == sorted([(1, 0), (4, 3), (6, 9), (None, 7), (7, len(long))], key=str)
     assert S.stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    """Texts that each change two words of an earlier one: only the whole tree of links holds them together. Every similar pair under one value counts."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(100)]]
+    while len(texts) < 300:
+        texts.append(changed(rng, rng.choice(texts), 2))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    prints = [S.fingerprint(S.shingles(t)[0]) for _, t in rows]
+    keys = [set(k) for k in S.keys_of(np.array([b for b, _ in prints]), np.array([u for _, u in prints])).tolist()]
+    sets, label = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if label[a] != label[b] and alike(sets[a], sets[b]) and not keys[a].isdisjoint(keys[b]):
+            label = [label[a] if x == label[b] else x for x in label]
+    found = S.groups(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert partition((r.doc_id, r.least) for r in found) == partition(enumerate(label))
+
+
+def test_a_sketch_leaves_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 900, 6000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        for m in (0, n // 10, n // 9, n // 4):
+            b = np.concatenate([a[m:], rng.integers(0, 2**63, m // 8).astype(np.uint64)])
+            alike = len(np.intersect1d(a, b)) * 100 >= len(np.union1d(a, b)) * S.SIMILARITY
+            side = lambda label, h: (S._counts([S.sketch_of(h)]), (np.array([label]), np.array([len(h)])))
+            (x, left), (y, right) = side(1, a), side(2, b)
+            assert S._allowed(x, y, left, right)[1][0, 0] or not alike
+
+
+def test_crossed_pairs_for_any_batch():
+    """Under one value all pairs of different labels, whatever the batches and tiles are."""
+    node, label = np.arange(40) * 3, np.arange(40) % 3
+    sketch = S.sketch_of(np.arange(500, dtype=np.uint64) << np.uint64(54))
+    key = np.repeat([7, 8, 9], [1, 38, 1])
+    table = pa.table({"key": key, "label": label, "node": node, "size": np.full(40, 500), "sketch": pa.array([sketch] * 40)})
+    wanted = {(node[i], node[j]) for i in range(1, 39) for j in range(i + 1, 39) if label[i] != label[j]}
+    for size in (1, 7, 100):
+        rows = [r for b in S._crossed(table.to_batches(max_chunksize=size), True) for r in b.to_pylist()]
+        assert len(rows) == len(wanted) and {(r["a"], r["b"]) for r in rows} == wanted
+        few = [r for b in S._crossed(table.to_batches(max_chunksize=size), False) for r in b.to_pylist()]
+        assert sorted(r["a"] for r in few) == node[1:39].tolist() and all(r["b"] <= 6 for r in few)

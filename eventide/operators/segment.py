@@ -508,8 +508,8 @@ class BatchRunner:
     its state is carried over.
     """
 
-    #: Upper limit for the floats of one bank's widest array.
-    MAX_CELLS = 4_000_000
+    #: Upper limit for the floats of one bank's widest array; a Gaussian bank has four such arrays.
+    MAX_CELLS = 1_000_000
 
     def __init__(self, configs: Sequence[Config]):
         by_scorer: dict[str, list[int]] = {}

@@ -194,3 +194,21 @@ def test_signal_configurations_share_one_copy(spark, data, monkeypatch):
     few = G.signal_grid()[::40]
     counts = lambda grid: sorted(map(tuple, grid.collect()))
     assert counts(G.grid_counts(df, few)) == counts(G.grid_counts(df, few, per_copy=2))
+
+
+def test_a_grid_holds_few_sequences_at_a_time(monkeypatch):
+    """A full Arrow batch of short sequences: the arrays of a bank stay below 64 MB."""
+    sizes, run = [], G.Bank.take
+
+    def watched(bank, sequence):
+        sizes.append(sum(getattr(bank, n).nbytes for n in bank._SLOTTED if getattr(bank, n) is not None))
+        return run(bank, sequence)
+
+    monkeypatch.setattr(G.Bank, "take", watched)
+    rng = np.random.default_rng(2)
+    # The last sequence is in the first chunk, which is as large as any.
+    keys = [s for s in range(60) for _ in range(24 + (s == 59))]
+    x = rng.normal(size=(len(keys), 64))
+    none = [frozenset()] * len(keys)
+    G.BatchRunner(G.gauss_grid()).run(keys, x, none, none)
+    assert 0 < max(sizes) < 64e6

@@ -486,6 +486,18 @@ class SignalBank:
             return []
         return np.flatnonzero(np.unpackbits(held.bits[held.ids[item], 0], bitorder="little")).tolist()
 
+    def items(self, kind: str, k: int) -> list[str]:
+        """Tokens (``t``) or entities (``e``) that a topic holds."""
+        held = self.held[kind]
+        has = held.bits[: len(held.ids), 0, k >> 3] >> (k & 7) & 1
+        return [item for item, h in zip(held.ids, has.tolist()) if h]
+
+    def put_items(self, kind: str, k: int, items: Sequence[str]) -> None:
+        """Add items to those that a topic holds."""
+        held = self.held[kind]
+        rows = held.rows(items)
+        held.bits[rows, 0, k >> 3] |= np.uint8(1 << (k & 7))
+
     def put_holders(self, kind: str, item: str, topics: Sequence[int]) -> None:
         topics = np.asarray(list(topics), dtype=np.int64)
         while len(topics) and self.counts.shape[1] <= int(topics.max()):

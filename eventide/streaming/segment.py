@@ -32,31 +32,28 @@ OUT_ROWS = 1000
 class _Open:
     """One sequence while a micro-batch works on it: its bank, read from the state and written back.
 
-    All topics are read, since each of them competes for a scene. Tokens and entities are read when a scene
-    has them, and only topics and items that changed are written back.
+    All topics are read, each with its tokens and entities, since each of them competes for a scene; only topics
+    that changed are written back. A topic's items are one value: every access to the state is a call to the
+    JVM, and one for each item would take far longer than the assignment.
     """
 
     def __init__(self, store: "TopicProcessor", dim: int):
         self.store, self.bank = store, bank_of(store.config, dim)
         self.next_pos = self.late = self.waiting = self.due = 0
-        self.topics, self.known, self.learned = set(), set(), set()
+        self.topics = set()
         if store.head.exists():
             prev, self.next_pos, self.late, self.waiting, self.due, used, seen, mean = store.head.get()
             self.bank.put_head(used, prev, seen, np.asarray(mean, dtype=float))
             for k in range(used):
                 self.bank.put_topic(k, *store.topics.getValue((k,)))
+                if store.signals:
+                    for kind, items in zip("te", store.sets.getValue((k,))):
+                        self.bank.put_items(kind, k, items)
 
     def take(self, scene, tokens, entities):
         """Assign the scene at the next position."""
-        items = [("t", i) for i in tokens] + [("e", i) for i in entities]
-        for item in items:
-            if item not in self.known:
-                self.known.add(item)
-                if self.store.members.containsKey(item):
-                    self.bank.put_holders(*item, self.store.members.getValue(item)[0])
         topic, changed = self.bank.assign(np.asarray(scene, dtype=float)[None, :], frozenset(tokens), frozenset(entities))
         self.topics.add(int(topic[0]))
-        self.learned.update(items)
         place, self.next_pos = self.next_pos, self.next_pos + 1
         return place, int(topic[0]), bool(changed[0])
 
@@ -74,8 +71,8 @@ class _Open:
         bank, store = self.bank, self.store
         for k in self.topics:
             store.topics.updateValue((k,), tuple(bank.topic(k).values()))
-        for item in self.learned:
-            store.members.updateValue(item, (bank.holders(*item),))
+            if store.signals:
+                store.sets.updateValue((k,), (bank.items("t", k), bank.items("e", k)))
         store.head.update((
             int(bank.prev[0]), self.next_pos, self.late, self.waiting, self.due, int(bank.used[0]), float(bank.seen[0]),
             bank.mean[0].tolist(),
@@ -86,7 +83,8 @@ class TopicProcessor(StatefulProcessor):
     """State of one sequence: a head record, its topics, their tokens, and rows that came too early."""
 
     def __init__(self, config: Config, gap_seconds: float | None = None):
-        self.config, self.gap = config, None if gap_seconds is None else int(gap_seconds * 1000)
+        self.config, self.signals = config, config.scorer in SIGNALS
+        self.gap = None if gap_seconds is None else int(gap_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -95,7 +93,7 @@ class TopicProcessor(StatefulProcessor):
             "prev int, next_pos bigint, late bigint, n_waiting bigint, due bigint, used int, seen double, mean array<double>",
         )
         self.topics = handle.getMapState("topics", "topic int", TOPIC)
-        self.members = handle.getMapState("members", "kind string, item string", "topics array<int>")
+        self.sets = handle.getMapState("sets", "topic int", "tokens array<string>, entities array<string>")
         self.waiting = handle.getMapState(
             "waiting", "pos bigint", "scene array<double>, tokens array<string>, entities array<string>"
         )
@@ -166,6 +164,7 @@ class TopicProcessor(StatefulProcessor):
         state.save()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        sets: dict[int, dict[str, list]] = {}
         for row in initialState.to_dict("records"):
             self.head.update((
                 int(row["prev"]), int(row["next_pos"]), 0, 0, 0, int(row["used"]), float(row["seen"]), list(row["mean"])
@@ -173,8 +172,15 @@ class TopicProcessor(StatefulProcessor):
             if row["kind"] == "topic":
                 value = [row[c] if np.isscalar(row[c]) else list(row[c]) for c in TOPIC_COLUMNS]
                 self.topics.updateValue((int(row["topics"][0]),), tuple(value))
+                if self.signals:
+                    sets.setdefault(int(row["topics"][0]), {"t": [], "e": []})
             else:
-                self.members.updateValue((row["kind"], row["item"]), ([int(k) for k in row["topics"]],))
+                for k in row["topics"]:
+                    sets.setdefault(int(k), {"t": [], "e": []})[row["kind"]].append(row["item"])
+        for k, items in sets.items():
+            # The rows of a sequence may come in several frames.
+            before = self.sets.getValue((k,)) if self.sets.containsKey((k,)) else ([], [])
+            self.sets.updateValue((k,), (list(before[0]) + items["t"], list(before[1]) + items["e"]))
 
     def close(self) -> None:
         pass
@@ -226,15 +232,23 @@ def _unkeyed() -> list:
     return [F.when(~F.col(KEY[1]), F.col(KEY[0])).alias("seq_id")]
 
 
-def hand_over(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """State table of a stopped stream, without the rows that wait or were passed."""
-    head = _state(spark, checkpoint, "head").select("key.*", "value.*").where("used > 0")
-    topics = _state(spark, checkpoint, "topics").select(
+def hand_over(spark: SparkSession, checkpoint: str, only: DataFrame | None = None) -> DataFrame:
+    """State table of a stopped stream (or of the sequences whose keys are in ``only``), without the rows that wait or were passed."""
+    state = lambda name: _state(spark, checkpoint, name) if only is None else _state(spark, checkpoint, name).select(
+        "*", *[F.col(f"key.{c}").alias(c) for c in KEY]
+    ).join(only, [*KEY], "left_semi").drop(*KEY)
+    head = state("head").select("key.*", "value.*").where("used > 0")
+    topics = state("topics").select(
         "key.*", F.lit("topic").alias("kind"), F.lit("").alias("item"), F.array("user_map_key.topic").alias("topics"), "user_map_value.*"
     )
     empty = [F.array().cast("array<double>").alias(c) if c in ("mu", "m2", "last") else F.lit(0.0).alias(c) for c in TOPIC_COLUMNS]
-    members = _state(spark, checkpoint, "members").select(
-        "key.*", "user_map_key.kind", "user_map_key.item", "user_map_value.topics", *empty
+    held = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(f"user_map_value.{c}").alias("items")) for kind, c in (("t", "tokens"), ("e", "entities"))
+    ])
+    kinds = state("sets").select("key.*", "user_map_key.topic", F.explode(held).alias("h"))
+    pairs = kinds.select(*KEY, "topic", "h.kind", F.explode("h.items").alias("item"))
+    members = pairs.groupBy(*KEY, "kind", "item").agg(F.array_sort(F.collect_list("topic")).alias("topics")).select(
+        *KEY, "kind", "item", "topics", *empty
     )
     rows = topics.unionByName(members).join(head, [*KEY])
     return rows.select(*_unkeyed(), *STATE_COLUMNS)
@@ -244,7 +258,7 @@ def unfinished(spark: SparkSession, checkpoint: str, config: Config = Config())
     """``seq_id, pos, topic, is_boundary`` of the rows that still wait when the input has ended and the stream has stopped."""
     waiting = _state(spark, checkpoint, "waiting").select("key.*", "user_map_key.pos", "user_map_value.*")
     rows = waiting.select(*_unkeyed(), "pos", "scene", "tokens", "entities")
-    return resume(rows, hand_over(spark, checkpoint), config)
+    return resume(rows, hand_over(spark, checkpoint, waiting.select(*KEY).distinct()), config)
 
 
 def passed_rows(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -113,3 +113,54 @@ def test_a_timer_closes_a_gap_while_the_stream_runs(spark, tmp_path, data):
         query.stop()
     assert answers(found) == answers(G.segment(spark.createDataFrame(rows, SCHEMA), G.Config()))
     assert unfinished(spark, str(tmp_path / "ckpt"), G.Config()).count() == 0
+
+
+class _Store:
+    """State in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.names = 0, {}
+
+    def _named(self, name, *_):
+        return self.names.setdefault(name, _Cell(self))
+
+    getValueState = getMapState = getListState = _named
+
+
+class _Cell:
+    def __init__(self, store):
+        self.store, self.map = store, {}
+
+    def _call(self, act):
+        self.store.calls += 1
+        return act()
+
+    def exists(self): return self._call(lambda: None in self.map)
+    def get(self): return self._call(lambda: self.map[None])
+    def update(self, value): return self._call(lambda: self.map.update({None: value}))
+    def containsKey(self, key): return self._call(lambda: key in self.map)
+    def getValue(self, key): return self._call(lambda: self.map.get(key))
+    def updateValue(self, key, value): return self._call(lambda: self.map.update({key: value}))
+
+
+def test_calls_to_the_state_do_not_grow_with_the_words():
+    import pandas as pd
+
+    from eventide.streaming.segment import TopicProcessor
+
+    config, rng, calls = G.Config(scorer="signals", new_score=0.9, b_jac=2.0, b_ent=1.0, k_max=8), np.random.default_rng(6), []
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    for words in (4, 400):
+        x = rng.normal(size=(12, 5))
+        sets = [[[f"{c}{w}" for w in rng.choice(3 * words, words, replace=False)] for _ in x] for c in "te"]
+        store, got = _Store(), []
+        for part in (slice(0, 5), slice(5, 12)):  # two micro-batches
+            processor = TopicProcessor(config)
+            processor.init(store)
+            rows = pd.DataFrame({"pos": np.arange(12)[part], "scene": list(x[part]), "tokens": sets[0][part], "entities": sets[1][part]})
+            for frame in processor.handleInputRows((1, False), iter([rows]), clock):
+                got += frame["topic"].tolist()
+        want = G.BatchRunner([config]).run([1] * 12, x, *[[frozenset(v) for v in s] for s in sets])[0][:, 0]
+        assert got == want.tolist()
+        calls.append(store.calls)
+    assert max(calls) <= 80

@@ -8,7 +8,8 @@ verified exactly, by the shingles themselves. A link that is found is
 always true; a pair at 0.8 meets in at least one segment nine times in ten or more, a closer pair nearly always.
 
 A value that many texts share loses no pair. At first a text meets the first ``most`` texts of its values, which tells the texts that share a
-value with any other; tasks do the same within a chunk of texts before anything is shuffled. Texts that share a value then meet with a sketch, the counts of
+value with any other, and which value; tasks do the same within a chunk of texts before anything is shuffled. Most values are held by one text alone, and of
+the others most are shared by chance, by texts whose sizes already rule out the similarity; both go before a text is dealt to its values. Texts that are left under a value then meet with a sketch, the counts of
 their shingles in 128 bins: counts can't differ by more than the sets do, so a pair whose counts differ too much is not similar, and
 no other pair is left out. In a first pass each text is verified against two partners alone, the smallest number and the closest that the sketch allows; what is linked gets one label.
 In the second pass texts of one label need not meet again, and every pair of different labels that the sketch allows is verified. So each pair of texts
@@ -143,17 +144,17 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.arange(len(keys)) - start, sizes[group]
 
 
-def _met(nodes, start, rank, most, rows):
-    """Each of the rows with the first ``most`` before it in its group."""
+def _met(keys, nodes, start, rank, most, rows):
+    """The value of each of the rows, and its text with the first ``most`` before it in its group."""
     for r in range(most):
         at = rows[rank[rows] > r]
         if not len(at):
             return
-        yield nodes[at], nodes[start[at] + r]
+        yield keys[at], nodes[at], nodes[start[at] + r]
 
 
 REPORT = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("full", pa.bool_())])
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _reports(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -177,19 +178,18 @@ def _reports(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         rest = np.flatnonzero(~held)
         if len(rest):
             marks = np.unique(owner[rest])
-            pairs = np.concatenate([np.column_stack(p) for p in _met(owner, start, rank, most, rest)] + [np.column_stack([marks, marks])])
-            pairs = np.unique(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], schema=REPORT)
+            key, a, b = (np.concatenate(c) for c in zip(*_met(keys, owner, start, rank, most, rest), (marks, marks, marks)))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], schema=REPORT)
 
 
 def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """From reports sorted by value, the pairs to verify. Of a value only the first ``most`` rows are kept from batch to batch."""
+    """From reports sorted by value, the pairs that met under it. Of a value only the first ``most`` rows are kept from batch to batch."""
     kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     for batch in batches:
         known = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
         if known.any():
             done = batch.filter(pa.array(known))
-            yield pa.RecordBatch.from_arrays([done.column("a"), done.column("b")], schema=PAIR)
+            yield done.select(PAIR.names).cast(PAIR)
             batch = batch.filter(pa.array(~known))
         if not batch.num_rows:
             continue
@@ -199,41 +199,65 @@ def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         start, rank, size = _places(keys)
         rows = np.arange(old, len(keys))
         wide = np.flatnonzero((size > most) | full[start])
-        pairs = [np.column_stack(p) for p in _met(nodes, start, rank, most, rows)] + [np.column_stack([nodes[wide], nodes[wide]])]
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIR)
+        found = [np.concatenate(c) for c in zip(*_met(keys, nodes, start, rank, most, rows), (keys[wide], nodes[wide], nodes[wide]))]
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=PAIR)
         last = slice(start[-1], start[-1] + most)
         kept = (keys[last], nodes[last], full[last])
 
 
-def _candidates(texts: DataFrame, most: int) -> DataFrame:
-    """Pairs ``a``, ``b`` to verify; a pair with itself marks a text that has not met all others of its values."""
-    reports = texts.mapInArrow(partial(_reports, most=most), "key long, a long, b long, full boolean")
-    dealt = reports.repartition("key").sortWithinPartitions("key", F.desc("full"), "a")
-    pairs = dealt.mapInArrow(partial(_stars, most=most), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _members(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """From reports sorted by value, the texts of each value that several texts share."""
+    for batch in _stars(batches, most):
+        key, a, b = (batch.column(c).to_numpy() for c in PAIR.names)
+        # A pair with itself has no other text.
+        real = a != b
+        rows = np.unique(np.concatenate([np.column_stack([key[real], x[real]]) for x in (a, b)]), axis=0)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["key", "node"])
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text under all its values, with its label and its sketch."""
-    names = ["label", "node", "size", "sketch"]
-    for part in slices(batches, CHUNK // 4):
-        n = part.num_rows
-        if not n:
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts sorted by value, size and number, those with another text of their value whose size allows the similarity.
+
+    The closest sizes are next to each other, so a row needs its neighbours only; the last one waits for the next batch.
+    """
+    kept, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        bits = part.column("bits").flatten().to_numpy().reshape(n, WORDS)
-        unsure = np.frombuffer(b"".join(part.column("unsure").to_pylist()), np.uint8).reshape(n, SEGMENTS, UNSURE)
-        keys = keys_of(bits, unsure)
-        rows = part.select(names).take(pa.array(np.repeat(np.arange(n), keys.shape[1])))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *rows.columns], names=["key", *names])
+        key, node, size = (batch.column(c).to_numpy() for c in ("key", "node", "size"))
+        if kept:
+            key, node, size = (np.concatenate([[k], c]) for k, c in zip(kept, (key, node, size)))
+        # A text may have come twice under its value.
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        key, node, size = key[new], node[new], size[new]
+        near = (key[1:] == key[:-1]) & (100 * size[:-1] >= SIMILARITY * size[1:])
+        use = np.concatenate([[before], near])[:-1] | near
+        kept, before = (key[-1], node[-1], size[-1]), bool(near[-1]) if len(near) else before
+        if use.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][use]), pa.array(node[:-1][use])], names=["key", "node"])
+    if kept and before:
+        yield pa.RecordBatch.from_arrays([pa.array([kept[0]]), pa.array([kept[1]])], names=["key", "node"])
+
+
+def _shared(texts: DataFrame, most: int) -> DataFrame:
+    """Values and their texts (``key``, ``node``), where several texts share the value and their sizes allow the similarity."""
+    reports = texts.mapInArrow(partial(_reports, most=most), "key long, a long, b long, full boolean")
+    dealt = reports.repartition("key").sortWithinPartitions("key", F.desc("full"), "a")
+    members = written(dealt.mapInArrow(partial(_members, most=most), "key long, node long"), "members")
+    sized = members.join(texts.select("node", "size"), "node")
+    return sized.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_sized, "key long, node long")
 
 
 def _allowed(rows: np.ndarray, others: np.ndarray, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Least differences of the sets of ``rows`` and ``others``, and whether labels differ and 0.8 is in reach."""
-    apart = np.zeros((len(rows), len(others)), np.int32)
-    for k in range(BINS):
-        apart += np.abs(rows[:, k, None] - others[None, :, k])
+    if len(rows) * len(others) < BINS:
+        apart = np.abs(rows[:, None] - others[None]).sum(axis=2, dtype=np.int32)
+    else:
+        apart = np.zeros((len(rows), len(others)), np.int32)
+        for k in range(BINS):
+            apart += np.abs(rows[:, k, None] - others[None, :, k])
     # A similarity of s leaves a difference of (1 - s) / (1 + s) of both sizes.
     reach = (100 + SIMILARITY) * apart <= (100 - SIMILARITY) * (left[1][:, None] + right[1][None, :])
     return apart, reach & (left[0][:, None] != right[0][None, :])
@@ -288,9 +312,9 @@ def _crossed(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
         yield from closed(held)
 
 
-def _crossing(texts: DataFrame, every: bool) -> DataFrame:
-    """Pairs of ``texts`` that share a value, differ in ``label`` and may be similar: all, or two of each text at most."""
-    rows = texts.mapInArrow(_labelled, "key long, label long, node long, size long, sketch binary")
+def _crossing(shared: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
+    """Pairs of texts that meet in ``shared``, differ in ``label`` and may be similar: all, or two of each text at most."""
+    rows = shared.join(texts, "node").select("key", "label", "node", "size", "sketch")
     dealt = rows.repartition("key").sortWithinPartitions("key")
     pairs = dealt.mapInArrow(partial(_crossed, every=every), "a long, b long, c long")
     if not every:
@@ -321,13 +345,12 @@ def groups(docs: DataFrame, most: int = MOST) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = F.min_by(F.struct("doc_id", "text_hash"), order).alias("first")
     texts = written(marked.groupBy("node").agg(first, F.first("bits").alias("bits"), *[F.first(c).alias(c) for c in ("unsure", "size", "sketch")]), "texts")
-    met = _candidates(texts, most).where("a != b")
-    nodes = written(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
-    shared = written(texts.join(nodes, "node", "left_semi").select("node", "bits", "unsure", "size", "sketch"), "shared")
-    few = written(_crossing(shared.withColumn("label", F.col("node")), False), "few")
+    shared = written(_shared(texts, most), "shared")
+    sketched = texts.select("node", "size", "sketch")
+    few = written(_crossing(shared, sketched.withColumn("label", F.col("node")), False), "few")
     members = components(written(_verified(few, texts, docs), "similar")).select("node", "least")
-    named = shared.join(members, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
-    rest = written(_crossing(named, True), "rest")
+    named = sketched.join(members, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
+    rest = written(_crossing(shared, named, True), "rest")
     if not rest.isEmpty():
         links = members.select(F.col("node").alias("a"), F.col("least").alias("b")).union(_verified(rest, texts, docs))
         members = components(links).select("node", "least")

@@ -161,3 +161,30 @@ def test_crossed_pairs_for_any_batch():
         assert len(rows) == len(wanted) and {(r["a"], r["b"]) for r in rows} == wanted
         few = [r for b in S._crossed(table.to_batches(max_chunksize=size), False) for r in b.to_pylist()]
         assert sorted(r["a"] for r in few) == node[1:39].tolist() and all(r["b"] <= 6 for r in few)
+
+
+def test_a_text_is_dealt_to_its_shared_values_only(spark):
+    """Two texts that share one value by chance, a third of another size under it, and texts that share none."""
+    rng = np.random.default_rng(9)
+    bits = rng.integers(-(2**63), 2**63, (40, S.WORDS))
+    # The last bits of a row belong to the last segment.
+    low = np.unpackbits(bits.view(np.uint8), axis=1)
+    low[1:3, -S.SEGMENT_BITS :] = low[0, -S.SEGMENT_BITS :]
+    bits = np.packbits(low, axis=1).view(np.int64)
+    unsure = np.tile(np.arange(S.UNSURE, dtype=np.uint8), (S.SEGMENTS, 1)).tobytes()
+    rows = [(k, b, bytearray(unsure), 900 if k == 2 else 100 + k) for k, b in enumerate(bits.tolist())]
+    texts = spark.createDataFrame(rows, "node long, bits array<long>, unsure binary, size long")
+    assert len({(r.key, r.node) for r in S._shared(texts, S.MOST).collect()}) == 2 * 2**S.UNSURE
+    assert {r.node for r in S._shared(texts, S.MOST).collect()} == {0, 1}
+
+
+def test_texts_with_a_partner_of_similar_size_for_any_batch():
+    rng = np.random.default_rng(10)
+    rows = sorted({(int(k), int(s), int(n)) for k, s, n in zip(rng.integers(0, 60, 300), rng.integers(1, 400, 300), rng.integers(0, 10**6, 300))})
+    wanted = {(k, n) for k, s, n in rows if any(k == j and n != m and min(s, z) * 100 >= max(s, z) * S.SIMILARITY for j, z, m in rows)}
+    assert 0 < len(wanted) < len(rows)
+    twice = [r for r in rows for _ in range(1 + r[2] % 2)]
+    table = pa.table({c: [r[i] for r in twice] for i, c in enumerate(("key", "size", "node"))})
+    for size in (1, 2, 7, 1000):
+        found = [(r["key"], r["node"]) for b in S._sized(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert len(found) == len(wanted) and set(found) == wanted

@@ -16,23 +16,27 @@ from eventide.operators.ordered import field_types, matrix
 from eventide.session import bounded_rows
 
 
+#: Rows of an Arrow batch that are worked on at a time; what is derived from a batch stays small beside it.
+PART = 1024
+
+
+def _in_parts(a: pd.Series, b: pd.Series, combine) -> pd.Series:
+    rows = []
+    for k in range(0, len(a), PART):
+        rows.extend(combine(*(np.stack(c.iloc[k : k + PART].to_numpy()).astype(float) for c in (a, b))))
+    return pd.Series(rows, dtype=object)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def bind(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Circular convolution of two vectors, a whole Arrow batch at a time."""
-    if not len(a):
-        return pd.Series([], dtype=object)
-    x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
-    return pd.Series(list(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), n=x.shape[1])))
+    """Circular convolution of two vectors, many rows at a time."""
+    return _in_parts(a, b, lambda x, y: np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), n=x.shape[1]))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def unbind(a: pd.Series, b: pd.Series) -> pd.Series:
     """Circular correlation divided by the dimension; binding has no such factor."""
-    if not len(a):
-        return pd.Series([], dtype=object)
-    x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
-    d = x.shape[1]
-    return pd.Series(list(np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), n=d) / d))
+    return _in_parts(a, b, lambda x, y: np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), n=x.shape[1]) / x.shape[1])
 
 
 def symbol_table(names: DataFrame, d: int, kind: str = "gaussian") -> DataFrame:
@@ -148,9 +152,7 @@ def cleanup(
         names, table = [r["name"] for r in rows], np.array([r["vec"] for r in rows], dtype=float)
 
         def run(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
                 best, peak, mass = _nearest(matrix(batch.column(vec)), table, names, k, gamma, metric)
                 out = [batch.column(c) for c in inner]
                 out += [pa.array(best, _BEST_TYPE), pa.array(peak), pa.array(mass)]

@@ -148,3 +148,17 @@ def test_linear_dynamics_equal_ridge_regression(spark):
         w = np.linalg.solve(a.T @ a + 0.5 * np.diag([1, 1, 1, 0]), a.T @ b)
         assert r["weights"] == pytest.approx(w[:3, r["dim"]].tolist())
         assert r["bias"] == pytest.approx(w[3, r["dim"]])
+
+
+def test_a_batch_is_bound_in_parts(monkeypatch):
+    """However many rows a batch has, few are transformed at a time."""
+    import pandas as pd
+
+    rng, seen, whole = np.random.default_rng(3), [], np.fft.rfft
+    a, b = rng.normal(size=(2, 5000, 8))
+    monkeypatch.setattr(np.fft, "rfft", lambda x: seen.append(len(x)) or whole(x))
+    got = np.stack(B.bind.func(pd.Series(list(a)), pd.Series(list(b))))
+    back = np.stack(B.unbind.func(pd.Series(list(a)), pd.Series(list(b))))
+    assert max(seen) <= 1024
+    assert (got == np.fft.irfft(whole(a) * whole(b), n=8)).all() and (back == np.fft.irfft(whole(a) * np.conj(whole(b)), n=8) / 8).all()
+    assert not len(B.bind.func(pd.Series([], dtype=object), pd.Series([], dtype=object)))

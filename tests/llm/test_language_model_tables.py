@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from eventide.llm import catalog, suffix_tree_lm
+from eventide.llm import catalog, common, suffix_tree_lm
 
 HELD = [k for k in range(100_000, 100_100) if zlib.crc32(str(k).encode()) % 7 == 2]
 
@@ -58,3 +58,41 @@ def test_a_context_that_is_a_small_share_is_learned(spark, tables):
     rows += [(1000 + k, "alpha beta gamma delta") for k in range(32)] + [(HELD[0], "alpha beta gamma delta")]
     got = catalog.QUERIES["op10_suffix_tree_lm"](spark, tables.documents("share", rows)).where(f"doc_id = {HELD[0]}").first()
     assert got["score"] > got["base_score"] + 8
+
+
+def _sentences(texts, seed):
+    """Texts of frequent, seldom and single words with something to learn."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for d in range(texts):
+        x = np.minimum(draw.zipf(1.3, 200), 3000)
+        x[2::4] = (x[1::4] + 1) % 40
+        x[3::4] = (x[2::4] * 2 + x[1::4]) % 40
+        x[4::8] = (x[3::8][: len(x[4::8])] + x[1::8][: len(x[4::8])] * 5) % 40
+        rows.append((d, " ".join(f"W{v}" for v in x) + f"\tonce{d}"))
+    return rows + [(HELD[0], "unknown w1 w2 w4 w5 W1 w2"), (None, None)]
+
+
+@pytest.mark.parametrize("hot", [1.0, 2e-2])
+def test_shards_equal_the_tree(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_tree_lm, "SHARD_BYTES", 1 << 15)
+    monkeypatch.setattr(suffix_tree_lm, "COMMON", 50)
+    rows = _sentences(300, 7)
+    got = suffix_tree_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least=5, gamma=1e-2, hot=hot).collect()
+    want = plain_scores([(d, t and t.lower()) for d, t in rows], 5, 1e-2)
+    got = {r.doc_id: r for r in got}
+    assert want == pytest.approx([got[d].score for d, _ in rows])
+    assert got[None].n_tokens == 1 and got[HELD[0]].n_known == 7
+
+
+def test_what_is_written_is_a_small_part_of_the_text(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "scratch_folder", lambda spark: str(tmp_path))
+    rows = _sentences(1500, 8)
+    suffix_tree_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert 0 < size < 0.2 * sum(len(t or "") for _, t in rows)
+
+
+def test_no_texts(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix_tree_lm.scored(empty).collect() == []

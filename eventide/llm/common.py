@@ -5,7 +5,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -100,6 +101,24 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(k, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python workers Arrow batches of about ``size`` bytes and read Parquet files ``rows`` rows at a time.
+
+    Spark's own bounds (64 MB and 10,000 rows, 4,096 rows of a file) hold for each task; long lists reach them. The session's settings come back at the end,
+    so a table must be written inside.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b", "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, name: str, open_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Repeat ``step`` until ``open_rows`` of the state is empty, at most ``rounds`` times; each state is written."""
     for _ in range(rounds):

@@ -20,6 +20,7 @@ An empty table gives no rows. Other columns of the documents are not written. A
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,13 +30,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Sent, new_path, slices, table
+from .common import Sent, new_path, slices, small_batches, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Sizes of row groups and pages in bytes.
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
+#: Bytes of texts or ids that Spark hands to a worker at a time, and rows that are read from a file at a time.
+ARROW_BYTES = 4 << 20
+READ_ROWS = 512
 #: Bytes of text that are encoded together, and bytes (counted with what Python adds) of the parts that a worker keeps encoded.
 BATCH_BYTES = 4 << 20
 KEPT_BYTES = 64 << 20
@@ -132,6 +136,8 @@ class PartEncoder:
     def _ready(self) -> None:
         from tokenizers import Tokenizer
 
+        # A task has one core; a thread per core of the machine would each keep buffers of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(self.path)
         # Where an added token stands in a text it is cut out first, so such texts are encoded whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -254,7 +260,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int =
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     encoded = ordered.mapInArrow(_encoder(Sent(spark, PartEncoder(public_tokenizers.path(tokenizer))), end), "doc_id long, n_tokens long, ids array<int>")
     writer = encoded.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.enable.dictionary", "true")
-    writer.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(path)
+    with small_batches(spark, ARROW_BYTES, READ_ROWS):
+        writer.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -289,11 +296,15 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def checksummed(spark: SparkSession, path: str) -> DataFrame:
-    """Per written document its place, its number of ids and the checksum of its ids, all from the files."""
+    """Per written document its place, its number of ids and the checksum of its ids, all from the files.
+
+    The checksums are written first: only a job that runs here has its batches bounded.
+    """
     rows = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path).select(
         "doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")
     )
-    sums = rows.mapInArrow(_checksums, "doc_id long, n_tokens long, __file string, __row long, ids_crc32 long")
+    with small_batches(spark, ARROW_BYTES, READ_ROWS):
+        sums = written(rows.mapInArrow(_checksums, "doc_id long, n_tokens long, __file string, __row long, ids_crc32 long"), "token-sums")
     inside = Window.partitionBy("__file").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     counts = spark.read.schema("n_tokens long").parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("__of"))

@@ -1,7 +1,10 @@
 """Every corpus query against a plain version, on small tables with odd rows and on supplied tables."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -190,6 +193,48 @@ def test_token_files_read_back(spark, tables, tmp_path):
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(50)]
 
 
+def test_token_files_hand_over_small_batches(spark, tmp_path, monkeypatch):
+    def noting(of, kind, folder=str(tmp_path)):
+        def run(batches):
+            import uuid
+
+            def noted():
+                for batch in batches:
+                    with open(f"{folder}/{kind}-{uuid.uuid4().hex}", "w") as out:
+                        out.write(str(batch.nbytes))
+                    yield batch
+
+            yield from of(noted())
+
+        return run
+
+    monkeypatch.setattr(packed_tokens, "_encoder", lambda *args, of=packed_tokens._encoder: noting(of(*args), "texts"))
+    monkeypatch.setattr(packed_tokens, "_checksums", noting(packed_tokens._checksums, "ids"))
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(key, None) for key in keys]
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 6000).alias("text"))
+    packed_tokens.write_ids(docs, str(tmp_path / "files"))
+    assert packed_tokens.checksummed(spark, str(tmp_path / "files")).count() == 1200
+    for kind, least in (("texts", 1200 * 30000), ("ids", 1200 * 24000)):
+        sizes = [int(path.read_text()) for path in tmp_path.glob(f"{kind}-*")]
+        assert sum(sizes) >= least and max(sizes) < 6 << 20
+    assert [spark.conf.get(key, None) for key in keys] == before
+
+
+def test_encoding_takes_one_thread():
+    code = """if True:
+        import os, public_tokenizers
+        from eventide.llm import packed_tokens
+        threads = len(os.listdir("/proc/self/task"))
+        encoder = packed_tokens.PartEncoder(public_tokenizers.path(packed_tokens.TOKENIZER))
+        list(encoder([" ".join(f"w{k}x" for k in range(n, n + 5000)) for n in range(0, 20000, 5000)], 2))
+        print(len(os.listdir("/proc/self/task")) - threads)"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {key: value for key, value in os.environ.items() if key not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == ["0"]
+
+
 def plain_simhash(text):
     import xxhash
 
